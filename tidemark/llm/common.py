@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,15 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(flag: Column) -> Column:
+    """``flag`` as a column that filters are not pushed through.
+
+    A filter on a computed column is else moved below the projections that compute it, each use of an
+    intermediate column written out in full, which multiplies both plan and work.
+    """
+    return flag & (F.monotonically_increasing_id() >= 0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
