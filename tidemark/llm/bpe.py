@@ -40,7 +40,7 @@ WIDE = 64
 SHORT_PIECE = 15
 LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Pieces that a worker keeps; beyond it the cache starts anew, which changes no result.
-CACHED = 2_000_000
+CACHED = 300_000
 NO_RANK = np.int32(1 << 30)
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -423,7 +423,7 @@ def encode(docs: DataFrame, keys: list[str], text: str = "text", vocabulary: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, (_, token_at) = _merger(vocabulary), _tokens(vocabulary)
-        for batch in slices(batches, "__text", 2 << 20):
+        for batch in slices(batches, "__text", 1 << 20):
             body, at = utf8(batch.column("__text"))
             ids, doc_at = encode_batch(body, at, table.value, merger)
             lengths = np.zeros(len(ids) + 1, np.int64)
@@ -466,11 +466,22 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
 
 
+def _token_runs(batches: Iterator[pa.RecordBatch], limit: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about ``limit`` ids (one row at least)."""
+    for batch in batches:
+        at = batch.column("ids").offsets.to_numpy()
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def digests(encoded: DataFrame, keys: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """``keys`` with n_tokens, ids_sha256 and decoded_sha256, the last from decoding the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _token_runs(batches):
             ids, id_at = _lists(batch.column("ids"))
             offsets, _ = _lists(batch.column("offsets"))
             plain, at = decode_batch(ids, id_at, offsets.astype(np.int64), vocabulary)
