@@ -51,12 +51,15 @@ def _digested(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = 0) -> None:
     """Writes the tables ``path/payloads`` and ``path/records``."""
     rows = _digested(pages, key, url, html)
-    # A response for each digest; one payload for each digest, from the row (or equal rows) with the largest key.
+    # A response for each digest; its payload comes from the row (or equal rows) with the largest key. Both joins
+    # and the duplicates' removal need the same two columns, so a payload is shuffled once.
     owners = rows.select("key", "digest").groupBy("digest").agg(F.max("key").alias("owner"))
+    no_key = F.lit(-(1 << 63)).cast("long")
+    winners = owners.select(F.col("digest").alias("w_digest"), F.coalesce("owner", no_key).alias("w_key"))
     stored = (
-        rows.select("key", "payload", "digest")
-        .join(owners.withColumnRenamed("digest", "__digest"), (F.col("digest") == F.col("__digest")) & F.col("key").eqNullSafe(F.col("owner")), "left_semi")
-        .dropDuplicates(["digest"])
+        rows.select(F.coalesce("key", no_key).alias("k"), "payload", "digest")
+        .join(winners, (F.col("digest") == F.col("w_digest")) & (F.col("k") == F.col("w_key")), "left_semi")
+        .dropDuplicates(["digest", "k"])
         .select("digest", "payload")
     )
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
