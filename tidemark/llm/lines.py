@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 MIN_SITES = 5
 MIN_WORDS = 4
 MOST_SHARE = 0.5
@@ -44,9 +46,9 @@ def _lines(docs: DataFrame, key: str, text: str, site: str, min_words: int) -> D
     # Rows of one id but different texts stay apart; equal rows have equal results.
     rows = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("t"), F.coalesce(F.col(site).cast("string"), F.lit("\0")).alias("site"), F.col(text).alias("text"))
     split = rows.select("d", "t", "site", F.posexplode(_split(F.col("text"))).alias("pos", "line"))
-    trimmed = split.withColumn("line", F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    words = F.size(F.split("line", r"[\x20\x09-\x0D]+"))
-    return trimmed.where((F.col("line") != "") & (words >= min_words)).select("d", "t", "pos", F.length("line").alias("n"), "site", _key(F.col("line")).alias("h")).select("d", "t", "pos", "n", "site", "h.h1", "h.h2")
+    enough = split.where(F.col("line").rlike(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (max(min_words, 1) - 1)))
+    trimmed = F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))
+    return enough.select("d", "t", "pos", F.length(trimmed).alias("n"), "site", _key(trimmed).alias("h")).select("d", "t", "pos", "n", "site", "h.h1", "h.h2")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -62,7 +64,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float = MOST_SHARE) -> DataFrame:
     """``docs`` with ``text`` cleaned, and the long columns ``n_lines_removed`` and ``n_chars_removed``."""
-    lines = _lines(docs, key, text, site, min_words)
+    lines = written(_lines(docs, key, text, site, min_words), "lines")  # hashes and places, read three times
     common = boilerplate(lines, min_sites).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"))
     hit = lines.select("d", "t", "pos", "n", "h1", "h2").join(common, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_semi")
     # Equal rows give their positions more than once: a set.
