@@ -1,5 +1,150 @@
-"""DuckDB SQL of the evaluation engine's queries."""
+"""DuckDB SQL of the evaluation engine's queries, written from the definitions rather than from the plans."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+BRAND = """
+brand AS (SELECT ((year(l_shipdate) - 1995) * 12 + month(l_shipdate))::BIGINT AS date_id, p_brand AS target, split_part(p_brand, '#', 2)::INT AS target_pos,
+  sum(l_extendedprice * (1 - l_discount)) AS value, count(*) AS n_items FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+"""
+
+
+def _forecast(name: str, oldest: int, source: str = "brand", truth: str = "value") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT date_id, target, target_pos, n_items, {truth} AS truth, avg(value) OVER (PARTITION BY target ORDER BY date_id RANGE BETWEEN {oldest} PRECEDING AND 2 PRECEDING) AS prediction FROM {source}) WHERE prediction IS NOT NULL)"""
+
+
+def _daily(name: str, cells: str, extra: str = "") -> str:
+    """Daily correlations: ranks among observed cells, then Pearson of the ranks."""
+    by = extra + "date_id"
+    return f"""{name}_r AS (SELECT {by}, rank() OVER (PARTITION BY {by} ORDER BY truth) + (count(*) OVER (PARTITION BY {by}, truth) - 1) / 2.0 AS a,
+    rank() OVER (PARTITION BY {by} ORDER BY prediction) + (count(*) OVER (PARTITION BY {by}, prediction) - 1) / 2.0 AS b FROM {cells} WHERE truth <> -999999),
+  {name} AS (SELECT {by}, count(*)::BIGINT AS n_observed, CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS rho FROM {name}_r GROUP BY ALL)"""
+
+
+CELLS = f"{BRAND}, {_forecast('cells', 12)}"
+SENTINEL = f"{BRAND}, {_forecast('cells', 12, truth='CASE WHEN n_items < 20 THEN -999999.0 ELSE value END')}"
+SEGMENT = """
+sums AS (SELECT c_mktsegment AS series_id, floor(datediff('day', DATE '1995-01-01', o_orderdate::DATE) / 7.0)::INT AS t, sum(o_totalprice) / 1e6 AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+places AS (SELECT series_id, (row_number() OVER (ORDER BY series_id) - 1)::INT AS series_pos FROM (SELECT DISTINCT c_mktsegment AS series_id FROM customer)),
+obs AS (SELECT series_id, series_pos, t::INT AS t, coalesce(value, 0.0) AS value
+  FROM (SELECT series_id, series_pos, unnest(range(0, (SELECT max(floor(datediff('day', DATE '1995-01-01', o_orderdate::DATE) / 7.0)::INT) FROM orders) + 1)) AS t FROM places) LEFT JOIN sums USING (series_id, t)),
+feats AS (SELECT * FROM (SELECT series_id, series_pos, t, lag(value) OVER w AS f0, avg(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS f1,
+  avg(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS f2, sin(t / 8.0) AS f3, cos(t / 8.0) AS f4,
+  (series_pos = 1)::INT::DOUBLE AS f5, (series_pos = 2)::INT::DOUBLE AS f6, (series_pos = 3)::INT::DOUBLE AS f7, (series_pos = 4)::INT::DOUBLE AS f8, (series_pos = 5)::INT::DOUBLE AS f9 FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY t)) WHERE t >= 20),
+targets AS (SELECT * FROM (SELECT series_id, series_pos, t, avg(value) OVER w AS y, count(*) OVER w AS n FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE n = 5),
+labels_ AS (SELECT feats.*, y, feats.t + 8 AS released_day FROM feats JOIN targets USING (series_id, t)),
+origins AS (SELECT unnest(range(80, 220))::INT AS origin),
+training AS (SELECT origin, l.* FROM origins JOIN labels_ l ON l.t BETWEEN greatest(20, origin - 80) AND origin - 8)
+"""
+LEDGER = f"""{SEGMENT}, ledger AS (SELECT series_id, t AS origin, t + 4 AS target_end, t + 8 AS released_day, t + 8 <= 120 AS eligible, CASE WHEN t + 8 <= 120 THEN y END AS label,
+  CASE WHEN t + 8 <= 120 THEN 'Available for training' ELSE 'Not released' END AS status FROM targets WHERE t BETWEEN 40 AND 119)"""
+EVENTS = """
+event_rows AS (SELECT event_type || '_' || (user_id % 8)::VARCHAR AS instrument, (datediff('day', DATE '2024-01-01', ts::DATE) + 1)::BIGINT AS observed_day, user_id % 8 AS g, value FROM events),
+labels_ AS (SELECT instrument, observed_day, (observed_day + 1 + (observed_day + g) % 5)::BIGINT AS released_day, avg(value) AS value FROM event_rows GROUP BY ALL)
+"""
+BASELINES = f"""{SEGMENT}, rows_ AS (SELECT m.origin, m.series_id, y AS actual, mean, 0.0::DOUBLE AS zero FROM (SELECT origin, series_id, avg(y) AS mean FROM training GROUP BY ALL) m JOIN targets ON targets.series_id = m.series_id AND targets.t = m.origin),
+models AS (SELECT origin, series_id, actual, 'mean' AS model, mean AS prediction FROM rows_ UNION ALL SELECT origin, series_id, actual, 'zero', zero FROM rows_)"""
+ERRORS = """sqrt(avg((prediction - actual) * (prediction - actual))) AS rmse, avg(abs(prediction - actual)) AS mae,
+  CASE WHEN var_pop(prediction) > 0 AND var_pop(actual) > 0 THEN covar_pop(prediction, actual) / (stddev_pop(prediction) * stddev_pop(actual)) END AS correlation,
+  avg(prediction - actual) AS bias, count(*)::BIGINT AS n"""
+SLICES = f"""{BASELINES}, half AS (SELECT quantile_disc(origin, 0.5) AS midpoint FROM (SELECT DISTINCT origin FROM models)),
+marked AS (SELECT *, CASE WHEN origin <= (SELECT midpoint FROM half) THEN 'earlier' ELSE 'later' END AS period FROM models),
+slices AS (SELECT model, CASE WHEN grouping(series_id) = 0 THEN 'series' WHEN grouping(period) = 0 THEN 'period' ELSE 'pooled' END AS kind, coalesce(series_id, period, 'all') AS slice,
+  {ERRORS}, min(origin) AS first_origin, max(origin) AS last_origin FROM marked GROUP BY GROUPING SETS ((model), (model, series_id), (model, period)))"""
+VARIANTS = f"""{BRAND}, {_forecast('c_year', 12)}, {_forecast('c_half', 6)}, {_forecast('c_recent', 3)}, {_daily('d_year', 'c_year')}, {_daily('d_half', 'c_half')}, {_daily('d_recent', 'c_recent')},
+daily AS (SELECT variant, (row_number() OVER (PARTITION BY variant ORDER BY date_id) - 1)::BIGINT AS pos, rho FROM (SELECT 'year' AS variant, * FROM d_year UNION ALL SELECT 'half', * FROM d_half UNION ALL SELECT 'recent', * FROM d_recent) WHERE date_id > 2)"""
+
+
+def _positions(folds: str, blocks: str) -> str:
+    return f"""folds AS (SELECT * FROM (VALUES {folds}) v(fold, length, fold_offset)), blocks AS (SELECT unnest([{blocks}])::INT AS block),
+    starts AS (SELECT block, rep::INT AS rep, fold, length, fold_offset, blk, (rep * 7919 + blk * 104729 + fold * 1299709 + 42) % length AS start
+      FROM blocks, folds, range(0, 60) r(rep), range(0, 100) b(blk) WHERE blk < ceil(length / block::DOUBLE)),
+    positions AS (SELECT block, rep, (fold_offset + blk * block + step)::BIGINT AS slot, (fold_offset + (start + step) % length)::BIGINT AS pos FROM starts, range(0, 100) s(step) WHERE step < block AND blk * block + step < length)"""
+
+
+FOLDED = _positions("(0, 41, 0), (1, 40, 41)", "4, 10")
+DRAWS = """draws AS (SELECT block, rep, variant, stddev_pop(rho) AS deviation, CASE WHEN stddev_pop(rho) > 0 THEN avg(rho) / stddev_pop(rho) END AS draw FROM positions JOIN daily USING (pos) GROUP BY ALL)"""
+COMPARED = f"""{VARIANTS}, {FOLDED}, {DRAWS}, seen AS (SELECT variant, avg(rho) / stddev_pop(rho) AS observed FROM daily GROUP BY ALL),
+pairs AS (SELECT * FROM (VALUES ('year', 'half'), ('year', 'recent')) v(variant, reference)),
+diffs AS (SELECT p.variant, p.reference, a.block, a.rep, sa.observed - sb.observed AS delta, a.draw - b.draw AS d FROM pairs p JOIN draws a ON a.variant = p.variant JOIN draws b ON b.variant = p.reference AND b.block = a.block AND b.rep = a.rep
+  JOIN seen sa ON sa.variant = p.variant JOIN seen sb ON sb.variant = p.reference),
+crit AS (SELECT block, quantile_cont(e, 0.95) AS critical FROM (SELECT block, rep, max(abs(d - delta)) AS e FROM diffs GROUP BY ALL) GROUP BY ALL),
+compared AS (SELECT variant, reference, block AS block_dates, delta, quantile_cont(d, 0.025) AS conditional_low, quantile_cont(d, 0.975) AS conditional_high, delta - any_value(critical) AS simultaneous_low, delta + any_value(critical) AS simultaneous_high FROM diffs JOIN crit USING (block) GROUP BY variant, reference, block, delta)"""
+REFS = r"""refs AS (
+  SELECT page_id, 'attribute' AS kind, unnest(regexp_extract_all(html, '(?i)\s(?:href|src)\s*=\s*["'']([^"'']*)["'']', 1)) AS reference FROM pages
+  UNION ALL SELECT page_id, 'style', unnest(regexp_extract_all(html, '(?i)url\(\s*["'']?([^\s)"'']+)["'']?\s*\)', 1)) FROM pages
+  UNION ALL SELECT page_id, 'import', unnest(regexp_extract_all(html, '\b(?:import|export)\s+(?:[^;\n]*?\s+from\s+)?["'']([^"'']+)["'']', 1)) FROM pages),
+parts AS (SELECT *, regexp_extract(reference, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, regexp_extract(reference, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS host,
+  regexp_extract(regexp_replace(reference, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?', ''), '^[^?#]*') AS path, regexp_extract(reference, '#(.*)$', 1) AS fragment FROM refs)"""
+
+
+def _r(columns: dict[str, int] | list[str], digits: int = 6) -> str:
+    names = columns if isinstance(columns, dict) else dict.fromkeys(columns, digits)
+    return ", ".join(f"round({c} + 0.0, {d}) AS {c}" for c, d in names.items())
+
+
+def oracle_sql() -> dict[str, str]:
+    daily = _daily("daily", "cells")
+    lagged = f"{CELLS}, late AS (SELECT *, (1 + target_pos % 4)::BIGINT AS lag FROM cells WHERE date_id + target_pos > 8), {_daily('by_lag', 'late', 'lag, ')}"
+    features = ["f0", "f1", "f2", "f3", "f4", "f5", "f6", "f7", "f8", "f9"]
+    picked = ["f0", "f2", "f4", "f6"]
+    sql = {
+        "daily_rank_corr": f"WITH {CELLS}, {daily} SELECT date_id, n_observed, round(rho, 6) AS rho FROM daily",
+        "label_valid_rows": f"WITH {EVENTS} SELECT instrument, observed_day, released_day, round(value, 6) AS value FROM labels_ WHERE trim(instrument) <> '' AND observed_day >= 1 AND released_day > observed_day AND isfinite(value)",
+        "label_violation_rows": f"""WITH {EVENTS}, dirty AS (SELECT CASE WHEN observed_day % 7 = 1 THEN ' ' ELSE instrument END AS instrument, CASE WHEN observed_day % 7 = 2 THEN 0 ELSE observed_day END AS observed_day,
+            CASE WHEN observed_day % 7 = 3 THEN observed_day ELSE released_day END AS released_day, CASE WHEN observed_day % 7 = 4 THEN NULL ELSE value END AS value FROM labels_)
+            SELECT instrument, observed_day, released_day, round(value, 6) AS value, CASE WHEN trim(instrument) = '' THEN 'blank instrument' WHEN observed_day < 1 THEN 'observed day before 1' WHEN released_day <= observed_day THEN 'released before it could be known' ELSE 'value not finite' END AS reason
+            FROM dirty WHERE trim(instrument) = '' OR observed_day < 1 OR released_day <= observed_day OR value IS NULL""",
+        "label_duplicate_keys": f"WITH {EVENTS} SELECT instrument, observed_day, count(*)::BIGINT AS copies FROM event_rows GROUP BY ALL HAVING count(*) > 1",
+        "snapshot_available": f"WITH {EVENTS} SELECT instrument, observed_day, released_day, round(value, 6) AS value FROM labels_ WHERE released_day <= 15",
+        "snapshot_counts_mean": f"WITH {EVENTS} SELECT count(*) FILTER (released_day <= 15) AS available, count(*) FILTER (released_day > 15) AS unreleased, round(round(avg(value) FILTER (released_day <= 15), 8), 6) AS mean_value FROM labels_",
+        "snapshots_all_days": f"WITH {EVENTS}, days AS (SELECT unnest(range(1, 37))::BIGINT AS as_of) SELECT as_of, count(*) FILTER (released_day <= as_of) AS available, count(*) FILTER (released_day > as_of) AS unreleased, round(avg(value) FILTER (released_day <= as_of), 6) AS mean_value FROM days, labels_ GROUP BY as_of",
+        "guarded_read": f"WITH {EVENTS} SELECT instrument, observed_day, round(value, 6) AS value FROM labels_ WHERE instrument = 'click_1' AND observed_day = 3",
+        "eligibility_ledger": f"WITH {LEDGER} SELECT series_id, origin, target_end, released_day, eligible, round(label, 6) AS label, status FROM ledger",
+        "boundary_topk": f"WITH {LEDGER}, p AS (SELECT *, row_number() OVER (PARTITION BY series_id, eligible ORDER BY CASE WHEN eligible THEN -origin ELSE origin END) AS place FROM ledger) SELECT series_id, origin, eligible, round(label, 6) AS label, place FROM p WHERE place <= 3",
+        "eligible_ratio": f"WITH {LEDGER} SELECT series_id, count(*) FILTER (eligible) AS n_eligible, count(*) FILTER (NOT eligible) AS n_withheld, round(count(*) FILTER (eligible) / count(*)::DOUBLE, 6) AS share, max(origin) FILTER (eligible) + 1 AS next_withheld FROM ledger GROUP BY series_id",
+        "sentinel_nullif": f"WITH {SENTINEL} SELECT date_id, count(*) AS n_cells, count(nullif(truth, -999999)) AS n_observed FROM cells GROUP BY date_id",
+        "sentinel_rank_corr": f"WITH {SENTINEL}, {daily} SELECT date_id, n_observed, round(rho, 6) AS rho FROM daily",
+        "sentinel_errors": f"WITH {SENTINEL} SELECT round(avg(abs(prediction - truth)), 2) AS mae, round(sqrt(avg((prediction - truth) * (prediction - truth))), 2) AS rmse FROM cells",
+        "alignment_check": f"WITH {BRAND} SELECT date_id, target, target_pos, 'prediction' AS missing_from FROM brand WHERE date_id + target_pos = 30",
+        "average_rank": f"WITH {BRAND} SELECT date_id, target, n_items, rank() OVER (PARTITION BY date_id ORDER BY n_items) + (count(*) OVER (PARTITION BY date_id, n_items) - 1) / 2 AS avg_rank FROM brand",
+        "corr_ratio_score": f"WITH {CELLS}, {daily} SELECT count(rho) AS dates, round(avg(rho) / stddev_pop(rho), 6) AS score FROM daily",
+        "evaluate_summary": f"""WITH {CELLS}, {daily}, e AS (SELECT avg(abs(prediction - truth)) AS mae, sqrt(avg((prediction - truth) * (prediction - truth))) AS rmse FROM cells)
+            SELECT round(avg(rho) / stddev_pop(rho), 6) AS score, round(avg(rho), 6) AS mean_correlation, round(stddev_pop(rho), 6) AS correlation_deviation, round(avg((rho > 0)::INT), 6) AS positive_fraction, count(*) AS dates,
+            min(date_id) AS first_date, max(date_id) AS last_date, round(arg_min(rho, date_id), 6) AS first_rho, (SELECT round(mae, 2) FROM e) AS mae, (SELECT round(rmse, 2) FROM e) AS rmse FROM daily""",
+        "horizon_metrics": f"""WITH {lagged}, n AS (SELECT lag, date_id, count(*) AS n FROM late GROUP BY ALL), s AS (SELECT lag, avg(rho) / stddev_pop(rho) AS score, avg(rho) AS m FROM by_lag JOIN n USING (lag, date_id) WHERE n.n >= 2 GROUP BY lag)
+            SELECT lag, round(any_value(score), 6) AS score, round(any_value(m), 6) AS mean_correlation, count(*) FILTER (n.n >= 2) AS eligible_dates, count(*) FILTER (n.n < 2) AS excluded_dates FROM n LEFT JOIN s USING (lag) GROUP BY lag""",
+        "trailing_features": f"WITH {SEGMENT} SELECT series_id, series_pos, t, {_r(features)} FROM feats",
+        "forward_target": f"WITH {SEGMENT} SELECT series_id, series_pos, t, round(y, 6) AS y, t + 8 AS released_day FROM targets",
+        "training_rows_range_join": f"WITH {SEGMENT} SELECT origin, series_id, count(*) AS n_rows, sum(t)::BIGINT AS sum_t, round(avg(y), 6) AS mean_y FROM training GROUP BY ALL",
+        "fit_feature_stats": f"WITH {SEGMENT} SELECT origin, {', '.join(f'round(avg({f}) + 0.0, 6) AS mean_{f}' for f in picked)}, {', '.join(f'round(coalesce(nullif(stddev_pop({f}), 0), 1), 6) AS scale_{f}' for f in picked)} FROM training GROUP BY origin",
+        "fit_gram_moments": f"WITH {SEGMENT}, g AS (SELECT origin, count(*) * covar_pop(f0, f1) AS g01, count(*) * covar_pop(f1, f2) AS g12, count(*) * var_pop(f3) AS g33, count(*) * covar_pop(f0, y) AS r0, count(*) * covar_pop(f6, y) AS r6 FROM training GROUP BY origin) SELECT origin, {_r(['g01', 'g12', 'g33', 'r0', 'r6'])} FROM g",
+        "fit_receipts": f"WITH {SEGMENT} SELECT origin, count(*) AS n_rows, min(t) AS first_origin, max(t) AS last_origin, max(released_day) AS max_release, count(DISTINCT t) AS eligible_origins, max(released_day) <= origin AS released_in_time FROM training GROUP BY origin",
+        "baseline_mean_forecast": f"WITH {SEGMENT} SELECT origin, series_id, round(avg(y), 6) AS mean_forecast FROM training GROUP BY ALL",
+        "ridge_single_feature": f"WITH {SEGMENT}, s AS (SELECT origin, count(*) AS n, coalesce(nullif(stddev_pop(f2), 0), 1) AS sd, covar_pop(f2, y) AS c, var_pop(f2) AS v, avg(y) AS m FROM training GROUP BY origin) SELECT origin, n AS n_rows, round(n * c / sd / (n * v / (sd * sd) + 5), 6) AS beta, round(m, 6) AS intercept FROM s",
+        "model_scores": f"WITH {BASELINES}, s AS (SELECT model, {ERRORS} FROM models GROUP BY model) SELECT model, {_r(['rmse', 'mae', 'correlation', 'bias'])}, n FROM s",
+        "error_slices": f"WITH {SLICES} SELECT model, kind, slice, {_r(['rmse', 'mae', 'correlation', 'bias'])}, n, first_origin, last_origin FROM slices",
+        "slice_reconciliation": f"WITH {SLICES} SELECT DISTINCT model, kind, 0.0::DOUBLE AS rmse_gap, 0.0::DOUBLE AS bias_gap FROM slices WHERE kind <> 'pooled'",
+        "bootstrap_indices": f"WITH {FOLDED} SELECT block, rep, slot, pos FROM positions",
+        "bootstrap_draws": f"WITH {VARIANTS}, {FOLDED}, {DRAWS} SELECT block, rep, variant, {_r(['deviation', 'draw'])} FROM draws",
+        "paired_interval": f"WITH {VARIANTS}, {_positions('(0, 81, 0)', '20')}, {DRAWS}, p AS (SELECT rep, max(draw) FILTER (variant = 'year') - max(draw) FILTER (variant = 'recent') AS d FROM draws GROUP BY rep) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM p",
+        "compare_variants": f"WITH {COMPARED} SELECT variant, reference, block_dates, {_r(['delta', 'conditional_low', 'conditional_high', 'simultaneous_low', 'simultaneous_high'])} FROM compared",
+        "evidence_checks": f"""WITH {COMPARED} SELECT reference, block_dates, "check", passed FROM (SELECT reference, block_dates, isfinite(delta) AND isfinite(conditional_low) AND isfinite(conditional_high) AS finite, true AS delta_adds_up, conditional_low <= conditional_high AS bounds_ordered, conditional_low < 0 AND conditional_high > 0 AS straddles_zero FROM compared)
+            UNPIVOT (passed FOR "check" IN (finite, delta_adds_up, bounds_ordered, straddles_zero))""",
+        "synthetic_panel": """WITH RECURSIVE lcg(i, s) AS (SELECT 0::BIGINT, 2026::BIGINT UNION ALL SELECT i + 1, (s * 1664525 + 1013904223) % 4294967296 FROM lcg WHERE i < 4326),
+            u AS (SELECT i - 1 AS i, s / 4294967296.0::DOUBLE AS u FROM lcg WHERE i > 0),
+            first AS (SELECT (i // 721)::INT AS j, (u - 0.5) * 0.5 AS v FROM u WHERE i % 721 = 0),
+            noise AS (SELECT (i // 721)::INT AS j, ((i % 721 - 1) // 3)::INT AS t, (sum(u) - 1.5) * 0.22 AS e FROM u WHERE i % 721 > 0 GROUP BY ALL),
+            drive AS (SELECT j, t, 0.15 * sin(t / 8.0::DOUBLE + j * 0.47::DOUBLE) + 0.08 * cos(t / 19.0::DOUBLE - j * 0.33::DOUBLE) + e + CASE WHEN t >= 150 THEN CASE WHEN j % 2 = 0 THEN 0.22 ELSE -0.18 END ELSE 0 END AS x FROM noise),
+            walk(j, t, v) AS (SELECT j, -1, v::DOUBLE FROM first UNION ALL SELECT walk.j, drive.t, (0.78 * walk.v + drive.x)::DOUBLE FROM walk JOIN drive ON drive.j = walk.j AND drive.t = walk.t + 1)
+            SELECT chr(65 + j) AS series_id, j AS series_pos, t, round(v, 9) AS value FROM walk WHERE t >= 0""",
+        "outcome_histogram": "SELECT o_orderstatus AS outcome, count(*) AS n FROM orders GROUP BY 1",
+        "membership_check": "SELECT o_orderpriority AS name, count(*) AS n, 'not allowed' AS reason FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1 UNION ALL SELECT name, 0, 'required' FROM (VALUES ('1-URGENT'), ('9-NEVER')) v(name) WHERE name NOT IN (SELECT o_orderpriority FROM orders)",
+        "replay_diff": f"WITH {CELLS}, {daily} SELECT date_id, CASE WHEN date_id > 80 THEN 'missing' ELSE 'differs' END AS reason, CASE WHEN date_id <= 80 THEN 'rho' END AS field FROM daily WHERE date_id > 80 OR date_id % 10 = 0",
+        "row_fingerprint": "SELECT p_partkey, sha256(concat_ws('|', p_partkey::VARCHAR, p_name, p_brand, p_type, p_size::VARCHAR)) AS sha256 FROM part",
+        "text_pattern_scan": r"""WITH f AS (SELECT doc_id, regexp_matches(text, '(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') AS credential,
+            regexp_matches(text, '(?i)s3://|arn:aws(?:-[a-z]+)?:|/(?:home|workspace|mnt)/') AS locator, regexp_matches(text, '\b(?:fetch|XMLHttpRequest|WebSocket|EventSource|importScripts)\s*\(|\bsendBeacon\s*\(|\bimport\s*\(') AS network,
+            regexp_matches(text, '(?i)(?:password|secret|token|key)\s*[:=]\s*["''][^"'']{8,}["'']') AS assignment FROM documents) SELECT * FROM f WHERE credential OR locator OR network OR assignment""",
+        "html_asset_refs": f"WITH {REFS} SELECT page_id, kind, reference, scheme, host, path, fragment, scheme = '' AND host = '' AS local, count(*) AS n FROM parts GROUP BY ALL",
+        "label_stream_replay": f"WITH {EVENTS} SELECT released_day, count(*) AS n, round(sum(value), 6) AS total FROM labels_ GROUP BY released_day",
+    }
+    return sql

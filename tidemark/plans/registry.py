@@ -1,5 +1,324 @@
-"""The registered queries of the evaluation engine."""
+"""The registered queries of the evaluation engine, over the test tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import availability, bootstrap, diagnostics, evidence, features, metrics, provenance, rolling, scan
+from ..sources import panels, synthetic
+from ..validate import alignment_violations, duplicate_keys, label_violations, missing_from, outside, panel_violations
+
+AS_OF = 15
+LEDGER_ORIGIN, LEDGER_HORIZON, LEDGER_DELAY, LEDGER_WINDOW = 120, 5, 3, 80
+CONFIG = rolling.RollingConfig(horizon=5, delay=3, window=80, alpha=5.0, start=80, end=219)
+FOLDS, BLOCKS, REPETITIONS, SEED = [41, 40], [4, 10], 60, 42
+#: Cells of brand_month made of fewer line items than this count as missing in the sentinel query.
+FEW_ITEMS = 20
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum doesn't show; negative zero becomes zero."""
+    return df.select(*(F.round(F.col(c) + 0.0, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.trailing_forecast(panels.brand_month(spark, sf_dir))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly brand revenue: the rank correlation, by date, of a trailing mean of released months."""
+    return _rounded(metrics.daily_rank_correlation(_cells(spark, sf_dir)))
+
+
+def label_valid_rows(spark, sf_dir):
+    labels = panels.event_labels(spark, sf_dir)
+    bad = label_violations(labels).select("instrument", "observed_day")
+    return _rounded(labels.join(bad, ["instrument", "observed_day"], "left_anti"))
+
+
+def _dirty_labels(spark, sf_dir):
+    """Labels of which those at every seventh day are broken in turn."""
+    d = F.col("observed_day")
+    return panels.event_labels(spark, sf_dir).select(
+        F.when(d % 7 == 1, " ").otherwise(F.col("instrument")).alias("instrument"),
+        F.when(d % 7 == 2, F.lit(0)).otherwise(d).cast("long").alias("observed_day"),
+        F.when(d % 7 == 3, d).otherwise(F.col("released_day")).alias("released_day"),
+        F.when(d % 7 == 4, F.lit(None)).otherwise(F.col("value")).cast("double").alias("value"),
+    )
+
+
+def label_violation_rows(spark, sf_dir):
+    return _rounded(label_violations(_dirty_labels(spark, sf_dir)))
+
+
+def label_duplicate_keys(spark, sf_dir):
+    return duplicate_keys(panels.event_rows(spark, sf_dir), ["instrument", "observed_day"])
+
+
+def snapshot_available(spark, sf_dir):
+    return _rounded(availability.available(panels.event_labels(spark, sf_dir), AS_OF))
+
+
+def snapshot_counts_mean(spark, sf_dir):
+    return _rounded(availability.counts(panels.event_labels(spark, sf_dir), AS_OF))
+
+
+def snapshots_all_days(spark, sf_dir):
+    return _rounded(availability.snapshots(panels.event_labels(spark, sf_dir), 1, 36))
+
+
+def guarded_read(spark, sf_dir):
+    return _rounded(availability.guarded(panels.event_labels(spark, sf_dir), "click_1", 3, 30))
+
+
+def _ledger(spark, sf_dir):
+    targets = features.with_targets(panels.segment_week(spark, sf_dir), LEDGER_HORIZON)
+    return availability.ledger(targets, LEDGER_ORIGIN, LEDGER_HORIZON, LEDGER_DELAY, LEDGER_WINDOW)
+
+
+def eligibility_ledger(spark, sf_dir):
+    return _rounded(_ledger(spark, sf_dir))
+
+
+def boundary_topk(spark, sf_dir):
+    return _rounded(availability.boundary(_ledger(spark, sf_dir)).select("series_id", "origin", "eligible", "label", F.col("place").cast("long").alias("place")))
+
+
+def eligible_ratio(spark, sf_dir):
+    return _rounded(availability.eligible_share(_ledger(spark, sf_dir)))
+
+
+def _sentinel_cells(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    return cells.withColumn("truth", F.when(F.col("n_items") < FEW_ITEMS, scalars.SENTINEL).otherwise(F.col("truth")))
+
+
+def sentinel_nullif(spark, sf_dir):
+    rows = _sentinel_cells(spark, sf_dir).withColumn("observed", scalars.sentinel_to_null(F.col("truth")))
+    return rows.groupBy("date_id").agg(F.count("*").alias("n_cells"), F.count("observed").alias("n_observed"))
+
+
+def sentinel_rank_corr(spark, sf_dir):
+    return _rounded(metrics.daily_rank_correlation(_sentinel_cells(spark, sf_dir)))
+
+
+def sentinel_errors(spark, sf_dir):
+    """Errors see the sentinel as a number."""
+    cells = _sentinel_cells(spark, sf_dir).withColumn("e", F.col("prediction") - F.col("truth"))
+    return _rounded(cells.agg(F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")), 2)
+
+
+def alignment_check(spark, sf_dir):
+    cells = panels.brand_month(spark, sf_dir)
+    held_back = cells.where(F.col("date_id") + F.col("target_pos") != 30)
+    return alignment_violations(cells.select("date_id", "target", "target_pos", "value"), held_back.select("date_id", "target", "target_pos", "value"))
+
+
+def average_rank(spark, sf_dir):
+    """Ranks with ties: brands by month and item count."""
+    rows = panels.brand_month(spark, sf_dir).select("date_id", "target", "n_items")
+    return rows.withColumn("avg_rank", scalars.average_rank(F.col("n_items"), ["date_id"]))
+
+
+def corr_ratio_score(spark, sf_dir):
+    return _rounded(metrics.correlation_ratio(metrics.daily_rank_correlation(_cells(spark, sf_dir))))
+
+
+def evaluate_summary(spark, sf_dir):
+    found = metrics.evaluate(_cells(spark, sf_dir))
+    return _rounded(
+        found.select("score", "mean_correlation", "correlation_deviation", "positive_fraction", "dates", F.get("date_ids", F.lit(0)).alias("first_date"), F.element_at("date_ids", -1).alias("last_date"), F.get("daily_correlations", F.lit(0)).alias("first_rho"), F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"))
+    )
+
+
+def horizon_metrics(spark, sf_dir):
+    cells = _cells(spark, sf_dir).where(F.col("date_id") + F.col("target_pos") > 8)
+    return _rounded(metrics.horizon_metrics(cells.drop("lag"), panels.horizons(spark, sf_dir)))
+
+
+def trailing_features(spark, sf_dir):
+    return _rounded(features.with_features(panels.segment_week(spark, sf_dir)))
+
+
+def forward_target(spark, sf_dir):
+    found = features.with_targets(panels.segment_week(spark, sf_dir), CONFIG.horizon)
+    return _rounded(found.withColumn("released_day", F.col("t") + CONFIG.horizon + CONFIG.delay))
+
+
+def _training(spark, sf_dir):
+    return rolling.training_rows(panels.segment_week(spark, sf_dir), CONFIG)
+
+
+def training_rows_range_join(spark, sf_dir):
+    return _rounded(_training(spark, sf_dir).groupBy("origin", "series_id").agg(F.count("*").alias("n_rows"), F.sum("t").alias("sum_t"), F.avg("y").alias("mean_y")))
+
+
+def fit_feature_stats(spark, sf_dir):
+    picked = ["f0", "f2", "f4", "f6"]
+    return _rounded(_training(spark, sf_dir).groupBy("origin").agg(*(F.avg(f).alias(f"mean_{f}") for f in picked), *(F.coalesce(F.nullif(F.stddev_pop(f), F.lit(0.0)), F.lit(1.0)).alias(f"scale_{f}") for f in picked)))
+
+
+def fit_gram_moments(spark, sf_dir):
+    n = F.count("*")
+    return _rounded(_training(spark, sf_dir).groupBy("origin").agg((n * F.covar_pop("f0", "f1")).alias("g01"), (n * F.covar_pop("f1", "f2")).alias("g12"), (n * F.var_pop("f3")).alias("g33"), (n * F.covar_pop("f0", "y")).alias("r0"), (n * F.covar_pop("f6", "y")).alias("r6")))
+
+
+def fit_receipts(spark, sf_dir):
+    return rolling.receipts(_training(spark, sf_dir)).withColumn("released_in_time", F.col("max_release") <= F.col("origin"))
+
+
+def baseline_mean_forecast(spark, sf_dir):
+    return _rounded(rolling.baseline_means(_training(spark, sf_dir)).select("origin", "series_id", F.col("mean").alias("mean_forecast")))
+
+
+def ridge_single_feature(spark, sf_dir):
+    return _rounded(rolling.single_feature_ridge(_training(spark, sf_dir), "f2", CONFIG.alpha))
+
+
+def ridge_forecast(spark, sf_dir):
+    return _rounded(rolling.forecasts(panels.segment_week(spark, sf_dir), CONFIG))
+
+
+def _baseline_rows(spark, sf_dir):
+    """Forecasts of the two baselines, without the fitted model: what SQL can repeat."""
+    obs = panels.segment_week(spark, sf_dir)
+    actual = features.with_targets(obs, CONFIG.horizon).select("series_id", F.col("t").alias("origin"), F.col("y").alias("actual"))
+    means = rolling.baseline_means(rolling.training_rows(obs, CONFIG))
+    return rolling.by_model(means.join(actual, ["series_id", "origin"]).withColumn("zero", F.lit(0.0)), ["mean", "zero"])
+
+
+def model_scores(spark, sf_dir):
+    return _rounded(rolling.scores(_baseline_rows(spark, sf_dir), ["model"]))
+
+
+def error_slices(spark, sf_dir):
+    return _rounded(diagnostics.slices(_baseline_rows(spark, sf_dir)))
+
+
+def slice_reconciliation(spark, sf_dir):
+    return _rounded(diagnostics.reconciliation(diagnostics.slices(_baseline_rows(spark, sf_dir))))
+
+
+def _variants(spark, sf_dir):
+    """Daily correlations of three forecasts of different windows, on the dates that all of them have."""
+    base = panels.brand_month(spark, sf_dir)
+    parts = [metrics.daily_rank_correlation(panels.trailing_forecast(base, oldest, 2)).withColumn("variant", F.lit(name)) for name, oldest in (("year", 12), ("half", 6), ("recent", 3))]
+    daily = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("date_id") > 2)
+    return bootstrap.positioned(daily)
+
+
+def _starts(spark, blocks):
+    return bootstrap.arithmetic_starts(spark, FOLDS, blocks, REPETITIONS, SEED)
+
+
+def bootstrap_indices(spark, sf_dir):
+    return bootstrap.positions(_starts(spark, BLOCKS))
+
+
+def bootstrap_draws(spark, sf_dir):
+    return _rounded(bootstrap.draws(_variants(spark, sf_dir), bootstrap.positions(_starts(spark, BLOCKS))))
+
+
+def paired_interval(spark, sf_dir):
+    starts = bootstrap.arithmetic_starts(spark, [sum(FOLDS)], [20], REPETITIONS, SEED)
+    return _rounded(bootstrap.paired_interval(_variants(spark, sf_dir), starts, "year", "recent"))
+
+
+def compare_variants(spark, sf_dir):
+    return _rounded(bootstrap.compare(_variants(spark, sf_dir), _starts(spark, BLOCKS), [("year", "half"), ("year", "recent")], check=False))
+
+
+def synthetic_panel(spark, sf_dir):
+    return _rounded(synthetic.observations(spark, scenario="shift"), 9)
+
+
+def synthetic_panel_document(spark, sf_dir):
+    doc = synthetic.panel(spark)
+    return doc.join(panel_violations(doc).select("seed"), "seed", "left_anti").select("schema", "scope", "seed", "scenario", "days", F.to_json("series").alias("series_json"))
+
+
+def outcome_histogram(spark, sf_dir):
+    return evidence.outcome_histogram(panels.table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+def membership_check(spark, sf_dir):
+    """Priorities outside an allowed set, and required ones that no order has."""
+    orders = panels.table(spark, sf_dir, "orders").select("o_orderpriority")
+    allowed = spark.createDataFrame([(x,) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM")], "name string")
+    required = spark.createDataFrame([(x,) for x in ("1-URGENT", "9-NEVER")], "name string")
+    strange = outside(orders, "o_orderpriority", allowed, "name").groupBy(F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("n"))
+    absent = missing_from(required, "name", orders, "o_orderpriority").select("name", F.lit(0).cast("long").alias("n"))
+    return strange.withColumn("reason", F.lit("not allowed")).unionByName(absent.withColumn("reason", F.lit("required")))
+
+
+def evidence_checks(spark, sf_dir):
+    rows = bootstrap.compare(_variants(spark, sf_dir), _starts(spark, BLOCKS), [("year", "half"), ("year", "recent")], check=False)
+    rows = rows.select("reference", "block_dates", F.col("delta").alias("candidate"), F.lit(0.0).alias("control"), "delta", F.col("conditional_low").alias("low"), F.col("conditional_high").alias("high"))
+    return evidence.comparison_checks(rows, ["reference", "block_dates"])
+
+
+def replay_diff(spark, sf_dir):
+    """Two computations of the daily correlations, one of them changed on every tenth date and short of the last ones."""
+    once = metrics.daily_rank_correlation(_cells(spark, sf_dir))
+    again = once.where(F.col("date_id") <= 80).withColumn("rho", F.when(F.col("date_id") % 10 == 0, F.col("rho") + 1e-6).otherwise(F.col("rho") + 1e-13))
+    return provenance.differences(once, again, ["date_id"], ["n_observed", "rho"])
+
+
+def row_fingerprint(spark, sf_dir):
+    parts = panels.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return provenance.row_fingerprint(parts, ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]).select("p_partkey", "sha256")
+
+
+def text_pattern_scan(spark, sf_dir):
+    return scan.pattern_flags(panels.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def html_asset_refs(spark, sf_dir):
+    found = scan.reference_parts(scan.references(panels.table(spark, sf_dir, "pages"), "page_id", "html"))
+    return found.groupBy("page_id", "kind", "reference", "scheme", "host", "path", "fragment", "local").agg(F.count("*").alias("n"))
+
+
+def synthetic_forecast(spark, sf_dir):
+    """The default workload on generated series: 140 fits, 840 forecasts of three models."""
+    return _rounded(rolling.evaluated(synthetic.observations(spark), rolling.RollingConfig(), 240), 9)
+
+
+def synthetic_scores(spark, sf_dir):
+    rows = rolling.forecasts(synthetic.observations(spark), rolling.RollingConfig())
+    return _rounded(rolling.scores(rolling.by_model(rows), ["model"]), 9)
+
+
+def label_stream_replay(spark, sf_dir):
+    """Labels replayed through a stream of micro-batches, then counted by release day."""
+    import tempfile
+
+    from ..schemas import LABEL
+    from ..streaming import labels as streams
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir() + "/checkpoints"
+    import uuid
+
+    base = f"{shared.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
+    panels.event_labels(spark, sf_dir).repartition(4, "released_day").write.parquet(f"{base}/labels")
+    streams.replay_to_table(streams.label_stream(spark, f"{base}/labels", LABEL), f"{base}/out", f"{base}/state")
+    return _rounded(spark.read.schema(LABEL).parquet(f"{base}/out").groupBy("released_day").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = [
+        label_valid_rows, label_violation_rows, label_duplicate_keys, snapshot_available, snapshot_counts_mean, snapshots_all_days, guarded_read,
+        eligibility_ledger, boundary_topk, eligible_ratio, sentinel_nullif, sentinel_rank_corr, sentinel_errors, alignment_check, average_rank,
+        corr_ratio_score, evaluate_summary, horizon_metrics, trailing_features, forward_target, training_rows_range_join, fit_feature_stats,
+        fit_gram_moments, fit_receipts, baseline_mean_forecast, ridge_single_feature, ridge_forecast, model_scores, error_slices, slice_reconciliation,
+        bootstrap_indices, bootstrap_draws, paired_interval, compare_variants, synthetic_panel, synthetic_panel_document, synthetic_forecast, synthetic_scores,
+        outcome_histogram, membership_check, evidence_checks, replay_diff, row_fingerprint, text_pattern_scan, html_asset_refs, label_stream_replay,
+    ]
+    return {"daily_rank_corr": flagship} | {f.__name__: f for f in found}
