@@ -75,5 +75,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str =
     removes = (chars > 0) & (chars < most_share * F.length(F.col(f"o.{text}")))
     places = F.transform(F.col("f.gone"), lambda x: x["pos"])
     cleaned = F.array_join(F.filter(_split(F.col(f"o.{text}")), lambda s, i: ~F.array_contains(places, i)), "\n")
-    outs = [F.when(removes, cleaned).otherwise(F.col(f"o.{text}")).alias(text) if c == text else F.col(f"o.`{c}`") for c in docs.columns]
+    outs = [F.when(removes, cleaned).otherwise(F.col(f"o.{text}")).alias(text) if c == text else F.col(f"o.`{c}`") for c in docs.columns if c not in ("n_lines_removed", "n_chars_removed")]
     return joined.select(*outs, F.when(removes, F.size("f.gone")).otherwise(0).cast("long").alias("n_lines_removed"), F.when(removes, chars).otherwise(0).cast("long").alias("n_chars_removed"))
