@@ -11,7 +11,7 @@ def test_replayed_stream_equals_the_batch(spark, tmp_path):
 
 
 def test_release_counts(spark, tmp_path):
-    authored_labels(spark).write.parquet(str(tmp_path / "in"))
+    authored_labels(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = S.running_release_counts(S.label_stream(spark, str(tmp_path / "in"), LABEL), "2024-01-01")
     query = stream.writeStream.outputMode("update").format("memory").queryName("release_counts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
