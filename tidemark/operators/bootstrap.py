@@ -105,25 +105,24 @@ def compare(daily: DataFrame, starts: DataFrame, comparisons: Sequence[tuple[str
     simultaneous one is the difference plus and minus the 95th percentile, over repetitions, of the
     largest error among all comparisons.
     """
-    spark = daily.sparkSession
     if not comparisons:
         raise ValidationError("no comparisons")
-    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(comparisons)], "ord int, variant string, reference string")
     drawn = draws(daily, positions(starts))
     if check:
         require_spread(drawn)
-    seen = observed(daily)
-    delta = (
-        pairs.join(seen, "variant")
-        .join(seen.withColumnsRenamed({"variant": "reference", "observed": "base"}), "reference")
-        .select("ord", "variant", "reference", (F.col("observed") - F.col("base")).alias("delta"))
+    by_name = lambda value: F.map_from_entries(F.collect_list(F.struct("variant", value)))
+    seen = observed(daily).agg(by_name("observed").alias("seen"))
+    # All variants of a repetition in one row: the draws are made once, and a row knows its largest error.
+    rows = drawn.groupBy("block", "rep").agg(by_name("draw").alias("drawn")).join(F.broadcast(seen))  # one row
+    pair = lambda of: F.array(*(of[a] - of[b] for a, b in comparisons))
+    measured = rows.select("block", pair(F.col("drawn")).alias("d"), pair(F.col("seen")).alias("delta"))
+    errors = F.zip_with("d", "delta", lambda d, o: F.abs(d - o))
+    names = F.array(*(F.struct(F.lit(a).alias("variant"), F.lit(b).alias("reference")) for a, b in comparisons))
+    each = measured.select("block", F.array_max(errors).alias("e"), F.explode(F.arrays_zip(names.alias("names"), F.col("d").alias("d"), F.col("delta").alias("delta"))).alias("p"))
+    bounds = each.groupBy("block", "p.names.variant", "p.names.reference").agg(
+        F.first("p.delta").alias("delta"), _quantiles(F.col("p.d"), (0.025, 0.975)).alias("q"), F.percentile("e", F.lit(0.95)).alias("critical")
     )
-    value = drawn.select("block", "rep", "variant", "draw")
-    base = value.withColumnsRenamed({"variant": "reference", "draw": "base"})
-    differences = F.broadcast(delta).join(value, "variant").join(base, ["block", "rep", "reference"]).select("block", "rep", "ord", "variant", "reference", "delta", (F.col("draw") - F.col("base")).alias("d"))
-    critical = differences.groupBy("block", "rep").agg(F.max(F.abs(F.col("d") - F.col("delta"))).alias("e")).groupBy("block").agg(F.percentile("e", F.lit(0.95)).alias("critical"))
-    bounds = differences.groupBy("block", "ord", "variant", "reference", "delta").agg(_quantiles(F.col("d"), (0.025, 0.975)).alias("q"))
-    return bounds.join(critical, "block").select(
+    return bounds.select(
         "variant",
         "reference",
         F.col("block").alias("block_dates"),

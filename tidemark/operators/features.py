@@ -20,31 +20,36 @@ def _series() -> Window:
     return Window.partitionBy("series_id").orderBy("t")
 
 
-def with_features(obs: DataFrame) -> DataFrame:
-    """(series_id, series_pos, t, f0..f9): last value, means of 5 and 20, the cycle's sine and cosine, series 1 to 5."""
+def _feature_columns() -> list:
     w = _series()
-    past = w.rowsBetween(-WARM_UP, -1)
     columns = [
         F.lag("value", 1).over(w),
         F.avg("value").over(w.rowsBetween(-5, -1)),
-        F.avg("value").over(past),
+        F.avg("value").over(w.rowsBetween(-WARM_UP, -1)),
         F.sin(F.col("t") / 8),
         F.cos(F.col("t") / 8),
         *(one_hot(F.col("series_pos"), k) for k in range(1, 6)),
     ]
-    ready = obs.select("series_id", "series_pos", "t", F.count("value").over(past).alias("n_past"), *(c.alias(n) for n, c in zip(FEATURES, columns, strict=True)))
-    return ready.where(F.col("n_past") == WARM_UP).drop("n_past")
+    return [F.count("value").over(w.rowsBetween(-WARM_UP, -1)).alias("n_past"), *(c.alias(n) for n, c in zip(FEATURES, columns, strict=True))]
+
+
+def _target_columns(horizon: int) -> list:
+    ahead = _series().rowsBetween(0, horizon - 1)
+    return [F.avg("value").over(ahead).alias("y"), F.count("value").over(ahead).alias("n_ahead")]
+
+
+def with_features(obs: DataFrame) -> DataFrame:
+    """(series_id, series_pos, t, f0..f9): last value, means of 5 and 20, the cycle's sine and cosine, series 1 to 5."""
+    return obs.select("series_id", "series_pos", "t", *_feature_columns()).where(F.col("n_past") == WARM_UP).drop("n_past")
 
 
 def with_targets(obs: DataFrame, horizon: int) -> DataFrame:
     """(series_id, series_pos, t, y) for every t with ``horizon`` observations ahead."""
-    ahead = _series().rowsBetween(0, horizon - 1)
-    found = obs.select("series_id", "series_pos", "t", F.avg("value").over(ahead).alias("y"), F.count("value").over(ahead).alias("n_ahead"))
-    return found.where(F.col("n_ahead") == horizon).drop("n_ahead")
+    return obs.select("series_id", "series_pos", "t", *_target_columns(horizon)).where(F.col("n_ahead") == horizon).drop("n_ahead")
 
 
 def label_rows(obs: DataFrame, horizon: int, delay: int) -> DataFrame:
-    """Features, target and release day of every t that has both."""
-    features = with_features(obs)
-    targets = with_targets(obs, horizon).drop("series_pos")
-    return features.join(targets, ["series_id", "t"]).withColumn("released_day", F.col("t") + horizon + delay)
+    """Features, target and release day of every t that has both, from one sort of each series."""
+    both = obs.select("series_id", "series_pos", "t", *_feature_columns(), *_target_columns(horizon))
+    ready = both.where((F.col("n_past") == WARM_UP) & (F.col("n_ahead") == horizon)).drop("n_past", "n_ahead")
+    return ready.withColumn("released_day", F.col("t") + horizon + delay)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation
 from ..validate import ValidationError, finite_number, require, whole_number
-from .features import FEATURES, WARM_UP, label_rows, with_features, with_targets
+from .features import FEATURES, WARM_UP, label_rows
 
 #: A fit on fewer rows fails.
 LEAST_ROWS = 18
@@ -60,20 +60,34 @@ def _scale(column: str):
     return F.coalesce(F.nullif(F.stddev_pop(column), F.lit(0.0)), F.lit(1.0))
 
 
+#: The features that aren't indicators of a series.
+DENSE = FEATURES[:5]
+_PAIRS = [(i, j) for i in range(len(DENSE)) for j in range(i + 1)]
+
+
 def moments(training: DataFrame) -> DataFrame:
-    """By origin: the receipt of its training rows, means and scales, and the lower triangle of the covariances."""
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
-    return training.groupBy("origin").agg(
-        F.count("*").alias("rows"),
-        F.min("t").alias("first_origin"),
-        F.max("t").alias("last_origin"),
-        F.max("released_day").alias("max_release"),
-        F.count_distinct("t").alias("eligible_origins"),
-        F.avg("y").alias("intercept"),
-        F.array(*(F.avg(f) for f in FEATURES)).alias("feature_mean"),
-        F.array(*(_scale(f) for f in FEATURES)).alias("feature_scale"),
-        F.array(*(F.covar_pop(FEATURES[i], FEATURES[j]) for i, j in pairs)).alias("covariance"),
-        F.array(*(F.covar_pop(f, "y") for f in FEATURES)).alias("target_covariance"),
+    """By origin: the receipt of its training rows, and the moments of the dense features for each indicator's rows.
+
+    The indicators' own moments follow from the counts and means of these parts, so that thirty
+    aggregates do instead of a hundred; there are six parts at most, whatever the number of series.
+    """
+    part = F.when(F.col("series_pos").between(1, 5), F.col("series_pos")).otherwise(0)
+    parts = training.groupBy("origin", part.alias("part")).agg(
+        F.count("*").alias("n"),
+        F.min("t").alias("first_t"),
+        F.max("t").alias("last_t"),
+        F.max("released_day").alias("release"),
+        F.collect_set("t").alias("days"),
+        F.array(*(F.avg(c) for c in [*DENSE, "y"])).alias("means"),
+        F.array(*(F.covar_pop(DENSE[i], DENSE[j]) for i, j in _PAIRS), *(F.covar_pop(f, "y") for f in DENSE)).alias("covariances"),
+    )
+    return parts.groupBy("origin").agg(
+        F.sum("n").alias("rows"),
+        F.min("first_t").alias("first_origin"),
+        F.max("last_t").alias("last_origin"),
+        F.max("release").alias("max_release"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("days")))).cast("long").alias("eligible_origins"),
+        F.array_sort(F.collect_list(F.struct("part", "n", "means", "covariances"))).alias("parts"),
     )
 
 
@@ -88,24 +102,42 @@ def receipts(training: DataFrame) -> DataFrame:
     )
 
 
+def _whole(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means of all features and y, and their covariances, from the parts' own."""
+    d, k = len(DENSE), len(FEATURES)
+    n = np.array([p["n"] for p in parts], float)
+    share = n / n.sum()
+    means = np.zeros((len(parts), k + 1))
+    within = np.zeros((k + 1, k + 1))
+    for i, p in enumerate(parts):
+        means[i, [*range(d), k]] = p["means"]
+        if p["part"]:
+            means[i, d + p["part"] - 1] = 1.0
+        own = np.zeros((k + 1, k + 1))
+        for (a, b), c in zip(_PAIRS, p["covariances"], strict=False):
+            own[a, b] = own[b, a] = c
+        own[k, :d] = own[:d, k] = p["covariances"][len(_PAIRS) :]
+        within += share[i] * own
+    centre = share @ means
+    apart = means - centre
+    return centre, within + (share[:, None] * apart).T @ apart, n.sum()
+
+
 def _solver(alpha: float):
     k = len(FEATURES)
-    low = np.tril_indices(k)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
-            scale = np.stack(f["feature_scale"].to_numpy())
-            gram = np.zeros((len(f), k, k))
-            gram[:, low[0], low[1]] = np.stack(f["covariance"].to_numpy())
-            gram[:, low[1], low[0]] = gram[:, low[0], low[1]]
-            n = f["rows"].to_numpy(float)
-            gram *= n[:, None, None] / (scale[:, :, None] * scale[:, None, :])
+            found = [_whole(p) for p in f["parts"]]
+            centre, covariance, n = (np.stack([x[i] for x in found]) for i in range(3))
+            scale = np.sqrt(np.diagonal(covariance, axis1=1, axis2=2)[:, :k])
+            scale = np.where(scale == 0, 1.0, scale)
+            gram = covariance[:, :k, :k] * n[:, None, None] / (scale[:, :, None] * scale[:, None, :])
             gram[:, range(k), range(k)] += alpha
-            right = n[:, None] * np.stack(f["target_covariance"].to_numpy()) / scale
-            f["coefficients"] = list(np.linalg.solve(gram, right[:, :, None])[:, :, 0])
-            yield f.drop(columns=["covariance", "target_covariance"])
+            right = n[:, None] * covariance[:, :k, k] / scale
+            yield f.drop(columns="parts").assign(intercept=centre[:, k], feature_mean=list(centre[:, :k]), feature_scale=list(scale), coefficients=list(np.linalg.solve(gram, right[:, :, None])[:, :, 0]))
 
     return run
 
@@ -135,14 +167,13 @@ def forecasts(obs: DataFrame, config: RollingConfig) -> DataFrame:
     """(series_id, origin, actual, ridge, mean, zero, target_end, released_day) at every origin."""
     training = training_rows(obs, config)
     fit = fits(obs, config).select("origin", "intercept", "feature_mean", "feature_scale", "coefficients")
-    at = with_features(obs).where(F.col("t").between(config.start, config.end)).select("series_id", F.col("t").alias("origin"), F.array(*FEATURES).alias("x"))
-    actual = with_targets(obs, config.horizon).select("series_id", F.col("t").alias("origin"), F.col("y").alias("actual"))
+    # An origin's features and its realised target are one row of the same windows as the labels.
+    at = label_rows(obs, config.horizon, config.delay).where(F.col("t").between(config.start, config.end)).select("series_id", F.col("t").alias("origin"), F.array(*FEATURES).alias("x"), F.col("y").alias("actual"))
     terms = F.transform("x", lambda v, i: F.get("coefficients", i) * (v - F.get("feature_mean", i)) / F.get("feature_scale", i))
     ridge = F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
     return (
         at.join(fit, "origin")
         .join(baseline_means(training), ["origin", "series_id"], "left")
-        .join(actual, ["series_id", "origin"])
         .select(
             "series_id",
             "origin",
