@@ -99,8 +99,8 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_counts_mean": f"WITH {EVENTS} SELECT count(*) FILTER (released_day <= 15) AS available, count(*) FILTER (released_day > 15) AS unreleased, round(round(avg(value) FILTER (released_day <= 15), 8), 6) AS mean_value FROM labels_",
         "snapshots_all_days": f"WITH {EVENTS}, days AS (SELECT unnest(range(1, 37))::BIGINT AS as_of) SELECT as_of, count(*) FILTER (released_day <= as_of) AS available, count(*) FILTER (released_day > as_of) AS unreleased, round(avg(value) FILTER (released_day <= as_of), 6) AS mean_value FROM days, labels_ GROUP BY as_of",
         "guarded_read": f"WITH {EVENTS} SELECT instrument, observed_day, round(value, 6) AS value FROM labels_ WHERE instrument = 'click_1' AND observed_day = 3",
-        "eligibility_ledger": f"WITH {LEDGER} SELECT series_id, origin, target_end, released_day, eligible, round(label, 6) AS label, status FROM ledger",
-        "boundary_topk": f"WITH {LEDGER}, p AS (SELECT *, row_number() OVER (PARTITION BY series_id, eligible ORDER BY CASE WHEN eligible THEN -origin ELSE origin END) AS place FROM ledger) SELECT series_id, origin, eligible, round(label, 6) AS label, place FROM p WHERE place <= 3",
+        "eligibility_ledger": f"WITH {LEDGER} SELECT series_id, origin, target_end, released_day, eligible, round(label, 10) AS label, status FROM ledger",
+        "boundary_topk": f"WITH {LEDGER}, p AS (SELECT *, row_number() OVER (PARTITION BY series_id, eligible ORDER BY CASE WHEN eligible THEN -origin ELSE origin END) AS place FROM ledger) SELECT series_id, origin, eligible, round(label, 10) AS label, place FROM p WHERE place <= 3",
         "eligible_ratio": f"WITH {LEDGER} SELECT series_id, count(*) FILTER (eligible) AS n_eligible, count(*) FILTER (NOT eligible) AS n_withheld, round(count(*) FILTER (eligible) / count(*)::DOUBLE, 6) AS share, max(origin) FILTER (eligible) + 1 AS next_withheld FROM ledger GROUP BY series_id",
         "sentinel_nullif": f"WITH {SENTINEL} SELECT date_id, count(*) AS n_cells, count(nullif(truth, -999999)) AS n_observed FROM cells GROUP BY date_id",
         "sentinel_rank_corr": f"WITH {SENTINEL}, {daily} SELECT date_id, n_observed, round(rho, 6) AS rho FROM daily",
@@ -113,8 +113,8 @@ def oracle_sql() -> dict[str, str]:
             min(date_id) AS first_date, max(date_id) AS last_date, round(arg_min(rho, date_id), 6) AS first_rho, (SELECT round(mae, 2) FROM e) AS mae, (SELECT round(rmse, 2) FROM e) AS rmse FROM daily""",
         "horizon_metrics": f"""WITH {lagged}, n AS (SELECT lag, date_id, count(*) AS n FROM late GROUP BY ALL), s AS (SELECT lag, avg(rho) / stddev_pop(rho) AS score, avg(rho) AS m FROM by_lag JOIN n USING (lag, date_id) WHERE n.n >= 2 GROUP BY lag)
             SELECT lag, round(any_value(score), 6) AS score, round(any_value(m), 6) AS mean_correlation, count(*) FILTER (n.n >= 2) AS eligible_dates, count(*) FILTER (n.n < 2) AS excluded_dates FROM n LEFT JOIN s USING (lag) GROUP BY lag""",
-        "trailing_features": f"WITH {SEGMENT} SELECT series_id, series_pos, t, {_r(features)} FROM feats",
-        "forward_target": f"WITH {SEGMENT} SELECT series_id, series_pos, t, round(y, 6) AS y, t + 8 AS released_day FROM targets",
+        "trailing_features": f"WITH {SEGMENT} SELECT series_id, series_pos, t, {_r(features, 10)} FROM feats",
+        "forward_target": f"WITH {SEGMENT} SELECT series_id, series_pos, t, round(y, 10) AS y, t + 8 AS released_day FROM targets",
         "training_rows_range_join": f"WITH {SEGMENT} SELECT origin, series_id, count(*) AS n_rows, sum(t)::BIGINT AS sum_t, round(avg(y), 6) AS mean_y FROM training GROUP BY ALL",
         "fit_feature_stats": f"WITH {SEGMENT} SELECT origin, {', '.join(f'round(avg({f}) + 0.0, 6) AS mean_{f}' for f in picked)}, {', '.join(f'round(coalesce(nullif(stddev_pop({f}), 0), 1), 6) AS scale_{f}' for f in picked)} FROM training GROUP BY origin",
         "fit_gram_moments": f"WITH {SEGMENT}, g AS (SELECT origin, count(*) * covar_pop(f0, f1) AS g01, count(*) * covar_pop(f1, f2) AS g12, count(*) * var_pop(f3) AS g33, count(*) * covar_pop(f0, y) AS r0, count(*) * covar_pop(f6, y) AS r6 FROM training GROUP BY origin) SELECT origin, {_r(['g01', 'g12', 'g33', 'r0', 'r6'])} FROM g",

@@ -19,6 +19,9 @@ FOLDS, BLOCKS, REPETITIONS, SEED = [41, 40], [4, 10], 60, 42
 #: Cells of brand_month made of fewer line items than this count as missing in the sentinel query.
 FEW_ITEMS = 20
 
+#: Digits at which means of 5 or 20 weekly values, sums of cents in millions, are exact: no ties to round.
+EXACT = 10
+
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that the order of a sum doesn't show; negative zero becomes zero."""
@@ -81,11 +84,11 @@ def _ledger(spark, sf_dir):
 
 
 def eligibility_ledger(spark, sf_dir):
-    return _rounded(_ledger(spark, sf_dir))
+    return _rounded(_ledger(spark, sf_dir), EXACT)
 
 
 def boundary_topk(spark, sf_dir):
-    return _rounded(availability.boundary(_ledger(spark, sf_dir)).select("series_id", "origin", "eligible", "label", F.col("place").cast("long").alias("place")))
+    return _rounded(availability.boundary(_ledger(spark, sf_dir)).select("series_id", "origin", "eligible", "label", F.col("place").cast("long").alias("place")), EXACT)
 
 
 def eligible_ratio(spark, sf_dir):
@@ -141,12 +144,12 @@ def horizon_metrics(spark, sf_dir):
 
 
 def trailing_features(spark, sf_dir):
-    return _rounded(features.with_features(panels.segment_week(spark, sf_dir)))
+    return _rounded(features.with_features(panels.segment_week(spark, sf_dir)), EXACT)
 
 
 def forward_target(spark, sf_dir):
     found = features.with_targets(panels.segment_week(spark, sf_dir), CONFIG.horizon)
-    return _rounded(found.withColumn("released_day", F.col("t") + CONFIG.horizon + CONFIG.delay))
+    return _rounded(found.withColumn("released_day", F.col("t") + CONFIG.horizon + CONFIG.delay), EXACT)
 
 
 def _training(spark, sf_dir):
