@@ -20,6 +20,8 @@ Repeated rows are judged each; empty tables give empty tables; other columns are
 
 from __future__ import annotations
 
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import row_hash_order, shuffle_width
 
 #: Keys per range looked at for the ranges' bounds.
-BOUND_KEYS = 50
+BOUND_KEYS = 10
 
 
 def ascii_lower(column: Column) -> Column:
@@ -81,13 +83,34 @@ def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["url", "rule", "host_length", "blocks"])
 
 
-def _ranges(keys: DataFrame, width: int) -> list[str]:
-    """At most ``width`` - 1 bounds, from the keys of lowest hash; repeated where a key is very common."""
+def _bounds(keys: DataFrame, width: int) -> list[str]:
+    """At most ``width`` - 1 sorted bounds, from the keys of lowest hash; repeated where a key is very common."""
     picked = keys.select("key", F.xxhash64("url", "key").alias("h")).orderBy("h", "key").limit(BOUND_KEYS * width)
     found = sorted(r["key"] for r in picked.select("key").collect())
     return [found[i * len(found) // width] for i in range(1, width)] if found else []
 
 
+_ROW = "range int, key string, url string, rule string, host_length int, blocks boolean"
+
+
+def _placed(bounds: list[str]):
+    """Gives rows their range by bisection: a rule's are all that hold a key it is a prefix of."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ranges: list[list[int]] = []
+            for key, url in zip(frame["key"], frame["url"], strict=True):
+                low = bisect_left(bounds, key)
+                if url is None:
+                    ranges.append(list(range(low, bisect_right(bounds, key, key=lambda b, n=len(key): b[:n]) + 1)))
+                else:  # a key that is itself a bound may go to any of its ranges
+                    ranges.append([low + zlib.crc32(url.encode()) % (bisect_right(bounds, key) - low + 1)])
+            frame["range"] = ranges
+            yield frame.explode("range").astype({"range": "int32"})[["range", "key", "url", "rule", "host_length", "blocks"]]
+
+    return run
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """For each distinct non-null ``url`` that a rule fits: ``url``, ``rule`` and ``blocks`` of the longest."""
     spark = urls.sparkSession
@@ -100,14 +123,11 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
         .select("url", "path", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("depth"))
         .select("url", F.concat(_suffix(F.col("labels"), F.col("depth")), "path").alias("key"))
     )
-    bounds = F.lit(_ranges(keys, width) or [""])
-    # The range of a key: how many bounds are not above it; a key that is itself a bound may go to any of its ranges.
-    low, high = F.size(F.filter(bounds, lambda b: b < F.col("key"))), F.size(F.filter(bounds, lambda b: b <= F.col("key")))
-    last = F.size(F.filter(bounds, lambda b: (b < F.col("key")) | b.startswith(F.col("key"))))
-    urls_at = keys.select((low + F.pmod(F.xxhash64("url"), high - low + 1).cast("int")).alias("range"), "key", "url", *(F.lit(None).cast(t).alias(c) for c, t in (("rule", "string"), ("host_length", "int"), ("blocks", "boolean"))))
-    rules_at = _rule_keys(rules).select(F.explode(F.sequence(low, last)).alias("range"), "key", F.lit(None).cast("string").alias("url"), "rule", "host_length", "blocks")
+    no_rule = [F.lit(None).cast(t).alias(c) for c, t in (("rule", "string"), ("host_length", "int"), ("blocks", "boolean"))]
+    no_url = F.lit(None).cast("string").alias("url")
+    rows = keys.select("key", "url", *no_rule).unionByName(_rule_keys(rules).select("key", no_url, "rule", "host_length", "blocks"))
     swept = (
-        urls_at.unionByName(rules_at)
+        rows.mapInPandas(_placed(_bounds(keys, width)), _ROW)
         .repartition(shuffle_width(spark), "range")
         .sortWithinPartitions("range", "key", F.col("url").asc_nulls_first())
         .mapInPandas(_sweep, "url string, rule string, host_length int, blocks boolean")
