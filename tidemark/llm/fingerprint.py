@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,8 +186,15 @@ def followed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     steps = [i / width for i in range(1, width)] or [0.5]
     bounds = rows.agg(F.percentile_approx("doc_id", steps, 10 * width).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
-    at = F.coalesce(F.size(F.filter(F.lit(bounds or [0]), lambda b: b <= F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    placed = rows.withColumn("range", at)
+    edges = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:  # a null id comes before all others
+        found = np.searchsorted(edges, ids.fillna(np.iinfo(np.int64).min).to_numpy().astype(np.int64), "right")
+        return pd.Series(found.astype(np.int32))
+
+    # The smallest long stands in for null, so that the ids stay whole numbers on their way.
+    placed = rows.withColumn("range", range_of(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))))
     lowest = {r["range"]: r["low"] for r in placed.groupBy("range").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull().cast("int")).alias("no_id")).select("range", F.when(F.col("no_id") == 1, F.lit(None)).otherwise(F.col("low")).alias("low")).collect()}
     ranges = sorted(lowest)
     ends = [(lowest[b], a, 1) for a, b in zip(ranges, ranges[1:], strict=False)] + [(lowest[ranges[0]], ranges[-1], 2)] if ranges else []
