@@ -65,3 +65,9 @@ def test_snapshots_equal_single_ones(spark):
         one = A.counts(labels, r.as_of).first()
         assert (r.available, r.unreleased) == (one.available, one.unreleased)
         assert r.mean_value == pytest.approx(one.mean_value) if one.mean_value is not None else r.mean_value is None
+
+
+def test_demonstration(spark):
+    shown = A.demonstration(authored_labels(spark), 5, "metal_alpha", 2)
+    assert (shown["available"], shown["unreleased"], shown["mean_value"]) == (2, 2, 0.05)
+    assert shown["keys"] == [["metal_alpha", 1], ["metal_beta", 1]] and "day 6" in shown["rejected"]

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,10 @@ def test_run_log(tmp_path):
     log = files.RunLog(tmp_path / "log")
     log.event("start", stage="x")
     assert json.loads((tmp_path / "log").read_text())["stage"] == "x"
+    beating = files.RunLog(tmp_path / "beats", heartbeat_seconds=0.05)
+    with beating.stage("fit"):
+        time.sleep(0.3)
+    with pytest.raises(RuntimeError), beating.stage("score"):
+        raise RuntimeError
+    events = [json.loads(x)["event"] for x in (tmp_path / "beats").read_text().splitlines()]
+    assert events[0] == "stage_started" and "stage_running" in events and "stage_finished" in events and events[-1] == "stage_failed"

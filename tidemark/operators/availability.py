@@ -104,3 +104,22 @@ def eligible_share(ledger: DataFrame) -> DataFrame:
         (F.count_if("eligible") / F.count("*")).alias("share"),
         (F.max(F.when(F.col("eligible"), F.col("origin"))) + 1).alias("next_withheld"),
     )
+
+
+def available_keys(labels: DataFrame, as_of: int) -> DataFrame:
+    """One row: the keys of the available labels in the order of the snapshot."""
+    found = available(labels, as_of).select("released_day", "instrument", "observed_day")
+    ordered = F.array_sort(F.collect_list(F.struct("released_day", "instrument", "observed_day")))
+    return found.agg(F.transform(ordered, lambda k: F.struct(k["instrument"].alias("instrument"), k["observed_day"].alias("observed_day"))).alias("keys"))
+
+
+def demonstration(labels: DataFrame, as_of: int, instrument: str, observed_day: int) -> dict:
+    """What a snapshot shows: counts, mean, keys, and why one label can't be read yet."""
+    counted = counts(checked_labels(labels), as_of).first()
+    try:
+        read_label(labels, instrument, observed_day, as_of)
+        reason = None
+    except UnreleasedLabelError as e:
+        reason = str(e)
+    keys = [[k["instrument"], k["observed_day"]] for k in available_keys(labels, as_of).first()["keys"]]
+    return {"as_of": as_of, "available": counted["available"], "unreleased": counted["unreleased"], "mean_value": counted["mean_value"], "keys": keys, "rejected": reason}

@@ -146,5 +146,12 @@ def oracle_sql() -> dict[str, str]:
             regexp_matches(text, '(?i)(?:password|secret|token|key)\s*[:=]\s*["''][^"'']{8,}["'']') AS assignment FROM documents) SELECT * FROM f WHERE credential OR locator OR network OR assignment""",
         "html_asset_refs": f"WITH {REFS} SELECT page_id, kind, reference, scheme, host, path, fragment, scheme = '' AND host = '' AS local, count(*) AS n FROM parts GROUP BY ALL",
         "label_stream_replay": f"WITH {EVENTS} SELECT released_day, count(*) AS n, round(sum(value), 6) AS total FROM labels_ GROUP BY released_day",
+        "available_keys": f"WITH {EVENTS} SELECT string_agg(instrument || ':' || observed_day, ',' ORDER BY released_day, instrument, observed_day) AS key_list FROM labels_ WHERE released_day <= 15",
+        "release_check_count": f"WITH {SEGMENT}, r AS (SELECT origin, max(released_day) AS m FROM training GROUP BY origin) SELECT count(*) FILTER (m <= origin) AS in_time, count(*) AS fits FROM r",
+        "origin_lookup": f"WITH {SEGMENT} SELECT origin, count(*) AS n_rows, min(t) AS first_origin, max(t) AS last_origin, max(released_day) AS max_release, count(DISTINCT t) AS eligible_origins FROM training WHERE origin = 219 GROUP BY origin",
+        "series_extent": f"WITH {SEGMENT} SELECT series_id, min(t) AS first_t, max(t) AS last_t, round(min(value), 10) AS low, round(max(value), 10) AS high FROM obs GROUP BY series_id",
+        "fold_offsets": f"WITH {FOLDED}, s AS (SELECT DISTINCT block, rep, fold, length, fold_offset, blk FROM starts) SELECT block, fold, length, fold_offset, count(*) AS n_blocks FROM s GROUP BY ALL",
+        "manifest_diff": "SELECT * FROM (VALUES ('7', 'missing'), ('5', 'changed'), ('-1', 'unexpected')) v(path, reason) WHERE path = '-1' OR path IN (SELECT p_partkey::VARCHAR FROM part)",
+        "markup_totals": "SELECT count(*) AS n_files, sum(strlen(html))::BIGINT AS total_bytes, count(DISTINCT page_id) AS n_distinct FROM pages",
     }
     return sql

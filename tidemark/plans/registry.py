@@ -78,6 +78,11 @@ def guarded_read(spark, sf_dir):
     return _rounded(availability.guarded(panels.event_labels(spark, sf_dir), "click_1", 3, 30))
 
 
+def available_keys(spark, sf_dir):
+    keys = availability.available_keys(panels.event_labels(spark, sf_dir), AS_OF)
+    return keys.select(F.array_join(F.transform("keys", lambda k: F.concat_ws(":", k["instrument"], k["observed_day"].cast("string"))), ",").alias("key_list"))
+
+
 def _ledger(spark, sf_dir):
     targets = features.with_targets(panels.segment_week(spark, sf_dir), LEDGER_HORIZON)
     return availability.ledger(targets, LEDGER_ORIGIN, LEDGER_HORIZON, LEDGER_DELAY, LEDGER_WINDOW)
@@ -244,6 +249,48 @@ def synthetic_panel_document(spark, sf_dir):
     return doc.join(panel_violations(doc).select("seed"), "seed", "left_anti").select("schema", "scope", "seed", "scenario", "days", F.to_json("series").alias("series_json"))
 
 
+def release_check_count(spark, sf_dir):
+    """How many fits trained only on labels released by their origin."""
+    receipts = rolling.receipts(_training(spark, sf_dir))
+    return receipts.agg(F.count_if(F.col("max_release") <= F.col("origin")).alias("in_time"), F.count("*").alias("fits"))
+
+
+def origin_lookup(spark, sf_dir):
+    """The receipt of the origin nearest to a request outside the evaluated range."""
+    wanted = spark.range(1).select(scalars.clamp(F.lit(1000.4), CONFIG.start, CONFIG.end).alias("wanted"))
+    return rolling.receipts(_training(spark, sf_dir)).join(F.broadcast(wanted), F.col("origin") == F.col("wanted")).drop("wanted")
+
+
+def series_extent(spark, sf_dir):
+    """Axis bounds: extremes of value and day by series."""
+    obs = panels.segment_week(spark, sf_dir)
+    return _rounded(obs.groupBy("series_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.min("value").alias("low"), F.max("value").alias("high")), EXACT)
+
+
+def fold_offsets(spark, sf_dir):
+    starts = _starts(spark, BLOCKS)
+    return starts.groupBy("block", "fold", "length", "fold_offset").agg(F.count("*").alias("n_blocks"))
+
+
+def manifest_diff(spark, sf_dir):
+    """Digests of parts against those of a copy with a changed, a missing and an extra one."""
+    parts = panels.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_name")
+    key = F.col("path").cast("long")
+    copy = parts.where(key != 7).select("path", F.when(key == 5, "other").otherwise(F.col("p_name")).alias("p_name")).unionByName(spark.createDataFrame([("-1", "new")], "path string, p_name string"))
+    return provenance.manifest_differences(provenance.row_fingerprint(parts, ["p_name"]), provenance.row_fingerprint(copy, ["p_name"]))
+
+
+def markup_totals(spark, sf_dir):
+    pages = panels.table(spark, sf_dir, "pages")
+    return pages.agg(F.count("*").alias("n_files"), F.sum(F.octet_length("html")).cast("long").alias("total_bytes"), F.count_distinct("page_id").alias("n_distinct"))
+
+
+def export_document(spark, sf_dir):
+    obs = synthetic.observations(spark)
+    rows = rolling.forecasts(obs, CONFIG)
+    return provenance.export_document(obs, rows, {"horizon": CONFIG.horizon, "delay": CONFIG.delay}, {"series_id": "A", "model": "ridge", "forecast_origin": 120})
+
+
 def outcome_histogram(spark, sf_dir):
     return evidence.outcome_histogram(panels.table(spark, sf_dir, "orders"), "o_orderstatus")
 
@@ -323,5 +370,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fit_gram_moments, fit_receipts, baseline_mean_forecast, ridge_single_feature, ridge_forecast, model_scores, error_slices, slice_reconciliation,
         bootstrap_indices, bootstrap_draws, paired_interval, compare_variants, synthetic_panel, synthetic_panel_document, synthetic_forecast, synthetic_scores,
         outcome_histogram, membership_check, evidence_checks, replay_diff, row_fingerprint, text_pattern_scan, html_asset_refs, label_stream_replay,
+        available_keys, release_check_count, origin_lookup, series_extent, fold_offsets, manifest_diff, markup_totals, export_document,
     ]
     return {"daily_rank_corr": flagship} | {f.__name__: f for f in found}
