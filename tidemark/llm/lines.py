@@ -65,7 +65,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float = MOST_SHARE) -> DataFrame:
     """``docs`` with ``text`` cleaned, and the long columns ``n_lines_removed`` and ``n_chars_removed``."""
     lines = written(_lines(docs, key, text, site, min_words), "lines")  # hashes and places, read three times
-    common = boilerplate(lines, min_sites).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+    # As a table, so that both sides of the join are plain exchanges and a very common line's rows can be split.
+    common = written(boilerplate(lines, min_sites).select(F.col("h1").alias("c1"), F.col("h2").alias("c2")), "boilerplate")
     hit = lines.select("d", "t", "pos", "n", "h1", "h2").join(common, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_semi")
     # Equal rows give their positions more than once: a set.
     found = hit.groupBy("d", "t").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
