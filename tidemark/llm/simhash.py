@@ -300,7 +300,8 @@ def components(table: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     group = rooted.unionAll(rooted.select(F.col("root").alias("node"), "root").distinct())
     lowest = group.join(distinct, F.col("node") == F.col("print")).groupBy("root").agg(F.min("first").alias("lowest"))
     moved = group.join(lowest, "root").select("node", "lowest")
-    known = distinct.join(moved, F.col("print") == F.col("node"), "left").select(F.col("print").alias("p"), F.coalesce("lowest", "first").alias("component_id"))
+    # As a table, so that both sides of the last join are plain exchanges and the rows of a fingerprint that many copies share can be split.
+    known = written(distinct.join(moved, F.col("print") == F.col("node"), "left").select(F.col("print").alias("p"), F.coalesce("lowest", "first").alias("component_id")), "components")
     return table.join(known, F.col("print") == F.col("p")).select("doc_id", "print", "component_id")
 
 
