@@ -100,6 +100,7 @@ def scanner() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return element, compose.astype(np.int16), table[:, FRESH].astype(np.int8), begins
 
 
+@lru_cache(1)
 def class_table() -> np.ndarray:
     """Every code point's class, as the tokenizer library itself sees ``\\p{L}``, ``\\p{N}`` and ``\\s``."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
