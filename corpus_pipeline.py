@@ -1,8 +1,8 @@
 """From raw documents to packed sequences.
 
 The stages, each of which works on all rows that the one before it kept: quality rules (rejected
-documents go), line dedup (boilerplate lines go), SimHash near-dedup (one document of each group
-stays, that with the smallest doc_id), secret scans (secrets are replaced by a mark) and packing.
+documents go), line dedup (boilerplate lines go), near-dedup (one document of each group of five-word
+Jaccard similarity 0.8 or more stays, that with the smallest doc_id), secret scans (secrets are replaced by a mark) and packing.
 All but the last return the columns of ``documents``, with ``n_chars`` that of the text at hand.
 
 Defined results: ids identify documents, so rows that repeat an id are one document after near-dedup;
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, packing, quality, secrets, simhash
+from tidemark.llm import jaccard, lines, packing, quality, secrets
 from tidemark.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
+    groups = jaccard.near_duplicates(docs)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
     return docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id"])
 
@@ -49,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_rules), ("lines", line_dedup), ("simhash", near_dedup), ("secrets", secret_scan), ("packing", pack)]
 
-#: SQL has neither the hashes of the quality and SimHash stages nor zstandard; brute-force tests stand in.
+#: SQL has neither the hashes of the quality and near-dedup stages nor zstandard; brute-force tests stand in.
 ORACLE_SQL = None
 
 

@@ -52,7 +52,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def shingle_spans(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shingle_spans(body: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes with single spaces between words; start and end of each shingle in them; shingles before each document (n+1)."""
     white = _WHITE[body]
     fresh = np.empty(len(body), bool)
@@ -74,11 +74,11 @@ def shingle_spans(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     last = first_word[1:][np.diff(first_word) > 0] - 1
     ends[last] = before[at[1:]][np.diff(first_word) > 0]
     words = np.diff(first_word)
-    counts = np.where(words >= SHINGLE, words - SHINGLE + 1, np.minimum(words, 1))
+    counts = np.where(words >= size, words - size + 1, np.minimum(words, 1))
     total = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=total[1:])
     head = np.repeat(first_word[:-1] - total[:-1], counts) + np.arange(total[-1])
-    tail = head + np.repeat(np.minimum(words, SHINGLE) - 1, counts)
+    tail = head + np.repeat(np.minimum(words, size) - 1, counts)
     return lowered, word[head], ends[tail], total
 
 
