@@ -46,3 +46,11 @@ def test_near_copies_of_similarity_four_fifths_are_one_document(spark):
     stay = corpus_pipeline.near_dedup(spark, frame, "")
     assert {r.doc_id for r in stay.collect()} == set(root)
     assert corpus_pipeline.near_dedup(spark, frame.limit(0), "").isEmpty()
+
+
+def test_pipeline_removes_boilerplate_whatever_its_share(spark):
+    shared = "a long passage that stands on many sites of the table and makes up most of a short page"
+    rows = [(i, f"{shared}\nown words {i}", f"s{i}") for i in range(6)] + [(10 + i, f"{shared}\n \n{shared}", f"s{i}") for i in range(2)]
+    frame = spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, "").collect()}
+    assert got == {d: f"own words {d}" if d < 10 else t for d, t, _ in rows}

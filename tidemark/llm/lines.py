@@ -6,6 +6,8 @@ is near ``min_sites`` get exact distinct counts; clear ones are decided by the e
 at the small counts in question is far below the margin. Lines on at least ``min_sites`` sites are
 boilerplate and removed from every document where they don't make up ``most_share`` of its
 characters: a document that consists of shared lines is a copy, left whole for near-duplicate search.
+Without ``most_share`` only documents of which no word would be left are such copies, and boilerplate
+goes from all others, whatever its share.
 
 Only hashes, sites and positions are shuffled for the counts; texts move once, to be joined with the
 positions to remove. A line that a third of all documents share is pre-aggregated before each
@@ -62,7 +64,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return guessed.where(F.col("guess") >= high).select("h1", "h2").unionAll(exact.select("h1", "h2"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float = MOST_SHARE) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float | None = MOST_SHARE) -> DataFrame:
     """``docs`` with ``text`` cleaned, and the long columns ``n_lines_removed`` and ``n_chars_removed``."""
     lines = written(_lines(docs, key, text, site, min_words), "lines")  # hashes and places, read three times
     # As a table, so that both sides of the join are plain exchanges and a very common line's rows can be split.
@@ -73,8 +75,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str =
     found = found.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "gone")
     joined = docs.alias("o").join(found.alias("f"), F.col(f"o.{key}").eqNullSafe(F.col("f.__d")) & (F.xxhash64(F.col(f"o.{text}")) == F.col("f.__t")), "left")
     chars = F.aggregate(F.coalesce(F.col("f.gone"), F.array().cast("array<struct<pos:int,n:int>>")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    removes = (chars > 0) & (chars < most_share * F.length(F.col(f"o.{text}")))
     places = F.transform(F.col("f.gone"), lambda x: x["pos"])
     cleaned = F.array_join(F.filter(_split(F.col(f"o.{text}")), lambda s, i: ~F.array_contains(places, i)), "\n")
+    most = cleaned.rlike(r"[^\x20\x09-\x0D]") if most_share is None else chars < most_share * F.length(F.col(f"o.{text}"))
+    removes = (chars > 0) & most
     outs = [F.when(removes, cleaned).otherwise(F.col(f"o.{text}")).alias(text) if c == text else F.col(f"o.`{c}`") for c in docs.columns if c not in ("n_lines_removed", "n_chars_removed")]
     return joined.select(*outs, F.when(removes, F.size("f.gone")).otherwise(0).cast("long").alias("n_lines_removed"), F.when(removes, chars).otherwise(0).cast("long").alias("n_chars_removed"))
