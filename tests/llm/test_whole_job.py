@@ -2,10 +2,11 @@
 
 import itertools
 import random
+import string
 
 import corpus_pipeline
 from tests.llm import brute
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, secrets
 
 
 def shingles(text):
@@ -48,6 +49,39 @@ def test_near_copies_of_similarity_four_fifths_are_one_document(spark):
     assert corpus_pipeline.near_dedup(spark, frame.limit(0), "").isEmpty()
 
 
+def test_secrets_anywhere_in_the_paragraph():
+    value, short = "Q7xT2vLp9ZkR4mWcY8bN", "q7Xt2Vlp9zKr"
+    far = " and so on with plain words" * 6
+    for text in (
+        f"Password:\n{short}\nis it",
+        f"db:\n  password: |\n    {value}\n  host: localhost",
+        f"API key: {value}",
+        f"your access key {short} works",
+        f"{value} is the password",
+        f"The password{far} is {value} now",
+        f"the password is {short} today",
+        "Password:\ncorrecthorsebattery",
+    ):
+        spans = secrets.find(text.encode())
+        assert len(spans) == 1 and text[spans[0][3] : spans[0][2]] in (value, short, "correcthorsebattery"), text
+    for text in (f"the password is short\n\n{value}", "responsibility, getElementById, /usr/share/python3/site-packages and RELEASE_NOTES_2024 have no token", f"no word here {value}"):
+        assert secrets.find(text.encode()) == []
+
+
+def test_private_key_bodies(spark):
+    rng = random.Random(3)
+    body = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(5)] + ["aGk="]
+    pem = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "", *body, "-----END RSA PRIVATE KEY-----"])
+    one = "-----BEGIN PRIVATE KEY-----\\n" + body[0] + "\\naGk=\\n-----END PRIVATE KEY-----"
+    cut = "\n".join(["-----BEGIN PRIVATE KEY-----", *body])
+    texts = [f"key\n{pem}\nplain words", f'"{one}"', cut, "responsibility\nhere", f"the password\n{body[1]}", body[2]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert not any(b in got[i] for i in (0, 1, 2) for b in body) and body[1] not in got[4]
+    assert got[0].endswith("-----END RSA PRIVATE KEY-----\nplain words")
+    assert (got[3], got[5]) == (texts[3], texts[5])
+
+
 def test_pipeline_removes_boilerplate_whatever_its_share(spark):
     shared = "a long passage that stands on many sites of the table and makes up most of a short page"
     rows = [(i, f"{shared}\nown words {i}", f"s{i}") for i in range(6)] + [(10 + i, f"{shared}\n \n{shared}", f"s{i}") for i in range(2)]

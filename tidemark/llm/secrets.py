@@ -4,11 +4,15 @@ Base kinds, on bytes (their characters are all ASCII): ``assign`` (a sensitive n
 and a value of 12 or more characters), ``access`` (access key ids of 18 or more) and ``hex`` (runs of
 16 or more lower-case hex digits); leftmost, not overlapping within a kind.
 
-Novelty. After a sensitive word, on its line, each run of 16 or more token characters is a candidate.
-Its marginal size is what it adds to the zstandard frame of the text around it, compressed with a
+Novelty. Candidates are runs of token characters in the paragraph of a sensitive word, before or after
+it: runs of 16 or more that begin within 48 bytes after the word on its line, runs of 12 or more that are
+its value (after a colon or equals sign, on its line or the next), and all other runs of 12 or more that
+are not made like words (letters in one case or in humps, at most four digits at the end of each part),
+as an unknown word is as novel as a random string of its length. A candidate's marginal size is what it adds to the zstandard frame of the text around it, compressed with a
 dictionary of identifiers: a word, a path or a name that the context or dictionary already holds adds
-a few bytes, a random string as many as it has. If it adds at least ``NOVEL`` bytes for a character it
-is reported as ``novel``, unless a base span overlaps it.
+a few bytes, a random string as many as it has. If it adds at least ``NOVEL`` bytes for a character
+(``NOVEL_RUN`` where it is not made like words) it is reported as ``novel``, unless a base span overlaps it. The body of a PEM private key is ``novel`` line
+by line, whatever it adds. No span leaves its text or its line.
 
 Spans are in code points, end exclusive. Defined results: null and empty texts have none; texts of any
 length are scanned whole; ties in start are ordered as the kinds are listed; repeated rows are scanned
@@ -19,7 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -34,11 +39,22 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
-SENSITIVE = re.compile(rb"(?i)passphrase|passcode|password|passwd|pwd|credential|authorization|bearer|private[_-]?key|access[_-]?key|signing|secret|token|api[_-]?key")
+SENSITIVE = re.compile(rb"(?i)passphrase|passcode|password|passwd|pwd|credential|authorization|bearer|private[\x20_-]?key|access[\x20_-]?key|signing|secret|token|api[\x20_-]?key")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-#: Bytes after a sensitive word in which a candidate may begin, and of context on either side of it.
+#: Candidates of the whole paragraph; what leads from a word to its value; runs made like words.
+RUN = re.compile(rb"[A-Za-z0-9+/_=-]{12,}")
+LEADS = re.compile(rb"""["']?[\x20\t]*[:=][\x20\t]*[|>]?[+-]?[\x20\t\r]*\n?[\x20\t]*["']?""")
+_PART = rb"(?:(?:[A-Z]*+[a-z]{2,}+|As|At|By|Id|In|Is|No|Of|On|Or|To|Up)*+(?:[A-Z]{2,}+)?[0-9]{0,4}+|[A-Za-z]|[0-9]++)"
+WORDLIKE = re.compile(rb"[+/_=-]*+(?:" + _PART + rb"[+/_=-]++)*+" + _PART)
+BLANK = re.compile(rb"\n[\x20\t\r]*(?=\n)")
+PEM = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Lines of a PEM body: its text with indentation and quotes, a header, or nothing.
+PEM_LINE = re.compile(rb"""[\x20\t>"'#*]*([A-Za-z0-9+/=]*)[\x20\t\r\\n"',;+]*|[\x20\t]*[A-Za-z-]+:\x20.*""")
+#: Bytes after a sensitive word in which a candidate made like a word may begin, and of context on either side of it.
 REACH, CONTEXT = 48, 192
 NOVEL = 0.75
+#: As much for runs that aren't made like words: digits and one case hold 0.65 bytes a character, 32 signs 0.63.
+NOVEL_RUN = 0.5
 MARK = "[SECRET]"
 #: Identifiers and words that code and configuration commonly hold.
 IDENTIFIERS = (
@@ -78,8 +94,30 @@ def _hex_runs(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[long], end[long]
 
 
-def find(raw: bytes) -> list[tuple[int, int, int, int]]:
-    """(start, kind, end, start of the value) of all spans of a text, in bytes. No span holds a line end."""
+def _pem(raw: bytes, end: int, head: int) -> Iterator[tuple[int, int]]:
+    """Spans of a PEM body whose header ends at ``head``, in a text that ends at ``end``."""
+    at = head
+    while at < end:
+        stop = raw.find(b"\n", at, end)
+        stop = end if stop < 0 else stop
+        foot = raw.find(b"-----END", at, stop)
+        if at == head or foot >= 0:  # the rest of the header's line, or a last line: up to the footer
+            last = stop if foot < 0 else foot
+            if at < last and RUN.search(raw, at, last):
+                yield at, last
+        else:
+            m = PEM_LINE.fullmatch(raw, at, stop)
+            if not m:
+                return
+            if m[1]:
+                yield m.span(1)
+        if foot >= 0:
+            return
+        at = stop + 1
+
+
+def find(raw: bytes, begin: Sequence[int] = (0,)) -> list[tuple[int, int, int, int]]:
+    """(start, kind, end, start of the value) of all spans, in bytes, of texts that begin at ``begin`` and are joined by line ends. No span holds a line end."""
     base = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(raw) if m.end(2) - m.start(2) >= LEAST_VALUE]
     base += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= LEAST_ACCESS]
     base += [(a, 2, b, a) for a, b in zip(*(x.tolist() for x in _hex_runs(np.frombuffer(raw, np.uint8))), strict=True)]
@@ -87,20 +125,56 @@ def find(raw: bytes) -> list[tuple[int, int, int, int]]:
     starts = [a for a, _ in covered]
     furthest = np.maximum.accumulate([b for _, b in covered]) if covered else np.zeros(0, np.int64)
     novel: dict[int, int] = {}
-    for word in SENSITIVE.finditer(raw):
-        line_end = raw.find(b"\n", word.end())
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(starts, b) - 1  # the last base span that begins before the end
+        return i < 0 or furthest[i] <= a
+
+    def is_novel(a: int, b: int, least: float) -> bool:
+        line_start = raw.rfind(b"\n", 0, a) + 1
+        line_end = raw.find(b"\n", b)
+        before = raw[max(line_start, a - CONTEXT) : a]
+        after = raw[b : min(len(raw) if line_end < 0 else line_end, b + CONTEXT)]
+        return marginal_bytes(raw[a:b], before, after) >= least * (b - a)
+
+    def ends_at(place: int) -> int:
+        """The end of the text that holds a place."""
+        i = bisect_right(begin, place)
+        return begin[i] - 1 if i < len(begin) else len(raw)
+
+    for head in PEM.finditer(raw):
+        novel.update((a, b) for a, b in _pem(raw, ends_at(head.start()), head.end()) if free(a, b))
+    words = [m.span() for m in SENSITIVE.finditer(raw)]
+    values = set()
+    for _, w in words:
+        line_end = raw.find(b"\n", w)
         line_end = len(raw) if line_end < 0 else line_end
-        for m in CANDIDATE.finditer(raw, word.end(), line_end):
+        for m in CANDIDATE.finditer(raw, w, line_end):
             a, b = m.span()
-            if a > word.end() + REACH:
+            if a > w + REACH:
                 break
-            i = int(np.searchsorted(starts, b)) - 1  # the last base span that begins before the end
-            if a in novel or i >= 0 and furthest[i] > a:
+            if a not in novel and free(a, b) and is_novel(a, b, NOVEL):
+                novel[a] = b
+        lead = LEADS.match(raw, w, ends_at(w))
+        if lead:
+            values.add(lead.end())
+    blanks = [m.start() for m in BLANK.finditer(raw)] if words else []
+    done = 0  # the paragraphs up to here have been searched
+    for w, _ in words:
+        if w < done:
+            continue
+        i, k = bisect_right(begin, w), bisect_left(blanks, w)
+        first = max(begin[i - 1], blanks[k - 1] if k else 0)
+        done = min(ends_at(w), blanks[k] if k < len(blanks) else len(raw))
+        taken = sorted((a, novel[a]) for a in novel if first <= a < done)
+        opens = [a for a, _ in taken]
+        for m in RUN.finditer(raw, first, done):
+            a, b = m.span()
+            like = WORDLIKE.fullmatch(m[0])
+            if like and a not in values:
                 continue
-            line_start = raw.rfind(b"\n", 0, a) + 1
-            before = raw[max(line_start, a - CONTEXT) : a]
-            after = raw[b : min(line_end, b + CONTEXT)]
-            if marginal_bytes(m[0], before, after) >= NOVEL * (b - a):
+            k = bisect_left(opens, b) - 1
+            if (k < 0 or taken[k][1] <= a) and free(a, b) and is_novel(a, b, NOVEL if like else NOVEL_RUN):
                 novel[a] = b
     return sorted(base + [(a, 3, b, a) for a, b in novel.items()])
 
@@ -112,7 +186,7 @@ def _each(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, bytes, list
     joined = np.full(len(body) + n, 10, np.uint8)
     joined[np.arange(len(body)) + np.repeat(np.arange(n), np.diff(at))] = body
     begin = at[:-1] + np.arange(n)
-    spans = find(joined.tobytes())
+    spans = find(joined.tobytes(), begin.tolist() or [0])
     rows = np.searchsorted(begin, [s[0] for s in spans], "right") - 1 if spans else []
     by_row: dict[int, list] = {}
     for r, (a, k, b, v) in zip(rows, spans, strict=True):
