@@ -47,35 +47,45 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _hash(number: int, *words: str) -> int:
-    """Spark's chained hash of an int and strings, as a bucket's source."""
-    h = xxhash.xxh64_intdigest(number.to_bytes(4, "little"), 42)
-    for w in words:
-        h = xxhash.xxh64_intdigest(w.encode(), h)
-    return _signed(h)
+def grams(text: str | None, buckets: int) -> list[int]:
+    """Buckets of all words, then of all neighbouring words, as Spark's chained hashes of strings and longs give them."""
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+    pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(hashes, hashes[1:], strict=False)]
+    return [h % buckets for h in hashes + pairs]
 
 
-def grams(text: str | None, buckets: int) -> list[int]:
-    ends = [w[-3:] for w in WORD.findall(text or "")]
-    return [_hash(1, e) % buckets for e in ends] + [_hash(2, *ends[i : i + 2]) % buckets for i in range(len(ends))]
+def half(doc_id: int) -> int:
+    """0 for ids whose labels are counted, 1 for those that set the threshold."""
+    return xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42) & 1
 
 
-def quality_scores(texts: dict[int, str | None], good: set[int], buckets: int, smoothing: float) -> dict[int, float]:
+def quality_scores(texts: dict[int, str | None], counted: set[int], buckets: int, prior: float) -> dict[int, float]:
     each = {d: grams(t, buckets) for d, t in texts.items()}
     raw, target = collections.Counter(), collections.Counter()
     for d, g in each.items():
         raw.update(g)
-        if d in good:
+        if d in counted:
             target.update(g)
     n_raw, n_target = sum(raw.values()), sum(target.values())
-    ratio = lambda b: math.log((target[b] + smoothing) / (n_target + smoothing * buckets)) - math.log((raw[b] + smoothing) / (n_raw + smoothing * buckets))
+
+    def ratio(b: int) -> float:
+        corpus = (raw[b] + 1) / (n_raw + buckets)
+        return math.log((target[b] + prior * corpus) / (n_target + prior) / corpus)
+
     return {d: sum(map(ratio, g)) / len(g) if g and n_target else 0.0 for d, g in each.items()}
 
 
+def quality_kept(texts: dict[int, str | None], good: set[int], buckets: int, prior: float, lost: float) -> tuple[dict[int, float], set[int], set[int]]:
+    """Scores, ids that fail the base, and ids kept."""
+    score = quality_scores(texts, {d for d in good if half(d) == 0}, buckets, prior)
+    failed = {d for d, t in texts.items() if (c := base_counts(t))[0] < 50 or 100 * c[4] > 50 * c[0]}
+    held = sorted(score[d] for d in good if d in texts and d not in failed and half(d) == 1)
+    place = lost * (len(held) - 1)
+    low = int(place)
+    least = held[low] + (place - low) * (held[min(low + 1, len(held) - 1)] - held[low]) if held else -math.inf
+    return score, failed, {d for d in texts if d not in failed and score[d] >= least - 1e-12}
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
@@ -92,7 +102,7 @@ def spans_digest(spans: list[tuple[int, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
 
 
-def lines_removed(rows: list[tuple], min_sites: int, min_words: int, most_share: float) -> list[str | None]:
+def lines_removed(rows: list[tuple], min_sites: int, min_words: int) -> list[str | None]:
     """Cleaned texts of rows (id, text, site)."""
     white = " \t\n\x0b\x0c\r"
     sites = collections.defaultdict(set)
@@ -102,7 +112,6 @@ def lines_removed(rows: list[tuple], min_sites: int, min_words: int, most_share:
     shared = {x for x, s in sites.items() if len(s) >= min_sites and len(WORD.findall(x)) >= min_words}
     out = []
     for _, text, _ in rows:
-        lines = (text or "").split("\n")
-        gone = sum(len(x.strip(white)) for x in lines if x.strip(white) in shared)
-        out.append("\n".join(x for x in lines if x.strip(white) not in shared) if 0 < gone < most_share * len(text or "") else text)
+        left = "\n".join(x for x in (text or "").split("\n") if x.strip(white) not in shared)
+        out.append(left if WORD.search(left) else text)
     return out

@@ -262,10 +262,24 @@ def test_line_spread(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as d", "2 as t", "3 as gone", "4 as n_lines_removed")
     for sites in (3, 4, 5):
         got = lines.dedup(frame, min_sites=sites)
-        want = brute.lines_removed(rows, sites, 4, 0.5)
+        want = brute.lines_removed(rows, sites, 4)
         assert sorted(((r.doc_id, r.text or "") for r in got.collect())) == sorted((r[0], w or "") for r, w in zip(rows, want, strict=True))
 
 
+def test_lines_of_a_very_long_text(spark):
+    """100,000 lines, every second one boilerplate: removal takes time linear in lines."""
+    import time
+
+    shared = [f"boilerplate line number {i} of many" for i in range(50_000)]
+    long = "\n".join(x for i, s in enumerate(shared) for x in (s, f"own {i}"))
+    rows = [(0, long, "s0")] + [(1 + k, "\n".join(shared[k::7]) + f"\nown {k}", f"s{k}{j}") for k in range(7) for j in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    began = time.perf_counter()
+    got = {(r.doc_id, r.text) for r in lines.dedup(frame).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == {(0, "\n".join(f"own {i}" for i in range(50_000)))} | {(1 + k, f"own {k}") for k in range(7)}
+
+
 def test_odd_rows_everywhere(spark, odd_docs, no_docs, labels):
     texts = odd_docs.select("doc_id", "text").collect()
     n = len(texts)

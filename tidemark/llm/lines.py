@@ -4,10 +4,8 @@ Each line of a document is trimmed and hashed to 128 bits. Per line hash a Hyper
 sites on which it stands is built in every partition and merged by aggregation. Lines whose estimate
 is near ``min_sites`` get exact distinct counts; clear ones are decided by the estimate, whose error
 at the small counts in question is far below the margin. Lines on at least ``min_sites`` sites are
-boilerplate and removed from every document where they don't make up ``most_share`` of its
-characters: a document that consists of shared lines is a copy, left whole for near-duplicate search.
-Without ``most_share`` only documents of which no word would be left are such copies, and boilerplate
-goes from all others, whatever its share.
+boilerplate and removed from every document, whatever their share of it. Only documents of which no
+word would be left stay whole: these are copies of one another, which near-duplicate search reduces to one.
 
 Only hashes, sites and positions are shuffled for the counts; texts move once, to be joined with the
 positions to remove. A line that a third of all documents share is pre-aggregated before each
@@ -16,7 +14,8 @@ shuffle, and is a skewed key of a join, which adaptive execution splits.
 Defined results: null and empty texts stay as they are; lines of fewer than ``min_words`` words are
 never boilerplate; a null site counts as one site; repeated lines of a document are removed alike;
 equal rows get equal results; an empty table gives an empty table; other columns pass through, also
-if their names clash with working columns.
+if their names clash with working columns, but ``n_lines_removed`` and ``n_chars_removed`` are those
+of this run: input columns of these two names are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ from .common import written
 
 MIN_SITES = 5
 MIN_WORDS = 4
-MOST_SHARE = 0.5
 #: log2 of the sketch's counters: about 3 % standard error; sets of a few members are kept as such.
 LOG2_COUNTERS = 10
 #: Estimates within this share of the threshold are counted exactly (over 8 standard errors).
@@ -64,20 +62,31 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return guessed.where(F.col("guess") >= high).select("h1", "h2").unionAll(exact.select("h1", "h2"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float | None = MOST_SHARE) -> DataFrame:
+def _without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines at the sorted positions ``gone``, in time linear in both: the stretches of lines between them."""
+
+    def stretches(lines: Column) -> Column:
+        first = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+        end = lambda i: F.coalesce(F.get(gone, i), F.size(lines))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, first(i) + 1, F.greatest(end(i) - first(i), F.lit(0)))))
+
+    # The lines are the one element of an array, so that they are split once and not for each stretch.
+    return F.array_join(F.flatten(F.transform(F.array(_split(text)), stretches)), "\n")
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` cleaned, and the long columns ``n_lines_removed`` and ``n_chars_removed``."""
     lines = written(_lines(docs, key, text, site, min_words), "lines")  # hashes and places, read three times
     # As a table, so that both sides of the join are plain exchanges and a very common line's rows can be split.
     common = written(boilerplate(lines, min_sites).select(F.col("h1").alias("c1"), F.col("h2").alias("c2")), "boilerplate")
     hit = lines.select("d", "t", "pos", "n", "h1", "h2").join(common, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left_semi")
     # Equal rows give their positions more than once: a set.
-    found = hit.groupBy("d", "t").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
-    found = found.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "gone")
+    found = hit.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("gone"))
+    found = found.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone.pos").alias("places"), F.aggregate("gone.n", F.lit(0).cast("long"), lambda a, n: a + n).alias("chars"))
     joined = docs.alias("o").join(found.alias("f"), F.col(f"o.{key}").eqNullSafe(F.col("f.__d")) & (F.xxhash64(F.col(f"o.{text}")) == F.col("f.__t")), "left")
-    chars = F.aggregate(F.coalesce(F.col("f.gone"), F.array().cast("array<struct<pos:int,n:int>>")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    places = F.transform(F.col("f.gone"), lambda x: x["pos"])
-    cleaned = F.array_join(F.filter(_split(F.col(f"o.{text}")), lambda s, i: ~F.array_contains(places, i)), "\n")
-    most = cleaned.rlike(r"[^\x20\x09-\x0D]") if most_share is None else chars < most_share * F.length(F.col(f"o.{text}"))
-    removes = (chars > 0) & most
-    outs = [F.when(removes, cleaned).otherwise(F.col(f"o.{text}")).alias(text) if c == text else F.col(f"o.`{c}`") for c in docs.columns if c not in ("n_lines_removed", "n_chars_removed")]
-    return joined.select(*outs, F.when(removes, F.size("f.gone")).otherwise(0).cast("long").alias("n_lines_removed"), F.when(removes, chars).otherwise(0).cast("long").alias("n_chars_removed"))
+    cleaned = F.when(F.col("f.chars") > 0, _without(F.col(f"o.{text}"), F.col("f.places")))
+    # In an array again: the cleaned text is made once, looked at and used.
+    done = F.transform(F.array(cleaned), lambda c: F.when(c.rlike(r"[^\x20\x09-\x0D]"), c))
+    outs = [F.coalesce(F.col("__cleaned"), F.col(f"o.{text}")).alias(text) if c == text else F.col(f"o.`{c}`") for c in docs.columns if c not in ("n_lines_removed", "n_chars_removed")]
+    removes = F.col("__cleaned").isNotNull()
+    return joined.withColumn("__cleaned", F.get(done, 0)).select(*outs, F.when(removes, F.size("f.places")).otherwise(0).cast("long").alias("n_lines_removed"), F.when(removes, F.col("f.chars")).otherwise(0).cast("long").alias("n_chars_removed"))

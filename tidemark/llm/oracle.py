@@ -49,9 +49,9 @@ w AS (SELECT * FROM t WHERE line <> '' AND len(regexp_extract_all(line, '[^\x20\
 b AS (SELECT line FROM w GROUP BY line HAVING count(DISTINCT site) >= 5),
 h AS (SELECT row, pos, length(line) AS n FROM w WHERE line IN (SELECT line FROM b)),
 s AS (SELECT row, sum(n) AS chars, count(*) AS n_lines FROM h GROUP BY row),
-d AS (SELECT raw.*, coalesce(s.chars, 0) AS chars, coalesce(s.n_lines, 0) AS n_lines, coalesce(s.chars, 0) > 0 AND s.chars < 0.5 * length(text) AS removes FROM raw LEFT JOIN s USING (row)),
 c AS (SELECT t.row, string_agg(t.full_line, chr(10) ORDER BY t.pos) AS cleaned FROM t ANTI JOIN h ON t.row = h.row AND t.pos = h.pos GROUP BY t.row),
-o AS (SELECT doc_id, removes, chars, n_lines, CASE WHEN removes THEN coalesce(cleaned, '') ELSE text END AS text FROM d LEFT JOIN c USING (row))
+d AS (SELECT raw.*, s.chars, s.n_lines, c.cleaned, s.chars IS NOT NULL AND regexp_matches(coalesce(c.cleaned, ''), '[^\x20\x09-\x0D]') AS removes FROM raw LEFT JOIN s USING (row) LEFT JOIN c USING (row)),
+o AS (SELECT doc_id, removes, chars, n_lines, CASE WHEN removes THEN cleaned ELSE text END AS text FROM d)
 SELECT doc_id, CASE WHEN removes THEN n_lines ELSE 0 END::BIGINT AS n_lines_removed, CASE WHEN removes THEN chars ELSE 0 END::BIGINT AS n_chars_removed,
   length(text)::BIGINT AS n_chars_kept, sha256(text) AS text_sha256
 FROM o
