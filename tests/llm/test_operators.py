@@ -320,12 +320,11 @@ def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "lines", "simhash", "secrets", "packing"]
     texts = {r.doc_id: r.text for r in docs.collect()}
-    labels = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
-    score = brute.quality_scores(texts, labels, quality.BUCKETS, quality.SMOOTHING)
-    failed = {d for d, t in texts.items() if (c := brute.base_counts(t))[0] < 50 or 100 * c[4] > 50 * c[0]}
-    kept = [(r.doc_id, r.text, r.source) for r in docs.orderBy("doc_id").collect() if r.doc_id not in failed and score[r.doc_id] >= quality.THRESHOLD]
-    cleaned = brute.lines_removed(kept, lines.MIN_SITES, lines.MIN_WORDS, lines.MOST_SHARE)
-    root = brute.components([brute.simhash(t) for t in cleaned])
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+    _, _, passed = brute.quality_kept(texts, good, quality.BUCKETS, quality.PRIOR, quality.LOST)
+    kept = [(r.doc_id, r.text, r.source) for r in docs.orderBy("doc_id").collect() if r.doc_id in passed]
+    cleaned = brute.lines_removed(kept, lines.MIN_SITES, lines.MIN_WORDS)
+    root = brute.similar(cleaned)
     stay = {kept[i][0]: cleaned[i] for i in range(len(kept)) if root[i] == i}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf), "test")

@@ -6,7 +6,7 @@ import string
 
 import corpus_pipeline
 from tests.llm import brute
-from tidemark.llm import jaccard, secrets
+from tidemark.llm import secrets, simhash
 
 
 def shingles(text):
@@ -42,7 +42,7 @@ def test_near_copies_of_similarity_four_fifths_are_one_document(spark):
             low, high = sorted((root[i], root[j]))
             root = [low if r == high else r for r in root]
     frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame).collect()}
     assert got == dict(enumerate(root))
     stay = corpus_pipeline.near_dedup(spark, frame, "")
     assert {r.doc_id for r in stay.collect()} == set(root)
@@ -88,3 +88,42 @@ def test_pipeline_removes_boilerplate_whatever_its_share(spark):
     frame = spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, "").collect()}
     assert got == {d: f"own words {d}" if d < 10 else t for d, t, _ in rows}
+
+
+def test_near_dedup_loses_no_text(spark):
+    """Different texts stay, whatever their ids; of rows that agree one stays."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, root string, t string"
+    texts = [" ".join(f"{w}{i}" for i in range(80)) for w in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (6, texts[4]), (7, texts[5] + " end"), (None, texts[5])]
+    frame = spark.createDataFrame([(d, t, "en", "s", 0, "x", "y") for d, t in rows], schema)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, "").collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5] + " end")], key=str)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd_docs, no_docs, labels, tmp_path):
+    """Every stage on null, empty, long and repeated rows with extra columns, and on no rows at all."""
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        rows = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, sf)
+            assert out.columns == corpus_pipeline.COLUMNS and out.count() <= rows.count()
+        pieces = corpus_pipeline.run(spark, sf)
+        assert (pieces.count() > 0) == (name == "odd")
+
+
+def test_crowded_anchors_are_compared_in_full(spark, monkeypatch):
+    """Groups too large for all pairs: what their stars leave apart is compared across components."""
+    for name, value in (("CROWD", 3), ("NEXT", 1), ("HELD", 8)):
+        monkeypatch.setattr(simhash, name, value)
+    texts = [*edited_copies(3, 4, 20), *edited_copies(4, 10, 2)]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if alike(sets[i], sets[j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(frame).collect()} == dict(enumerate(root))

@@ -9,8 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,20 +36,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, label: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: a lineage cut that outlives executors."""
-    path = shared_path(df.sparkSession, label)
+    path = path or shared_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(flag: Column) -> Column:
-    """``flag`` as a column that filters are not pushed through.
-
-    A filter on a computed column is else moved below the projections that compute it, each use of an
-    intermediate column written out in full, which multiplies both plan and work.
-    """
-    return flag & (F.monotonically_increasing_id() >= 0)
+def remove(path: str, spark: SparkSession) -> None:
+    """Removes a table of the shared folder that no plan will read again."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

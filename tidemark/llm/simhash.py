@@ -17,9 +17,20 @@ if they share one that differs from each in at most one. Either way the anchor e
 group it found, never all pairs. Stars are joined to components by alternating large-star and
 small-star steps over tables in the shared folder.
 
+Near copies by similarity (``similar``) are texts with four fifths of their distinct five-word shingles in common.
+Fingerprints of such texts differ in up to 15 % of their bits, beyond what one short code can cover,
+so a wide fingerprint is read in ``LOOKS`` looks of two segments, each replicated to the anchors within the covering
+radius plus one bit: two texts of similarity 0.8 meet at an anchor of some look with a probability of
+0.99, of 0.85 with 0.9998 (measured on random words). Rows that meet are compared by a word, then by the
+whole wide fingerprint, and at last by their shingles, counted in full. At an anchor with many rows each is
+first compared with a few; what these links leave in different components is then compared in full,
+the commonest component's rows dealt over parts that each hold the others. A look has 2^24 anchors, and
+a text about ten of them: beyond some 10^8 distinct texts chance crowds them, and a third segment is due.
+
 Defined results: null and empty texts have fingerprint zero and are linked like any other; the
 component is the smallest doc_id reachable, null ones left out unless there are no others; repeated
-rows are kept and share a component; empty tables give empty tables; other columns are ignored.
+rows are kept and share a component; empty tables give empty tables; other columns are ignored. For
+``similar`` texts of equal words are one node, blank ones too.
 """
 
 from __future__ import annotations
@@ -34,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, slices, utf8, written
+from .common import remove, shared_path, shuffle_width, slices, utf8, written
 
 SEED = 42
 SHINGLE = 3
@@ -46,6 +57,18 @@ SMALL = 48
 #: Keys of a large group that are held at a time.
 KEYS_AT_ONCE = 4_000_000
 
+#: Similarity search: words of a shingle, and the similarity as a fraction of whole numbers.
+SIMILAR_SHINGLE, PARTS, OF = 5, 4, 5
+#: Looks of two segments, the bits beyond the covering radius in each, and words of a wide fingerprint: those of all looks and one that is compared first.
+LOOKS, LOOK_THRESHOLD = 24, 1
+WORDS = -(-LOOKS * 2 * LENGTH // 64) + 1
+#: Differing bits of texts of similarity 0.8 are 15 % at most (an angle of acos(8/9)): four standard errors more, of one word and of all.
+CLOSE = 21
+LIKELY = int(WORDS * 64 * 0.1515 + 4 * (WORDS * 64 * 0.1515 * 0.8485) ** 0.5)
+#: Members of an anchor that are all compared, and how many following ones in larger groups; rows of an anchor held at once; nodes remembered.
+CROWD, NEXT, HELD, SEEN = 64, 4, 65_536, 1_000_000
+_WORD_FLIP = np.random.default_rng(SEED).integers(0, 1 << 63, WORDS, np.uint64)
+
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -82,23 +105,47 @@ def shingle_spans(body: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tupl
     return lowered, word[head], ends[tail], total
 
 
-def fingerprints(body: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The fingerprint of each of a run of documents."""
-    out = np.zeros(len(at) - 1, np.uint64)
-    if not len(body):
+def majorities(hashes: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """For each run of hashes, the word of the bits set in over half of them; zero for an empty run.
+
+    Eight bits of a hash are counted at once, in the bytes of one word, over up to 255 hashes at a time.
+    """
+    out = np.zeros(len(total) - 1, np.uint64)
+    size = np.diff(total)
+    some = np.flatnonzero(size)
+    if not len(some):
         return out
-    lowered, start, end, total = shingle_spans(body, at)
-    raw, digest = lowered.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.array([digest(raw[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)], "<u8")
-    some = np.flatnonzero(np.diff(total))
-    if len(some):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, total[some], axis=0, dtype=np.int32)
-        most = 2 * counts > np.diff(total)[some][:, None]
-        out[some] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
+    parts = -(-size[some] // 255)
+    first = np.cumsum(parts) - parts
+    edge = np.repeat(total[:-1][some], parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    bits = np.empty((len(some), 8, 8), bool)
+    for k in range(8):
+        lanes = np.add.reduceat(hashes >> np.uint64(k) & np.uint64(0x0101010101010101), edge)
+        counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+        bits[:, :, k] = 2 * counts > size[some][:, None]
+    out[some] = np.packbits(bits.reshape(-1, 64), axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
+def shingle_hashes(body: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of a run of documents, those before each document (n+1), and a hash of each document's words."""
+    nodes = np.full(len(at) - 1, xxhash.xxh64_intdigest(b"", SEED), np.uint64)
+    if not len(body):
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), nodes
+    lowered, start, end, total = shingle_spans(body, at, size)
+    raw, digest = lowered.tobytes(), xxhash.xxh64_intdigest
+    hashes = np.array([digest(raw[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
+    for i in np.flatnonzero(np.diff(total)).tolist():
+        nodes[i] = digest(raw[start[total[i]] : end[total[i + 1] - 1]], SEED)
+    return hashes, total, nodes
+
+
+def fingerprints(body: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each of a run of documents."""
+    hashes, total, _ = shingle_hashes(body, at, size)
+    return majorities(hashes, total)
+
+
 @lru_cache(4)
 def _syndrome_bytes() -> np.ndarray:
     """For each of three bytes of a word, the remainder of each value by the generator."""
@@ -274,19 +321,39 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def _rooted(pairs: DataFrame) -> DataFrame:
-    """(node, root) for every node that isn't its component's smallest, from links (a, b)."""
-    pairs = written(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
+    """(node, root) for every node that isn't its component's smallest, from links (a, b).
+
+    Least neighbours are tables, so that both sides of the joins with them are plain exchanges and the
+    links of a hub can be split. Each round's tables are removed as the next one's are there.
+    """
+    spark = pairs.sparkSession
+    mark = F.xxhash64("a", "b")
+
+    def table(df: DataFrame, old: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+        path = shared_path(spark, "links")
+        out = written(df, "links", path=path)
+        for p in old:
+            remove(p, spark)
+        return out, path
+
+    def seen(df: DataFrame):
+        return df.agg(F.count("*"), F.bit_xor(mark), F.sum(F.shiftright(mark, 20))).first()
+
+    pairs, path = table(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = seen(pairs)
+    while before[0]:
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        low, low_path = table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        down, path = table(large.where("a <> b").distinct(), (low_path, path))
+        least, least_path = table(down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
         small = down.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p")).select("p.a", "p.b")
-        new = written(small.where("a <> b").distinct(), "links")
-        if new.exceptAll(pairs).isEmpty() and pairs.exceptAll(new).isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        pairs = new
+        pairs, path = table(small.where("a <> b").distinct(), (least_path, path))
+        after = seen(pairs)
+        if after == before:
+            break
+        before = after
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def components(table: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -309,3 +376,243 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
     table = written(fingerprint_table(docs, key, text), "fingerprints")
     return components(table, threshold).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity: wide fingerprints, compared at the anchors of many looks, and verified in full.
+
+
+def wide_fingerprints(hashes: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """``WORDS`` words of fingerprint for each run of hashes, each word from hashes of its own."""
+    out = np.empty((len(total) - 1, WORDS), np.uint64)
+    for w in range(WORDS):
+        h = (hashes ^ _WORD_FLIP[w]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        out[:, w] = majorities(h ^ h >> np.uint64(29), total)
+    return out
+
+
+def look_anchors(wide: np.ndarray, look: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) of two segments of the wide fingerprints, the look's number in front of the anchor."""
+    at, shift = divmod(2 * LENGTH * look, 64)
+    bits = wide[:, at] >> np.uint64(shift)
+    if shift + 2 * LENGTH > 64:
+        bits |= wide[:, at + 1] << np.uint64(64 - shift)
+    row, near = anchors(bits, LOOK_THRESHOLD)
+    return row, near | look << 2 * DIMENSION
+
+
+def _distinct_sets(hashes: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each run, sorted, and those before each run (n+1)."""
+    run = np.repeat(np.arange(len(total) - 1), np.diff(total))
+    order = np.lexsort((hashes, run))
+    hashes, run = hashes[order], run[order]
+    first = np.append(True, (hashes[1:] != hashes[:-1]) | (run[1:] != run[:-1]))[: len(hashes)]
+    return hashes[first], np.searchsorted(run[first], np.arange(len(total)))
+
+
+def text_table(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIMILAR_SHINGLE) -> DataFrame:
+    """``doc_id``, text hash ``t``, ``node`` (a hash of the words), and for a node's first row in a task its wide fingerprint and its set of shingles."""
+    picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches, "text", 2 << 20):
+            hashes, total, nodes = shingle_hashes(*utf8(batch.column("text")), size)
+            sets, at = _distinct_sets(hashes, total)
+            wide = wide_fingerprints(sets, at)
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = [n not in seen and not seen.add(n) for n in nodes.tolist()]
+            held = [(wide[i].tobytes(), sets[at[i] : at[i + 1]].tobytes()) if f else (None, None) for i, f in enumerate(fresh)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("t"), pa.array(nodes.view(np.int64)), pa.array([w for w, _ in held], pa.binary()), pa.array([s for _, s in held], pa.binary())],
+                names=["doc_id", "t", "node", "wide", "shingles"],
+            )
+
+    return picked.mapInArrow(run, "doc_id long, t long, node long, wide binary, shingles binary")
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return utf8(column)[0].view(np.uint64).reshape(-1, WORDS)
+
+
+def _partners(anchor: np.ndarray, node: np.ndarray, check: np.ndarray, crowded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of close pairs of rows by anchor, and which rows stand in crowded groups.
+
+    Rows of a group of up to ``CROWD`` are all compared; of a larger one, or of a part of one, each with the group's first row and
+    the ``NEXT`` after it.
+    """
+    n = len(anchor)
+    edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    size = np.diff(np.append(edge, n))
+    large = np.repeat(size > CROWD, size) | crowded
+    end = np.repeat(edge + size, size)
+    lead = np.repeat(edge, size)
+    rows = np.flatnonzero(large & (lead + NEXT < np.arange(n)))
+    left, right = [lead[rows]], [rows]
+    alive, step = np.flatnonzero(np.arange(n) + 1 < end), 1
+    while len(alive):
+        left.append(alive)
+        right.append(alive + step)
+        step += 1
+        alive = alive[(alive + step < end[alive]) & ((step <= NEXT) | ~large[alive])]
+    a, b = np.concatenate(left), np.concatenate(right)
+    close = np.bitwise_count(check[a] ^ check[b]) <= CLOSE
+    return a[close], b[close], np.flatnonzero(large)
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """Close pairs (a, b) of nodes that meet at an anchor, and rows (a, anchor) of the members of crowded anchors."""
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5_000):
+                part = batch.slice(i, 5_000)
+                node, wide = part.column("node").to_numpy(), _words(part.column("wide"))
+                for look in range(LOOKS):
+                    row, near = look_anchors(wide, look)
+                    yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(node[row]), pa.array(wide[row, WORDS - 1].view(np.int64))], names=["anchor", "node", "check"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        crowded = False  # the held rows go on with a crowded group, whose first row comes first
+
+        def found(rows: list[np.ndarray], crowded: bool) -> pa.RecordBatch:
+            anchor, node, check = rows
+            a, b, large = _partners(anchor, node, check.view(np.uint64), crowded)
+            none = pa.nulls(len(large), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(node[large])]),
+                    pa.concat_arrays([pa.array(np.maximum(node[a], node[b])), none]),
+                    pa.concat_arrays([pa.nulls(len(a), pa.int32()), pa.array(anchor[large])]),
+                ],
+                names=["a", "b", "anchor"],
+            )
+
+        for batch in batches:
+            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut and crowded:  # the crowded group has ended
+                own = int(np.searchsorted(held[0], held[0][0], "right"))
+                yield found([h[:own] for h in held], True)
+                held, cut, crowded = [h[own:] for h in held], cut - own, False
+            if cut:
+                yield found([h[:cut] for h in held], False)
+                held = [h[cut:] for h in held]
+            if len(held[0]) > HELD:
+                yield found(held, True)
+                held, crowded = [h[:1] for h in held], True
+        if len(held[0]):
+            yield found(held, crowded)
+
+    drawn = F.xxhash64("anchor", "node")  # another order, and another first row, at each anchor
+    met = nodes.select("node", "wide").mapInArrow(replicate, "anchor int, node long, check long")
+    return met.repartition(shuffle_width(nodes.sparkSession), "anchor").sortWithinPartitions("anchor", drawn).mapInArrow(compare, "a long, b long, anchor int")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose wide fingerprints are near enough for the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.bitwise_count(_words(batch.column("wa")) ^ _words(batch.column("wb"))).sum(1) <= LIKELY
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    wide = lambda of, name: nodes.select(F.col("node").alias(of), F.col("wide").alias(name))
+    return pairs.join(wide("a", "wa"), "a").join(wide("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes have the similarity."""
+    if OF * min(len(a), len(b)) < PARTS * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return OF * shared >= PARTS * (len(a) + len(b) - shared)
+
+
+def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs whose sets of shingles have the similarity."""
+    pairs = written(pairs, "likely")
+    some = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
+    sets = written(table.where("shingles is not null").join(some, F.col("node") == F.col("m"), "left_semi").select("node", "shingles").dropDuplicates(["node"]), "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (sa, at), (sb, bt) = utf8(batch.column("sa")), utf8(batch.column("sb"))
+            keep = [alike(sa[at[i] : at[i + 1]].view(np.uint64), sb[bt[i] : bt[i + 1]].view(np.uint64)) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda name, as_: sets.select(F.col("node").alias(name), F.col("shingles").alias(as_))
+    return written(pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "verified")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of rows of one anchor but of different labels.
+
+    In each part of an anchor the rows outside its commonest label are held; the others come by.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, node, label, wide = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64)
+        for batch in batches:
+            key = batch.column("anchor").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy().astype(np.int64)
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
+            for s, e in zip(edge, [*edge[1:], len(key)], strict=True):
+                own = batch.slice(s, e - s)
+                if key[s] != current:
+                    current, node, label, wide = key[s], node[:0], label[:0], wide[:0]
+                major, first = own.column("major").to_numpy(zero_copy_only=False), not int(own.column("part")[0].as_py())
+                n, lab, w = own.column("node").to_numpy(), own.column("label").to_numpy(), _words(own.column("wide"))
+                left, right = [], []
+                for i in range(len(n)):  # a minor one against those before it, in one part only; a major one against all minor ones
+                    if major[i] or first:
+                        near = np.flatnonzero(label != lab[i])
+                        near = near[np.bitwise_count(wide[near] ^ w[i]).sum(1) <= LIKELY]
+                        left.append(np.minimum(node[near], n[i]))
+                        right.append(np.maximum(node[near], n[i]))
+                    if not major[i]:
+                        rest = slice(i, i + 1)
+                        node, label, wide = np.append(node, n[rest]), np.append(label, lab[rest]), np.concatenate([wide, w[rest]])
+                if left:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part", "major")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _crowds(met: DataFrame, nodes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Likely pairs of different components at crowded anchors, all of them."""
+    members = met.where("anchor is not null").select("anchor", F.col("a").alias("node")).distinct()
+    members = members.join(rooted.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("anchor", "node", F.coalesce("root", "node").alias("label"))
+    members = written(members, "crowds")
+    sizes = members.groupBy("anchor", "label").agg(F.count("*").alias("n")).groupBy("anchor").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    sizes = written(sizes.select(F.col("anchor").alias("g"), F.col("most.label").alias("top"), F.ceil(F.col("most.n") / HELD).cast("int").alias("parts")), "sizes")
+    rows = members.join(sizes, F.col("anchor") == F.col("g")).withColumn("major", F.col("label") == F.col("top"))
+    part = F.when(F.col("major"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.select("anchor", F.explode(part).alias("part"), "major", "node", "label")
+    return _across(rows.join(nodes.select(F.col("node").alias("w"), "wide"), F.col("node") == F.col("w")).select("anchor", "part", "major", "node", "label", "wide"))
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, text hash ``t``, ``node``, ``root`` (a node that names the component) and ``component_id`` of every row.
+
+    Components are of texts with at least ``PARTS`` / ``OF`` of their five-word shingles in common. Different
+    components have different roots, also where ids are null or stand for several texts.
+    """
+    table = written(text_table(docs, key, text), "texts")
+    nodes = written(table.where("wide is not null").select("node", "wide").dropDuplicates(["node"]), "nodes")
+    met = written(_met(nodes), "met")
+    pairs = met.where("anchor is null").select("a", "b").distinct()
+    linked = _verified(_likely(pairs, nodes), table)
+    rooted = _rooted(linked)
+    more = _verified(_crowds(met, nodes, rooted).join(pairs, ["a", "b"], "left_anti"), table)
+    if not more.isEmpty():
+        rooted = _rooted(linked.unionAll(more))
+    first = table.groupBy("node").agg(F.min("doc_id").alias("first"))
+    group = written(first.join(rooted.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "roots")
+    lowest = group.groupBy(F.col("root").alias("top")).agg(F.min("first").alias("component_id"))
+    known = written(group.join(lowest, F.col("root") == F.col("top")).select(F.col("node").alias("p"), "root", "component_id"), "components")
+    return table.select("doc_id", "t", "node").join(known, F.col("node") == F.col("p")).select("doc_id", "t", "node", "root", "component_id")
