@@ -1,12 +1,14 @@
 """From raw documents to packed sequences.
 
 The stages, each of which works on all rows that the one before it kept: quality rules (rejected
-documents go), line dedup (boilerplate lines go), near-dedup (one document of each group of five-word
-Jaccard similarity 0.8 or more stays, that with the smallest doc_id), secret scans (secrets are replaced by a mark) and packing.
+documents go), line dedup (boilerplate lines go), SimHash near-dedup (one document stays of each group whose
+five-word shingles have a similarity of 0.8 or more), secret scans (secrets are replaced by a mark) and packing.
 All but the last return the columns of ``documents``, with ``n_chars`` that of the text at hand.
 
-Defined results: ids identify documents, so rows that repeat an id are one document after near-dedup;
-null and empty texts fail the quality rules; empty tables give empty tables.
+Defined results: a document is a row; rows with null or repeated ids but different texts are different
+documents. Of a group of near copies the one with the smallest id stays (null ids last), then the one with the smallest
+text hash, and of rows that agree in both any one. Null and empty texts fail the quality rules; empty tables give
+empty tables; columns other than those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, lines, packing, quality, secrets
+from tidemark.llm import lines, packing, quality, secrets, simhash
 from tidemark.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,9 +36,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.near_duplicates(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id"])
+    # A row's place in its group: known ids first, then the id, then the text's hash. None of the three is null.
+    place = lambda text_hash: (F.col("doc_id").isNull().alias("u"), F.coalesce("doc_id", F.lit(0)).alias("d"), text_hash.alias("t"))
+    stay = simhash.similar(docs).groupBy("root").agg(F.min(F.struct(*place(F.col("t")))).alias("p")).select("p.*")
+    rows = docs.select(*COLUMNS, *place(F.xxhash64("text")))
+    return rows.join(stay, ["u", "d", "t"], "left_semi").dropDuplicates(["u", "d", "t"]).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
