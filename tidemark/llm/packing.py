@@ -1,7 +1,8 @@
 """Mixture-controlled packing by deficit round-robin.
 
 Documents are tokenised once; the ids are written to the shared folder with a shard for each
-document, dealt by hash so that every shard has its part of each source. In a shard each source is a
+document, dealt by the hash of a row number so that every shard has its part of each source and repeated
+rows are spread. In a shard each source is a
 queue. For every window each source's deficit grows by its share of the window; whole tokens of it
 are taken from the queues, and what a queue can't give, or rounding leaves, goes to the queues with
 the largest deficits. Deficits carry from window to window and, as what a shard takes is what it
@@ -40,6 +41,8 @@ END_ID = 1
 WINDOW = 2048
 #: Tokens of a shard, about: what one task holds at a time.
 SHARD_TOKENS = 4_000_000
+#: Shards beyond this many share tasks, evenly.
+MOST_TASKS = 20_000
 #: Stretches that a worker keeps; beyond it the cache starts anew, which changes no result.
 CACHED = 1_500_000
 PLAIN_PUNCTUATION = ".,;:!?*#%&$|"
@@ -173,10 +176,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     if window & (window - 1):
         raise ValueError("the window is a power of two")
     spark = docs.sparkSession
-    tokens = written(token_table(docs, key, text, source, vocabulary, end_id), "tokens")
+    # A number for each row, so that repeated rows are dealt like others; fixed once it is written.
+    tokens = written(token_table(docs, key, text, source, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_TOKENS), min(shuffle_width(spark), -(-total // (64 * window))))
-    shard = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
+    width = max(shuffle_width(spark), min(shards, MOST_TASKS))
 
     # Totals of (shard, source) and of shards; the running sums give each shard's first deficits and sequence.
     held = written(tokens.groupBy(shard.alias("shard"), "source").agg(F.sum("n_tokens").alias("tokens")), "totals")
@@ -197,9 +202,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         .join(shared.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .select("shard", "source", "share", "first_sequence", (F.col("share") * F.col("tokens_before") - F.coalesce(F.sum("tokens").over(of_source), F.lit(0))).alias("deficit"))
     )
-    rows = tokens.select(shard.alias("shard"), "source", "doc_id", "ids", *(F.lit(None).cast(t).alias(c) for c, t in (("share", "double"), ("first_sequence", "long"), ("deficit", "double"))))
-    heads = plan.select("shard", "source", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("ids"), "share", "first_sequence", "deficit")
-    dealt = rows.unionByName(heads).repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard", "source", F.col("ids").isNotNull(), "doc_id")
+    rows = tokens.select(shard.alias("shard"), "source", "doc_id", "row", "ids", *(F.lit(None).cast(t).alias(c) for c, t in (("share", "double"), ("first_sequence", "long"), ("deficit", "double"))))
+    heads = plan.select("shard", "source", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("ids"), "share", "first_sequence", "deficit")
+    # A shard goes straight to the task of its number: hashing numbers would give some tasks several and others none.
+    dealt = rows.unionByName(heads).repartitionById(width, F.col("shard") % width).sortWithinPartitions("shard", "source", F.col("ids").isNotNull(), "doc_id", "row")
 
     def packed(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(group).combine_chunks()
