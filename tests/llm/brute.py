@@ -110,6 +110,44 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def novel_spans(text: str) -> set[tuple[int, int]]:
+    """Novel spans by definition, in bytes, of a text without PEM bodies: every run of every paragraph, each measured anew."""
+    import zstandard
+
+    from tidemark.llm import secrets as s
+
+    raw = text.encode()
+    own = b"".join(r + b" " for r, n in collections.Counter(s.RUN.findall(raw)).items() if n > 1 and s.WORDLIKE.fullmatch(r))
+
+    def size(x: bytes) -> int:
+        primed = zstandard.ZstdCompressionDict(own + s.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+
+    base = [(len(text[:a].encode()), len(text[:b].encode())) for a, _, b in base_spans(text)]
+    found, at = set(), 0
+    for paragraph in re.split(rb"\n[\x20\t\r]*(?=\n)", raw):
+        begin = raw.index(paragraph, at)
+        at = begin + len(paragraph)
+        words = [begin + m.end() for m in s.SENSITIVE.finditer(paragraph)]
+        values = {m.end() for w in words if (m := s.LEADS.match(raw, w))}
+        for m in s.RUN.finditer(paragraph) if words else ():
+            a, b = begin + m.start(), begin + m.end()
+            near = any(0 <= a - w <= 48 and b"\n" not in raw[w:a] for w in words)
+            inside = [w for w in words if a < w < b]
+            if inside and b - inside[0] >= 16:
+                a, near = inside[0], True
+            candidate, before, after = raw[a:b], raw[max(0, a - 192) : a], raw[b : b + 192]
+            like = s.WORDLIKE.fullmatch(candidate)
+            if (like and not (a in values or near and b - a >= 16)) or any(x < b and a < y for x, y in base):
+                continue
+            if not like:
+                before, after = before.replace(candidate, b""), after.replace(candidate, b"")
+            around = before + b"\n" + after + b"\n"
+            if size(around + candidate) - size(around) >= (0.75 if like else 0.5) * (b - a):
+                found.add((a, b))
+    return found
+
+
 def spans_digest(spans: list[tuple[int, int, int]]) -> str:
     kinds = ("assign", "access", "hex")
     return hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()

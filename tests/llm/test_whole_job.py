@@ -68,6 +68,50 @@ def test_secrets_anywhere_in_the_paragraph():
         assert secrets.find(text.encode()) == []
 
 
+def planted(seed, n):
+    """(text, secret or None): random strings of several alphabets near a sensitive word, and texts with neither secrets nor too little to look at."""
+    rng = random.Random(seed)
+    filler = ["the", "service", "reads", "its", "settings", "from", "environment", "variables", "and", "then", "connects", "database", "with", "getConnectionTimeout", "application_settings", "/usr/share/application/config", "responsibilities"]
+    prose = lambda k: " ".join(rng.choice(filler) for _ in range(k))
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "-_"]
+    forms = ["{p}\nsecret key:\n  {s}\n{q}", "{p} the password is {s} {q}", "{p}\n{s} is the access key {q}", "{p}\n    api key -> {s}\n{q}", "{p} bearer {s} {q}", "credentials {p} {q} {s}"]
+    plain = ["{p}\nsecret key:\n  {w}\n{q}", "{p} the password {q}", "token {p}\n{q}", "{p}\nno_secret = {w}\n{q}\n{w}", "{p}\n\n{s}\n\n{q} password"]
+    for _ in range(n):
+        s = "".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 40)))
+        yield rng.choice(forms).format(p=prose(rng.randint(3, 40)), q=prose(rng.randint(3, 40)), s=s), s
+        w = "_".join(rng.choice(["application", "connection", "parameters", "configuration", "timeout"]) for _ in range(2))
+        yield rng.choice(plain).format(p=prose(rng.randint(3, 40)), q=prose(rng.randint(3, 40)), s=s, w=w), None
+
+
+def test_planted_secrets_are_found_and_names_are_not():
+    hits, alarms = [], []
+    for text, secret in planted(1, 500):
+        spans = secrets.find(text.encode())
+        found = {text[v:b] for _, _, b, v in spans}
+        assert {(a, b) for a, k, b, _ in spans if k == 3} == brute.novel_spans(text), text
+        (hits if secret else alarms).append(secret in found if secret else bool([k for _, k, _, _ in spans if k == 3]))
+    print("recall", sum(hits) / len(hits), "false alarms", sum(alarms) / len(alarms))
+    assert sum(hits) >= 0.98 * len(hits) and sum(alarms) <= 0.02 * len(alarms)
+
+
+def test_novel_spans_by_definition(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        text = (row.text or "") + "\nsecret key: getSessionIdentifier4Zk9Q pass"
+        assert {(a, b) for a, k, b, _ in secrets.find(text.encode()) if k == 3} == brute.novel_spans(text)
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    for line in (b"token x " * 131072, b"password" * 120_000, b"token\n" * 150_000, b"private key getSessionIdentifier " * 30_000, b"secret: " + b"Q7xT2vLp9ZkR4mWcY8bN " * 45_000):
+        took = []
+        for part in (line[: len(line) // 4], line):
+            began = time.process_time()
+            secrets.find(part)
+            took.append(time.process_time() - began)
+        assert took[1] < max(1.5, 8 * took[0])
+
+
 def test_private_key_bodies(spark):
     rng = random.Random(3)
     body = ["".join(rng.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(5)] + ["aGk="]

@@ -4,15 +4,18 @@ Base kinds, on bytes (their characters are all ASCII): ``assign`` (a sensitive n
 and a value of 12 or more characters), ``access`` (access key ids of 18 or more) and ``hex`` (runs of
 16 or more lower-case hex digits); leftmost, not overlapping within a kind.
 
-Novelty. Candidates are runs of token characters in the paragraph of a sensitive word, before or after
-it: runs of 16 or more that begin within 48 bytes after the word on its line, runs of 12 or more that are
-its value (after a colon or equals sign, on its line or the next), and all other runs of 12 or more that
-are not made like words (letters in one case or in humps, at most four digits at the end of each part),
-as an unknown word is as novel as a random string of its length. A candidate's marginal size is what it adds to the zstandard frame of the text around it, compressed with a
-dictionary of identifiers: a word, a path or a name that the context or dictionary already holds adds
-a few bytes, a random string as many as it has. If it adds at least ``NOVEL`` bytes for a character
-(``NOVEL_RUN`` where it is not made like words) it is reported as ``novel``, unless a base span overlaps it. The body of a PEM private key is ``novel`` line
-by line, whatever it adds. No span leaves its text or its line.
+Novelty. Candidates are runs of 12 or more token characters in the paragraph of a sensitive word, before
+or after it, on any of its lines; of a run that holds such a word, what follows it if that is 16 or more. A
+candidate's marginal size is what it adds to the zstandard frame of the text around it (``CONTEXT`` bytes
+on either side, over line ends), compressed with a dictionary of common identifiers and of the text's own: runs
+made like words that it holds twice or more; other copies of a candidate that isn't made like words are left out. A word, a path or a name that context or dictionary hold
+adds a few bytes, a random string as many as it has. If it adds at least ``NOVEL_RUN`` bytes for a character it is
+reported as ``novel``, unless a base span overlaps it. An unknown word is as novel as a random string of
+its length: runs made like words (letters in one case or in humps, at most four digits at the end of each
+part) must add ``NOVEL``, and either be the value of a sensitive word (after a colon or equals sign, on
+its line or the next) or have 16 characters and begin within ``REACH`` bytes after one on its line. The body
+of a PEM private key is ``novel`` line by line, whatever it adds. No span leaves its text or its line.
+Time is linear in the text, whatever its lines.
 
 Spans are in code points, end exclusive. Defined results: null and empty texts have none; texts of any
 length are scanned whole; ties in start are ordered as the kinds are listed; repeated rows are scanned
@@ -21,6 +24,7 @@ each; an empty table gives an empty table; other columns pass through only as as
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
@@ -38,10 +42,9 @@ from .common import slices, utf8
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
+LEAST_VALUE, LEAST_ACCESS, LEAST_HEX, LEAST_NEAR = 12, 18, 16, 16
 SENSITIVE = re.compile(rb"(?i)passphrase|passcode|password|passwd|pwd|credential|authorization|bearer|private[\x20_-]?key|access[\x20_-]?key|signing|secret|token|api[\x20_-]?key")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-#: Candidates of the whole paragraph; what leads from a word to its value; runs made like words.
+#: Candidates; what leads from a word to its value; runs made like words.
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{12,}")
 LEADS = re.compile(rb"""["']?[\x20\t]*[:=][\x20\t]*[|>]?[+-]?[\x20\t\r]*\n?[\x20\t]*["']?""")
 _PART = rb"(?:(?:[A-Z]*+[a-z]{2,}+|As|At|By|Id|In|Is|No|Of|On|Or|To|Up)*+(?:[A-Z]{2,}+)?[0-9]{0,4}+|[A-Za-z]|[0-9]++)"
@@ -67,19 +70,26 @@ IDENTIFIERS = (
 )
 
 
-@lru_cache(1)
-def _compressor() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+@lru_cache(8)
+def compressor(own: bytes = b"") -> zstandard.ZstdCompressor:
+    """Primed with the common identifiers and a text's own."""
+    primed = zstandard.ZstdCompressionDict(own + IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def marginal_bytes(candidate: bytes, before: bytes, after: bytes) -> int:
+def marginal_bytes(candidate: bytes, before: bytes, after: bytes, own: bytes = b"") -> int:
     """What a candidate adds to the compressed size of the text around it."""
     around = before + b"\n" + after + b"\n"
-    size = _compressor().compress
+    size = compressor(own).compress
     return len(size(around + candidate)) - len(size(around))
 
 
+def own_identifiers(raw: bytes) -> bytes:
+    """The runs made like words that a text holds twice or more, in order."""
+    seen = collections.Counter(RUN.findall(raw))
+    return b"".join(r + b" " for r, n in seen.items() if n > 1 and WORDLIKE.fullmatch(r))
+
+
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 
@@ -118,63 +128,64 @@ def _pem(raw: bytes, end: int, head: int) -> Iterator[tuple[int, int]]:
 
 def find(raw: bytes, begin: Sequence[int] = (0,)) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) of all spans, in bytes, of texts that begin at ``begin`` and are joined by line ends. No span holds a line end."""
+    body = np.frombuffer(raw, np.uint8)
     base = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(raw) if m.end(2) - m.start(2) >= LEAST_VALUE]
     base += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= LEAST_ACCESS]
-    base += [(a, 2, b, a) for a, b in zip(*(x.tolist() for x in _hex_runs(np.frombuffer(raw, np.uint8))), strict=True)]
+    base += [(a, 2, b, a) for a, b in zip(*(x.tolist() for x in _hex_runs(body)), strict=True)]
+    novel: dict[int, int] = {}
+    words = [m.end() for m in SENSITIVE.finditer(raw)]
+    heads = [m.span() for m in PEM.finditer(raw)]
+    if not words and not heads:
+        return sorted(base)
     covered = sorted((a, b) for a, _, b, _ in base)
     starts = [a for a, _ in covered]
     furthest = np.maximum.accumulate([b for _, b in covered]) if covered else np.zeros(0, np.int64)
-    novel: dict[int, int] = {}
 
     def free(a: int, b: int) -> bool:
         i = bisect_left(starts, b) - 1  # the last base span that begins before the end
         return i < 0 or furthest[i] <= a
 
-    def is_novel(a: int, b: int, least: float) -> bool:
-        line_start = raw.rfind(b"\n", 0, a) + 1
-        line_end = raw.find(b"\n", b)
-        before = raw[max(line_start, a - CONTEXT) : a]
-        after = raw[b : min(len(raw) if line_end < 0 else line_end, b + CONTEXT)]
-        return marginal_bytes(raw[a:b], before, after) >= least * (b - a)
-
-    def ends_at(place: int) -> int:
-        """The end of the text that holds a place."""
+    def text_of(place: int) -> tuple[int, int]:
+        """The text that holds a place."""
         i = bisect_right(begin, place)
-        return begin[i] - 1 if i < len(begin) else len(raw)
-
-    for head in PEM.finditer(raw):
-        novel.update((a, b) for a, b in _pem(raw, ends_at(head.start()), head.end()) if free(a, b))
-    words = [m.span() for m in SENSITIVE.finditer(raw)]
-    values = set()
-    for _, w in words:
-        line_end = raw.find(b"\n", w)
-        line_end = len(raw) if line_end < 0 else line_end
-        for m in CANDIDATE.finditer(raw, w, line_end):
-            a, b = m.span()
-            if a > w + REACH:
-                break
-            if a not in novel and free(a, b) and is_novel(a, b, NOVEL):
-                novel[a] = b
-        lead = LEADS.match(raw, w, ends_at(w))
-        if lead:
-            values.add(lead.end())
-    blanks = [m.start() for m in BLANK.finditer(raw)] if words else []
-    done = 0  # the paragraphs up to here have been searched
-    for w, _ in words:
-        if w < done:
+        return begin[i - 1], begin[i] - 1 if i < len(begin) else len(raw)
+
+    for first, head in heads:
+        for a, b in _pem(raw, text_of(first)[1], head):
+            if free(a, b):
+                novel[a] = max(b, novel.get(a, 0))
+    breaks = np.flatnonzero(body == 10)
+    blanks = [m.start() for m in BLANK.finditer(raw)]
+    taken = sorted(novel.items())
+    opens = [a for a, _ in taken]
+    reached = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0, np.int64)
+    done, text, own = 0, (-1, -1), b""  # the paragraphs up to here have been searched; the text at hand and its identifiers
+    for k, w in enumerate(words):
+        if w <= done:
             continue
-        i, k = bisect_right(begin, w), bisect_left(blanks, w)
-        first = max(begin[i - 1], blanks[k - 1] if k else 0)
-        done = min(ends_at(w), blanks[k] if k < len(blanks) else len(raw))
-        taken = sorted((a, novel[a]) for a in novel if first <= a < done)
-        opens = [a for a, _ in taken]
+        if not text[0] < w <= text[1]:
+            text = text_of(w - 1)
+            own = own_identifiers(raw[slice(*text)])
+        i = bisect_left(blanks, w)
+        first, done = max(text[0], blanks[i - 1] if i else 0), min(text[1], blanks[i] if i < len(blanks) else len(raw))
+        last = bisect_right(words, done, k)
+        values = {m.end() for e in words[k:last] if (m := LEADS.match(raw, e, text[1]))}
         for m in RUN.finditer(raw, first, done):
             a, b = m.span()
-            like = WORDLIKE.fullmatch(m[0])
-            if like and a not in values:
+            j = bisect_right(words, a, k, last)  # the words that end by its start
+            near = j > k and a - words[j - 1] <= REACH and np.searchsorted(breaks, words[j - 1]) == np.searchsorted(breaks, a)
+            if j < last and words[j] < b and b - words[j] >= LEAST_NEAR:
+                a, near = words[j], True
+            like = WORDLIKE.fullmatch(raw, a, b)
+            if like and not (a in values or near and b - a >= LEAST_NEAR):
+                continue
+            i = bisect_left(opens, b) - 1
+            if (i >= 0 and reached[i] > a) or not free(a, b):
                 continue
-            k = bisect_left(opens, b) - 1
-            if (k < 0 or taken[k][1] <= a) and free(a, b) and is_novel(a, b, NOVEL if like else NOVEL_RUN):
+            before, after = raw[max(text[0], a - CONTEXT) : a], raw[b : min(text[1], b + CONTEXT)]
+            if not like:  # said twice, a random string is no less of a secret; a name that recurs is a name
+                before, after = before.replace(raw[a:b], b""), after.replace(raw[a:b], b"")
+            if marginal_bytes(raw[a:b], before, after, own) >= (NOVEL if like else NOVEL_RUN) * (b - a):
                 novel[a] = b
     return sorted(base + [(a, 3, b, a) for a, b in novel.items()])
 
