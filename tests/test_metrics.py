@@ -82,3 +82,27 @@ def test_wide_form(spark):
     wide = spark.createDataFrame([(0, 1.0, math.nan), (1, 3.0, 4.0)], "day int, b double, a double")
     got = {(r.date_id, r.target, r.target_pos): r.value for r in from_wide(wide, "day", ["b", "a"]).collect()}
     assert got == {(0, "b", 0): 1.0, (0, "a", 1): None, (1, "b", 0): 3.0, (1, "a", 1): 4.0}
+
+
+def test_zero_covariance_is_zero(spark):
+    """Ranks without any covariance, in many orders and partitions: rho is 0 exactly, so the share of positive dates is no chance."""
+    rows = [(0, f"c{i}", i, float(t), float(p)) for i, (t, p) in enumerate(zip([2, 3, 1, 4, 5], [1, 4, 2, 5, 3], strict=True))]
+    rows = [(d, *r[1:]) for d in range(40) for r in rows]
+    flat = [(d, f"c{i}", i, float(t), float(p)) for d in range(40, 80) for i, (t, p) in enumerate(zip([1, 2, 3, 4], [2, 4, 1, 3], strict=True))]
+    frame = spark.createDataFrame(rows + flat, "date_id int, target string, target_pos int, truth double, prediction double")
+    for k in (1, 3, 7):
+        daily = {r.date_id: r.rho for r in metrics.daily_rank_correlation(frame.repartition(k)).collect()}
+        assert all(daily[d] == 0.0 for d in range(40, 80)) and all(daily[d] > 0 for d in range(40))
+        assert metrics.evaluate(frame.repartition(k)).first().positive_fraction == 0.5
+
+
+def test_checked_evaluation(spark):
+    t = frame(spark, {d: [1 + d, 2, 3.5, 4] for d in range(4)})
+    p = frame(spark, {d: [1, 3, 2 + d, 4] for d in range(4)})
+    pairs = spark.createDataFrame([("c0", 10), ("c1", 10), ("c2", 1), ("c3", 1)], "target string, lag int")
+    r = metrics.evaluated(t, p, pairs).first()
+    assert [h.lag for h in r.horizons] == [1, 10] and r.dates == 4 and r.score == metrics.evaluate(metrics.cells(t, p)).first().score
+    with pytest.raises(ValidationError):
+        metrics.evaluated(t, frame(spark, {d: [1, 3, 2, 4] for d in range(3)}), pairs)
+    with pytest.raises(ValidationError):
+        metrics.evaluated(t, frame(spark, {d: [1, 1, 1, 1] for d in range(4)}), pairs)

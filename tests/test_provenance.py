@@ -74,6 +74,12 @@ def test_tolerance(spark):
         require_equal_rows(a, a.limit(1), "rows")
 
 
+@pytest.mark.parametrize("expected, actual", [(float("nan"), 1.0), (float("nan"), float("nan")), (float("inf"), 2.5), (float("inf"), float("inf")), (0.5, float("inf")), (0.5, float("nan")), (None, 0.5), (0.5, None)])
+def test_tolerance_takes_finite_numbers_only(spark, expected, actual):
+    e, a = (spark.createDataFrame([("k", v)], "k string, v double") for v in (expected, actual))
+    assert provenance.differences(e, a, ["k"], ["v"]).count() == 1
+
+
 def test_replay_accepts_the_export_and_rejects_changes(spark):
     config = rolling.RollingConfig(start=80, end=90)
     exported = provenance.export(spark, 2026, "steady", 120, config)

@@ -22,11 +22,27 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
 
 
-def average_rank(value: Column, within: Sequence[str]) -> Column:
-    """Ranks in which ties share their mean. Both windows are met by one exchange on ``within``."""
+def doubled_rank(value: Column, within: Sequence[str]) -> Column:
+    """Twice the rank in which ties share their mean: a whole number. Both windows are met by one exchange on ``within``."""
     order = Window.partitionBy(*within).orderBy(value)
     ties = Window.partitionBy(*within, value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
+    return 2 * F.rank().over(order) + F.count(F.lit(1)).over(ties) - 1
+
+
+def average_rank(value: Column, within: Sequence[str]) -> Column:
+    """Ranks in which ties share their mean."""
+    return doubled_rank(value, within) / F.lit(2.0)
+
+
+def whole_correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of a group of whole numbers, null where either side is constant.
+
+    Covariance and variances are differences of whole sums, exact in whatever order rows come, so that a
+    correlation of zero is zero and not the noise of a floating sum. Doubled ranks fit to a million rows a group.
+    """
+    wide = lambda c: c.cast("decimal(20,0)")
+    apart = lambda a, b: (wide(F.count(F.lit(1))) * wide(F.sum(a * b)) - wide(F.sum(a)) * wide(F.sum(b))).cast("double")
+    return F.when((apart(x, x) > 0) & (apart(y, y) > 0), apart(x, y) / (F.sqrt(apart(x, x)) * F.sqrt(apart(y, y))))
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -47,9 +63,9 @@ def clamp(value: Column, low: int, high: int) -> Column:
 
 
 def within_tolerance(expected: Column, actual: Column, tolerance: float) -> Column:
-    """Integers must be equal, other numbers within ``tolerance`` relative to 1 + abs(expected); nulls match nulls."""
-    close = F.abs(expected - actual) <= tolerance * (1 + F.abs(expected))
-    return F.coalesce(F.when(expected == F.floor(expected), expected == actual).otherwise(close), expected.isNull() & actual.isNull())
+    """Whole numbers must be equal, others within ``tolerance`` relative to 1 + abs(expected); nulls match nulls, NaN and infinities nothing."""
+    close = F.when(expected == F.floor(expected), expected == actual).otherwise(F.abs(expected - actual) <= tolerance * (1 + F.abs(expected)))
+    return F.when(expected.isNull() & actual.isNull(), True).otherwise(finite(expected) & finite(actual) & F.coalesce(close, F.lit(False)))
 
 
 def is_close(a: Column, b: Column, tolerance: float = 1e-12) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import average_rank, correlation, ratio, sentinel_to_null
+from ..functions.scalars import doubled_rank, ratio, sentinel_to_null, whole_correlation
 from ..validate import alignment_violations, cell_violations, require
 
 
@@ -28,9 +28,9 @@ def checked_cells(truth: DataFrame, prediction: DataFrame) -> DataFrame:
 
 
 def ranked(cells: DataFrame, within: list[str]) -> DataFrame:
-    """Average ranks of both sides among the observed cells: missing values go first, ranks come second."""
+    """Doubled average ranks of both sides among the observed cells: missing values go first, ranks come second."""
     observed = cells.withColumn("truth", sentinel_to_null(F.col("truth"))).where("truth is not null and prediction is not null")
-    return observed.withColumn("truth_rank", average_rank(F.col("truth"), within)).withColumn("prediction_rank", average_rank(F.col("prediction"), within))
+    return observed.withColumn("truth_rank", doubled_rank(F.col("truth"), within)).withColumn("prediction_rank", doubled_rank(F.col("prediction"), within))
 
 
 def daily_rank_correlation(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def daily_rank_correlation(cells: DataFrame, by: list[str] | None = None) -> Dat
     keys = [*(by or []), "date_id"]
     return ranked(cells, keys).groupBy(*keys).agg(
         F.count("*").alias("n_observed"),
-        correlation(F.col("truth_rank"), F.col("prediction_rank")).alias("rho"),
+        whole_correlation(F.col("truth_rank"), F.col("prediction_rank")).alias("rho"),
     )
 
 
@@ -87,4 +87,16 @@ def horizon_metrics(cells: DataFrame, horizons: DataFrame, least: int = 2) -> Da
     daily = daily_rank_correlation(with_lag, ["lag"]).join(counted.where(F.col("n") >= least).select("lag", "date_id"), ["lag", "date_id"])
     scored = daily.groupBy("lag").agg(F.when(F.count("rho") >= 2, ratio(F.col("rho"))).alias("score"), F.avg("rho").alias("mean_correlation"))
     dates = counted.groupBy("lag").agg(F.count_if(F.col("n") >= least).alias("eligible_dates"), F.count_if(F.col("n") < least).alias("excluded_dates"))
-    return dates.join(scored, "lag", "left").select("lag", "score", "mean_correlation", "eligible_dates", "excluded_dates")
+    return dates.join(scored, "lag", "left").select("lag", "score", "mean_correlation", "eligible_dates", "excluded_dates").orderBy("lag")  # a row for each horizon
+
+
+def evaluated(truth: DataFrame, prediction: DataFrame, horizons: DataFrame) -> DataFrame:
+    """``evaluate`` of checked cells, with the horizons' metrics in order as an array.
+
+    Fails on cells that differ, predictions that aren't finite, dates with too few targets and constant
+    sides, before anything is computed.
+    """
+    both = checked_cells(truth, prediction)
+    require_scorable(both)
+    rows = F.array_sort(F.collect_list(F.struct("lag", "score", "mean_correlation", "eligible_dates", "excluded_dates")))
+    return evaluate(both).join(F.broadcast(horizon_metrics(both, horizons).agg(rows.alias("horizons"))))  # one row each

@@ -13,11 +13,12 @@ def _forecast(name: str, oldest: int, source: str = "brand", truth: str = "value
 
 
 def _daily(name: str, cells: str, extra: str = "") -> str:
-    """Daily correlations: ranks among observed cells, then Pearson of the ranks."""
+    """Daily correlations: doubled ranks among observed cells, then Pearson of these whole numbers from exact sums."""
     by = extra + "date_id"
-    return f"""{name}_r AS (SELECT {by}, rank() OVER (PARTITION BY {by} ORDER BY truth) + (count(*) OVER (PARTITION BY {by}, truth) - 1) / 2.0 AS a,
-    rank() OVER (PARTITION BY {by} ORDER BY prediction) + (count(*) OVER (PARTITION BY {by}, prediction) - 1) / 2.0 AS b FROM {cells} WHERE truth <> -999999),
-  {name} AS (SELECT {by}, count(*)::BIGINT AS n_observed, CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS rho FROM {name}_r GROUP BY ALL)"""
+    return f"""{name}_r AS (SELECT {by}, 2 * rank() OVER (PARTITION BY {by} ORDER BY truth) + count(*) OVER (PARTITION BY {by}, truth) - 1 AS a,
+    2 * rank() OVER (PARTITION BY {by} ORDER BY prediction) + count(*) OVER (PARTITION BY {by}, prediction) - 1 AS b FROM {cells} WHERE truth <> -999999),
+  {name}_s AS (SELECT {by}, count(*)::BIGINT AS n_observed, (count(*) * sum(a * a) - sum(a) * sum(a))::DOUBLE AS aa, (count(*) * sum(b * b) - sum(b) * sum(b))::DOUBLE AS bb, (count(*) * sum(a * b) - sum(a) * sum(b))::DOUBLE AS ab FROM {name}_r GROUP BY ALL),
+  {name} AS (SELECT {by}, n_observed, CASE WHEN aa > 0 AND bb > 0 THEN ab / (sqrt(aa) * sqrt(bb)) END AS rho FROM {name}_s)"""
 
 
 CELLS = f"{BRAND}, {_forecast('cells', 12)}"
