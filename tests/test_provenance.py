@@ -3,22 +3,40 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators import evidence, provenance, rolling, scan
 from tidemark.sources import files
+from tidemark.sources.journal import Journal, spark_progress
 from tidemark.validate import ValidationError, require_equal_rows
 
 
-def test_checkpoint_seal_and_tampering(tmp_path):
-    assert provenance.verify_checkpoint(tmp_path, "frozen") is None
+def test_seal_and_tampering(spark, tmp_path):
+    at = str(tmp_path)
+    assert provenance.sealed(spark, at, "frozen-input") is None
     files.atomic_json(tmp_path / "result.json", {"value": 1})
-    provenance.seal_checkpoint(tmp_path, "frozen", ["result.json"])
-    assert provenance.verify_checkpoint(tmp_path, "frozen")["lineage"] == "frozen"
-    with pytest.raises(ValidationError, match="stale"):
-        provenance.verify_checkpoint(tmp_path, "other")
+    with pytest.raises(ValidationError, match="isn't there"):
+        provenance.seal(spark, at, "frozen-input", ["other.json"])
+    provenance.seal(spark, at, "frozen-input", ["result.json"])
+    (tmp_path / "later.txt").write_text("not sealed, so not looked at")
+    assert [(r.path, r.length) for r in provenance.sealed(spark, at, "frozen-input").collect()] == [("result.json", (tmp_path / "result.json").stat().st_size)]
+    with pytest.raises(ValidationError, match="another lineage"):
+        provenance.sealed(spark, at, "other")
     (tmp_path / "result.json").write_text("{}")
-    with pytest.raises(ValidationError, match="sealed"):
-        provenance.verify_checkpoint(tmp_path, "frozen")
+    with pytest.raises(ValidationError, match="as it was sealed"):
+        provenance.sealed(spark, at, "frozen-input")
+    (tmp_path / "result.json").unlink()
+    with pytest.raises(ValidationError, match="as it was sealed"):
+        provenance.sealed(spark, at, "frozen-input")
+
+
+@pytest.mark.parametrize("name", ["../x", "/etc/passwd", "a/../../b", None])
+def test_seal_of_names_outside(spark, tmp_path, name):
+    (tmp_path / provenance.SEAL).mkdir()
+    (tmp_path / provenance.SEAL / "part.json").write_text(json.dumps({"path": name, "sha256": "0", "lineage": "l"}))
+    (tmp_path / provenance.SEAL / "_SUCCESS").touch()
+    with pytest.raises(ValidationError, match="leaves the folder"):
+        provenance.sealed(spark, str(tmp_path), "l")
 
 
 def test_json_refuses_nan(tmp_path):
@@ -134,14 +152,17 @@ def test_references(spark):
     assert {(r.id, r.reason) for r in scan.svg_violations(svg, "id", "svg").collect()} == {(1, "script"), (2, "remote reference")}
 
 
-def test_run_log(tmp_path):
-    log = files.RunLog(tmp_path / "log")
-    log.event("start", stage="x")
-    assert json.loads((tmp_path / "log").read_text())["stage"] == "x"
-    beating = files.RunLog(tmp_path / "beats", heartbeat_seconds=0.05)
-    with beating.stage("fit"):
-        time.sleep(0.3)
-    with pytest.raises(RuntimeError), beating.stage("score"):
-        raise RuntimeError
-    events = [json.loads(x)["event"] for x in (tmp_path / "beats").read_text().splitlines()]
-    assert events[0] == "stage_started" and "stage_running" in events and "stage_finished" in events and events[-1] == "stage_failed"
+def test_journal(spark, tmp_path):
+    at = tmp_path / "journal"
+    with Journal(at, beat=0.05, progress=spark_progress(spark)) as journal:
+        journal.note("begin run", rows=3)
+        with pytest.raises(ValueError):
+            journal.note("bad", value=float("nan"))
+        assert journal.run("fit", lambda: time.sleep(0.4) or 7) == 7
+        with pytest.raises(RuntimeError):
+            journal.run("score", lambda: (_ for _ in ()).throw(RuntimeError()))
+    rows = files.json_lines(spark, str(at), StructType.fromDDL("kind string, step string, elapsed_s double, step_s double, error string, time_utc timestamp, tasks long")).orderBy("elapsed_s").collect()
+    kinds = [(r.kind, r.step) for r in rows]
+    assert kinds[0] == ("begin run", None) and ("alive", "fit") in kinds and ("end", "fit") in kinds and kinds[-1] == ("error", "score")
+    assert all(r.time_utc for r in rows) and rows[-1].error == "RuntimeError" and next(r for r in rows if r.kind == "end").step_s >= 0.4
+    assert {r.tasks is not None for r in rows if r.kind == "alive"} == {True}
