@@ -155,3 +155,13 @@ def test_invalid_forecast_rows(spark):
 def test_slices_reconcile(forecasts):
     gaps = diagnostics.reconciliation(diagnostics.slices(rolling.by_model(forecasts.drop("target_end", "released_day"))))
     assert gaps.where("rmse_gap > 1e-12 or bias_gap > 1e-12").isEmpty() and gaps.count() == 6
+
+
+def test_singular_systems_fail():
+    import numpy as np
+
+    good = np.eye(3)[None] * 2
+    assert rolling.solve(good, np.ones((1, 3))).tolist() == [[0.5, 0.5, 0.5]]
+    for bad in (np.ones((1, 3, 3)), np.diag([1.0, 1.0, 1e-13])[None]):
+        with pytest.raises(ValidationError):
+            rolling.solve(bad, np.ones((1, 3)))

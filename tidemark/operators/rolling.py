@@ -23,6 +23,8 @@ from .features import FEATURES, WARM_UP, label_rows
 
 #: A fit on fewer rows fails.
 LEAST_ROWS = 18
+#: A pivot below this makes a system singular.
+LEAST_PIVOT = 1e-12
 MODELS = ["ridge", "mean", "zero"]
 
 
@@ -123,6 +125,29 @@ def _whole(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return centre, within + (share[:, None] * apart).T @ apart, n.sum()
 
 
+def _systems(parts: pd.Series, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of origins: means of features and y, scales, and the two sides of the normal equations of standardised features."""
+    k = len(FEATURES)
+    found = [_whole(p) for p in parts]
+    centre, covariance, n = (np.stack([x[i] for x in found]) for i in range(3))
+    scale = np.sqrt(np.diagonal(covariance, axis1=1, axis2=2)[:, :k])
+    scale = np.where(scale == 0, 1.0, scale)
+    gram = covariance[:, :k, :k] * n[:, None, None] / (scale[:, :, None] * scale[:, None, :])
+    gram[:, range(k), range(k)] += alpha
+    return centre, scale, gram, n[:, None] * covariance[:, :k, k] / scale
+
+
+def solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions of a batch of symmetric systems; one with a pivot below ``LEAST_PIVOT`` fails."""
+    try:
+        factor = np.linalg.cholesky(gram)
+    except np.linalg.LinAlgError:
+        raise ValidationError("a system of a fit is singular") from None
+    if len(gram) and (np.diagonal(factor, axis1=1, axis2=2) ** 2).min() < LEAST_PIVOT:
+        raise ValidationError("a system of a fit is singular")
+    return np.linalg.solve(gram, right[:, :, None])[:, :, 0]
+
+
 def _solver(alpha: float):
     k = len(FEATURES)
 
@@ -130,18 +155,28 @@ def _solver(alpha: float):
         for f in frames:
             if not len(f):
                 continue
-            found = [_whole(p) for p in f["parts"]]
-            centre, covariance, n = (np.stack([x[i] for x in found]) for i in range(3))
-            scale = np.sqrt(np.diagonal(covariance, axis1=1, axis2=2)[:, :k])
-            scale = np.where(scale == 0, 1.0, scale)
-            gram = covariance[:, :k, :k] * n[:, None, None] / (scale[:, :, None] * scale[:, None, :])
-            gram[:, range(k), range(k)] += alpha
-            right = n[:, None] * covariance[:, :k, k] / scale
-            yield f.drop(columns="parts").assign(intercept=centre[:, k], feature_mean=list(centre[:, :k]), feature_scale=list(scale), coefficients=list(np.linalg.solve(gram, right[:, :, None])[:, :, 0]))
+            centre, scale, gram, right = _systems(f["parts"], alpha)
+            yield f.drop(columns="parts").assign(intercept=centre[:, k], feature_mean=list(centre[:, :k]), feature_scale=list(scale), coefficients=list(solve(gram, right)))
 
     return run
 
 
+def normal_equations(training: DataFrame, alpha: float) -> DataFrame:
+    """(origin, i, j, value): the lower triangle of each fit's standardised Gram matrix with the penalty, and with j = -1 its right side."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        i, j = np.tril_indices(len(FEATURES))
+        for f in frames:
+            if not len(f):
+                continue
+            _, _, gram, right = _systems(f["parts"], alpha)
+            values = np.concatenate([gram[:, i, j], right], 1)
+            rows, cols = np.concatenate([i, np.arange(len(FEATURES))]), np.concatenate([j, np.full(len(FEATURES), -1)])
+            yield pd.DataFrame({"origin": np.repeat(f["origin"].to_numpy(), len(rows)), "i": np.tile(rows, len(f)), "j": np.tile(cols, len(f)), "value": values.ravel()})
+
+    return moments(training).select("origin", "parts").mapInPandas(run, "origin int, i int, j int, value double")
+
+
 FIT = "origin int, rows long, first_origin int, last_origin int, max_release int, eligible_origins long, intercept double, feature_mean array<double>, feature_scale array<double>, coefficients array<double>"
 
 

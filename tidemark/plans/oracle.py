@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 BRAND = """
 brand AS (SELECT ((year(l_shipdate) - 1995) * 12 + month(l_shipdate))::BIGINT AS date_id, p_brand AS target, split_part(p_brand, '#', 2)::INT AS target_pos,
   sum(l_extendedprice * (1 - l_discount)) AS value, count(*) AS n_items FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
@@ -23,31 +25,63 @@ def _daily(name: str, cells: str, extra: str = "") -> str:
 
 CELLS = f"{BRAND}, {_forecast('cells', 12)}"
 SENTINEL = f"{BRAND}, {_forecast('cells', 12, truth='CASE WHEN n_items < 20 THEN -999999.0 ELSE value END')}"
-SEGMENT = """
+WEEKS = """
 sums AS (SELECT c_mktsegment AS series_id, floor(datediff('day', DATE '1995-01-01', o_orderdate::DATE) / 7.0)::INT AS t, sum(o_totalprice) / 1e6 AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 places AS (SELECT series_id, (row_number() OVER (ORDER BY series_id) - 1)::INT AS series_pos FROM (SELECT DISTINCT c_mktsegment AS series_id FROM customer)),
 obs AS (SELECT series_id, series_pos, t::INT AS t, coalesce(value, 0.0) AS value
-  FROM (SELECT series_id, series_pos, unnest(range(0, (SELECT max(floor(datediff('day', DATE '1995-01-01', o_orderdate::DATE) / 7.0)::INT) FROM orders) + 1)) AS t FROM places) LEFT JOIN sums USING (series_id, t)),
+  FROM (SELECT series_id, series_pos, unnest(range(0, (SELECT max(floor(datediff('day', DATE '1995-01-01', o_orderdate::DATE) / 7.0)::INT) FROM orders) + 1)) AS t FROM places) LEFT JOIN sums USING (series_id, t))"""
+#: Origins from 80 on that have a whole target; horizon 5, delay 3, window 80.
+ROLLING = """
 feats AS (SELECT * FROM (SELECT series_id, series_pos, t, lag(value) OVER w AS f0, avg(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS f1,
   avg(value) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS f2, sin(t / 8.0) AS f3, cos(t / 8.0) AS f4,
   (series_pos = 1)::INT::DOUBLE AS f5, (series_pos = 2)::INT::DOUBLE AS f6, (series_pos = 3)::INT::DOUBLE AS f7, (series_pos = 4)::INT::DOUBLE AS f8, (series_pos = 5)::INT::DOUBLE AS f9 FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY t)) WHERE t >= 20),
 targets AS (SELECT * FROM (SELECT series_id, series_pos, t, avg(value) OVER w AS y, count(*) OVER w AS n FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE n = 5),
 labels_ AS (SELECT feats.*, y, feats.t + 8 AS released_day FROM feats JOIN targets USING (series_id, t)),
-origins AS (SELECT unnest(range(80, 220))::INT AS origin),
+origins AS (SELECT unnest(range(80, (SELECT least(max(t) - 3, 1000000) FROM obs)))::INT AS origin),
 training AS (SELECT origin, l.* FROM origins JOIN labels_ l ON l.t BETWEEN greatest(20, origin - 80) AND origin - 8)
 """
+SEGMENT = f"{WEEKS}, {ROLLING}"
+
+
+def _ridge(alpha: float = 5.0, k: int = 10) -> str:
+    """Ridge by the normal equations of standardised features, solved by a Cholesky factor whose columns are a CTE each."""
+    at = range(k)
+    cov = lambda i, j: f"n * g_{i}_{j} / (s{i} * s{j}){f' + {alpha}' if i == j else ''} AS a_{i}_{j}"
+    ctes = [
+        f"moments AS MATERIALIZED (SELECT origin, count(*) AS n, avg(y) AS intercept, {', '.join(f'avg(f{i}) AS m{i}, coalesce(nullif(stddev_pop(f{i}), 0), 1) AS s{i}, covar_pop(f{i}, y) AS c{i}' for i in at)}, {', '.join(f'covar_pop(f{i}, f{j}) AS g_{i}_{j}' for i in at for j in range(i + 1))} FROM training GROUP BY origin)",
+        f"normal AS MATERIALIZED (SELECT origin, intercept, {', '.join(f'm{i}, s{i}, n * c{i} / s{i} AS r{i}' for i in at)}, {', '.join(cov(i, j) for i in at for j in range(i + 1))} FROM moments)",
+    ]
+    last = "normal"
+    less = lambda terms: "".join(f" - {t}" for t in terms)
+    for j in at:
+        ctes.append(f"pivot{j} AS MATERIALIZED (SELECT *, sqrt(a_{j}_{j}{less(f'l_{j}_{h} * l_{j}_{h}' for h in range(j))}) AS l_{j}_{j} FROM {last})")
+        below = [f"(a_{i}_{j}{less(f'l_{i}_{h} * l_{j}_{h}' for h in range(j))}) / l_{j}_{j} AS l_{i}_{j}" for i in range(j + 1, k)]
+        ctes.append(f"column{j} AS MATERIALIZED (SELECT {', '.join(['*', *below])} FROM pivot{j})")
+        last = f"column{j}"
+    for j in at:
+        ctes.append(f"down{j} AS MATERIALIZED (SELECT *, (r{j}{less(f'l_{j}_{h} * z{h}' for h in range(j))}) / l_{j}_{j} AS z{j} FROM {last})")
+        last = f"down{j}"
+    for j in reversed(at):
+        ctes.append(f"up{j} AS MATERIALIZED (SELECT *, (z{j}{less(f'l_{h}_{j} * b{h}' for h in range(j + 1, k))}) / l_{j}_{j} AS b{j} FROM {last})")
+        last = f"up{j}"
+    ridge = " + ".join(["intercept", *(f"b{i} * (f{i} - m{i}) / s{i}" for i in at)])
+    ctes.append("means AS (SELECT origin, series_id, avg(y) AS mean FROM training GROUP BY ALL)")
+    ctes.append(f"forecasts AS MATERIALIZED (SELECT l.series_id, l.t AS origin, l.y AS actual, {ridge} AS ridge, coalesce(mean, 0.0) AS mean, 0.0::DOUBLE AS zero, l.t + 4 AS target_end, l.t + 8 AS released_day FROM labels_ l JOIN {last} u ON u.origin = l.t LEFT JOIN means ON means.origin = l.t AND means.series_id = l.series_id)")
+    ctes.append("models AS (SELECT origin, series_id, actual, unnest(['ridge', 'mean', 'zero']) AS model, unnest([ridge, mean, zero]) AS prediction FROM forecasts)")
+    return ", ".join(ctes)
+
+
+RIDGE = _ridge()
 LEDGER = f"""{SEGMENT}, ledger AS (SELECT series_id, t AS origin, t + 4 AS target_end, t + 8 AS released_day, t + 8 <= 120 AS eligible, CASE WHEN t + 8 <= 120 THEN y END AS label,
   CASE WHEN t + 8 <= 120 THEN 'Available for training' ELSE 'Not released' END AS status FROM targets WHERE t BETWEEN 40 AND 119)"""
 EVENTS = """
 event_rows AS (SELECT event_type || '_' || (user_id % 8)::VARCHAR AS instrument, (datediff('day', DATE '2024-01-01', ts::DATE) + 1)::BIGINT AS observed_day, user_id % 8 AS g, value FROM events),
 labels_ AS (SELECT instrument, observed_day, (observed_day + 1 + (observed_day + g) % 5)::BIGINT AS released_day, avg(value) AS value FROM event_rows GROUP BY ALL)
 """
-BASELINES = f"""{SEGMENT}, rows_ AS (SELECT m.origin, m.series_id, y AS actual, mean, 0.0::DOUBLE AS zero FROM (SELECT origin, series_id, avg(y) AS mean FROM training GROUP BY ALL) m JOIN targets ON targets.series_id = m.series_id AND targets.t = m.origin),
-models AS (SELECT origin, series_id, actual, 'mean' AS model, mean AS prediction FROM rows_ UNION ALL SELECT origin, series_id, actual, 'zero', zero FROM rows_)"""
 ERRORS = """sqrt(avg((prediction - actual) * (prediction - actual))) AS rmse, avg(abs(prediction - actual)) AS mae,
   CASE WHEN var_pop(prediction) > 0 AND var_pop(actual) > 0 THEN covar_pop(prediction, actual) / (stddev_pop(prediction) * stddev_pop(actual)) END AS correlation,
   avg(prediction - actual) AS bias, count(*)::BIGINT AS n"""
-SLICES = f"""{BASELINES}, half AS (SELECT quantile_disc(origin, 0.5) AS midpoint FROM (SELECT DISTINCT origin FROM models)),
+SLICES = f"""{SEGMENT}, {RIDGE}, half AS (SELECT quantile_disc(origin, 0.5) AS midpoint FROM (SELECT DISTINCT origin FROM models)),
 marked AS (SELECT *, CASE WHEN origin <= (SELECT midpoint FROM half) THEN 'earlier' ELSE 'later' END AS period FROM models),
 slices AS (SELECT model, CASE WHEN grouping(series_id) = 0 THEN 'series' WHEN grouping(period) = 0 THEN 'period' ELSE 'pooled' END AS kind, coalesce(series_id, period, 'all') AS slice,
   {ERRORS}, min(origin) AS first_origin, max(origin) AS last_origin FROM marked GROUP BY GROUPING SETS ((model), (model, series_id), (model, period)))"""
@@ -55,21 +89,32 @@ VARIANTS = f"""{BRAND}, {_forecast('c_year', 12)}, {_forecast('c_half', 6)}, {_f
 daily AS (SELECT variant, (row_number() OVER (PARTITION BY variant ORDER BY date_id) - 1)::BIGINT AS pos, rho FROM (SELECT 'year' AS variant, * FROM d_year UNION ALL SELECT 'half', * FROM d_half UNION ALL SELECT 'recent', * FROM d_recent) WHERE date_id > 2)"""
 
 
-def _positions(folds: str, blocks: str) -> str:
-    return f"""folds AS (SELECT * FROM (VALUES {folds}) v(fold, length, fold_offset)), blocks AS (SELECT unnest([{blocks}])::INT AS block),
-    starts AS (SELECT block, rep::INT AS rep, fold, length, fold_offset, blk, (rep * 7919 + blk * 104729 + fold * 1299709 + 42) % length AS start
-      FROM blocks, folds, range(0, 60) r(rep), range(0, 100) b(blk) WHERE blk < ceil(length / block::DOUBLE)),
+def _positions(folds: list[int], blocks: list[int], repetitions: int = 500, seed: int = 42, single: bool = False) -> str:
+    """Slots and positions of resamples whose starts are drawn here, as the definition has them: anew from the seed for each block size, fold by fold; a single population repetition by repetition."""
+    rows = []
+    for block in blocks:
+        rng = np.random.default_rng(seed)
+        for fold, n in enumerate(folds):
+            if single:
+                drawn = [rng.integers(0, n, size=-(-n // block)) for _ in range(repetitions)]
+            else:
+                drawn = rng.integers(0, n, size=(repetitions, -(-n // block)))
+            rows.append(f"({block}, {fold}, {[[int(x) for x in line] for line in drawn]})")
+    return f"""drawn(block, fold, reps) AS (VALUES {', '.join(rows)}), lengths(fold, length) AS (VALUES {', '.join(f'({f}, {n})' for f, n in enumerate(folds))}),
+    folds AS (SELECT fold, length, (sum(length) OVER (ORDER BY fold) - length)::INT AS fold_offset FROM lengths),
+    lines AS (SELECT block, fold, unnest(range(len(reps)))::INT AS rep, unnest(reps) AS line FROM drawn),
+    starts AS (SELECT block, rep, fold, length, fold_offset, unnest(range(len(line)))::INT AS blk, unnest(line) AS start FROM lines JOIN folds USING (fold)),
     positions AS (SELECT block, rep, (fold_offset + blk * block + step)::BIGINT AS slot, (fold_offset + (start + step) % length)::BIGINT AS pos FROM starts, range(0, 100) s(step) WHERE step < block AND blk * block + step < length)"""
 
 
-FOLDED = _positions("(0, 41, 0), (1, 40, 41)", "4, 10")
+FOLDED = _positions([41, 40], [4, 10])
 DRAWS = """draws AS (SELECT block, rep, variant, stddev_pop(rho) AS deviation, CASE WHEN stddev_pop(rho) > 0 THEN avg(rho) / stddev_pop(rho) END AS draw FROM positions JOIN daily USING (pos) GROUP BY ALL)"""
 COMPARED = f"""{VARIANTS}, {FOLDED}, {DRAWS}, seen AS (SELECT variant, avg(rho) / stddev_pop(rho) AS observed FROM daily GROUP BY ALL),
 pairs AS (SELECT * FROM (VALUES ('year', 'half'), ('year', 'recent')) v(variant, reference)),
-diffs AS (SELECT p.variant, p.reference, a.block, a.rep, sa.observed - sb.observed AS delta, a.draw - b.draw AS d FROM pairs p JOIN draws a ON a.variant = p.variant JOIN draws b ON b.variant = p.reference AND b.block = a.block AND b.rep = a.rep
+diffs AS (SELECT p.variant, p.reference, a.block, a.rep, sa.observed AS candidate, sb.observed AS control, sa.observed - sb.observed AS delta, a.draw - b.draw AS d FROM pairs p JOIN draws a ON a.variant = p.variant JOIN draws b ON b.variant = p.reference AND b.block = a.block AND b.rep = a.rep
   JOIN seen sa ON sa.variant = p.variant JOIN seen sb ON sb.variant = p.reference),
 crit AS (SELECT block, quantile_cont(e, 0.95) AS critical FROM (SELECT block, rep, max(abs(d - delta)) AS e FROM diffs GROUP BY ALL) GROUP BY ALL),
-compared AS (SELECT variant, reference, block AS block_dates, delta, quantile_cont(d, 0.025) AS conditional_low, quantile_cont(d, 0.975) AS conditional_high, delta - any_value(critical) AS simultaneous_low, delta + any_value(critical) AS simultaneous_high FROM diffs JOIN crit USING (block) GROUP BY variant, reference, block, delta)"""
+compared AS (SELECT variant, reference, block AS block_dates, any_value(candidate) AS candidate, any_value(control) AS control, delta, quantile_cont(d, 0.025) AS conditional_low, quantile_cont(d, 0.975) AS conditional_high, delta - any_value(critical) AS simultaneous_low, delta + any_value(critical) AS simultaneous_high FROM diffs JOIN crit USING (block) GROUP BY variant, reference, block, delta)"""
 REFS = r"""refs AS (
   SELECT page_id, 'attribute' AS kind, unnest(regexp_extract_all(html, '(?i)\s(?:href|src)\s*=\s*["'']([^"'']*)["'']', 1)) AS reference FROM pages
   UNION ALL SELECT page_id, 'style', unnest(regexp_extract_all(html, '(?i)url\(\s*["'']?([^\s)"'']+)["'']?\s*\)', 1)) FROM pages
@@ -78,6 +123,18 @@ parts AS (SELECT *, regexp_extract(reference, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)
   regexp_extract(regexp_replace(reference, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?', ''), '^[^?#]*') AS path, regexp_extract(reference, '#(.*)$', 1) AS fragment FROM refs)"""
 
 
+def _synthetic(scenario: str) -> str:
+    """The generated panel of 240 days: one stream of numbers over six series in turn."""
+    noise, shift = {"steady": (0.22, "0"), "shift": (0.22, "CASE WHEN t >= 150 THEN CASE WHEN j % 2 = 0 THEN 0.22 ELSE -0.18 END ELSE 0 END"), "noisy": (0.7, "0")}[scenario]
+    return f"""WITH RECURSIVE lcg(i, s) AS (SELECT 0::BIGINT, 2026::BIGINT UNION ALL SELECT i + 1, (s * 1664525 + 1013904223) % 4294967296 FROM lcg WHERE i < 4326),
+            u AS (SELECT i - 1 AS i, s / 4294967296.0::DOUBLE AS u FROM lcg WHERE i > 0),
+            first AS (SELECT (i // 721)::INT AS j, (u - 0.5) * 0.5 AS v FROM u WHERE i % 721 = 0),
+            noise AS (SELECT (i // 721)::INT AS j, ((i % 721 - 1) // 3)::INT AS t, (sum(u) - 1.5) * {noise} AS e FROM u WHERE i % 721 > 0 GROUP BY ALL),
+            drive AS (SELECT j, t, 0.15 * sin(t / 8.0::DOUBLE + j * 0.47::DOUBLE) + 0.08 * cos(t / 19.0::DOUBLE - j * 0.33::DOUBLE) + e + {shift} AS x FROM noise),
+            walk(j, t, v) AS (SELECT j, -1, v::DOUBLE FROM first UNION ALL SELECT walk.j, drive.t, (0.78 * walk.v + drive.x)::DOUBLE FROM walk JOIN drive ON drive.j = walk.j AND drive.t = walk.t + 1),
+            obs AS MATERIALIZED (SELECT chr(65 + j) AS series_id, j AS series_pos, t, v AS value FROM walk WHERE t >= 0)"""
+
+
 def _r(columns: dict[str, int] | list[str], digits: int = 6) -> str:
     names = columns if isinstance(columns, dict) else dict.fromkeys(columns, digits)
     return ", ".join(f"round({c} + 0.0, {d}) AS {c}" for c, d in names.items())
@@ -112,32 +169,34 @@ def oracle_sql() -> dict[str, str]:
         "evaluate_summary": f"""WITH {CELLS}, {daily}, e AS (SELECT avg(abs(prediction - truth)) AS mae, sqrt(avg((prediction - truth) * (prediction - truth))) AS rmse FROM cells)
             SELECT round(avg(rho) / stddev_pop(rho), 6) AS score, round(avg(rho), 6) AS mean_correlation, round(stddev_pop(rho), 6) AS correlation_deviation, round(avg((rho > 0)::INT), 6) AS positive_fraction, count(*) AS dates,
             min(date_id) AS first_date, max(date_id) AS last_date, round(arg_min(rho, date_id), 6) AS first_rho, (SELECT round(mae, 2) FROM e) AS mae, (SELECT round(rmse, 2) FROM e) AS rmse FROM daily""",
+        "checked_evaluation": f"""WITH {CELLS}, {daily}, lagged AS (SELECT *, (1 + target_pos % 4)::BIGINT AS lag FROM cells), {_daily('by_lag', 'lagged', 'lag, ')}, n AS (SELECT lag, date_id, count(*) AS n FROM lagged GROUP BY ALL),
+            h AS (SELECT n.lag, avg(rho) FILTER (n.n >= 2) / stddev_pop(rho) FILTER (n.n >= 2) AS lag_score, avg(rho) FILTER (n.n >= 2) AS lag_mean, count(*) FILTER (n.n >= 2) AS eligible_dates FROM n LEFT JOIN by_lag USING (lag, date_id) GROUP BY n.lag)
+            SELECT round(score, 6) AS score, round(positive_fraction, 6) AS positive_fraction, dates, (row_number() OVER (ORDER BY lag) - 1)::INT AS place, lag, round(lag_score, 6) AS lag_score, round(lag_mean, 6) AS lag_mean, eligible_dates
+            FROM h, (SELECT avg(rho) / stddev_pop(rho) AS score, avg((rho > 0)::INT) AS positive_fraction, count(*) AS dates FROM daily)""",
         "horizon_metrics": f"""WITH {lagged}, n AS (SELECT lag, date_id, count(*) AS n FROM late GROUP BY ALL), s AS (SELECT lag, avg(rho) / stddev_pop(rho) AS score, avg(rho) AS m FROM by_lag JOIN n USING (lag, date_id) WHERE n.n >= 2 GROUP BY lag)
             SELECT lag, round(any_value(score), 6) AS score, round(any_value(m), 6) AS mean_correlation, count(*) FILTER (n.n >= 2) AS eligible_dates, count(*) FILTER (n.n < 2) AS excluded_dates FROM n LEFT JOIN s USING (lag) GROUP BY lag""",
         "trailing_features": f"WITH {SEGMENT} SELECT series_id, series_pos, t, {_r(features, 10)} FROM feats",
         "forward_target": f"WITH {SEGMENT} SELECT series_id, series_pos, t, round(y, 10) AS y, t + 8 AS released_day FROM targets",
         "training_rows_range_join": f"WITH {SEGMENT} SELECT origin, series_id, count(*) AS n_rows, sum(t)::BIGINT AS sum_t, round(avg(y), 6) AS mean_y FROM training GROUP BY ALL",
-        "fit_feature_stats": f"WITH {SEGMENT} SELECT origin, {', '.join(f'round(avg({f}) + 0.0, 6) AS mean_{f}' for f in picked)}, {', '.join(f'round(coalesce(nullif(stddev_pop({f}), 0), 1), 6) AS scale_{f}' for f in picked)} FROM training GROUP BY origin",
-        "fit_gram_moments": f"WITH {SEGMENT}, g AS (SELECT origin, count(*) * covar_pop(f0, f1) AS g01, count(*) * covar_pop(f1, f2) AS g12, count(*) * var_pop(f3) AS g33, count(*) * covar_pop(f0, y) AS r0, count(*) * covar_pop(f6, y) AS r6 FROM training GROUP BY origin) SELECT origin, {_r(['g01', 'g12', 'g33', 'r0', 'r6'])} FROM g",
+        "fit_feature_stats": f"WITH {SEGMENT}, {RIDGE}, s AS (SELECT origin, intercept, unnest(range(10))::INT AS feature, unnest([{', '.join(f'm{i}' for i in range(10))}]) AS mean, unnest([{', '.join(f's{i}' for i in range(10))}]) AS scale, unnest([{', '.join(f'b{i}' for i in range(10))}]) AS coefficient FROM up0) SELECT origin, feature, {_r(['intercept', 'mean', 'scale', 'coefficient'])} FROM s",
+        "fit_gram_moments": f"WITH {SEGMENT}, {RIDGE}, s AS (SELECT origin, unnest([{', '.join(f'{{i: {i}, j: {j}, v: {v}}}' for i, j, v in [*((i, j, f'a_{i}_{j}') for i in range(10) for j in range(i + 1)), *((i, -1, f'r{i}') for i in range(10))])}]) AS c FROM normal) SELECT origin, c.i::INT AS i, c.j::INT AS j, round(c.v + 0.0, 6) AS value FROM s",
         "fit_receipts": f"WITH {SEGMENT} SELECT origin, count(*) AS n_rows, min(t) AS first_origin, max(t) AS last_origin, max(released_day) AS max_release, count(DISTINCT t) AS eligible_origins, max(released_day) <= origin AS released_in_time FROM training GROUP BY origin",
         "baseline_mean_forecast": f"WITH {SEGMENT} SELECT origin, series_id, round(avg(y), 6) AS mean_forecast FROM training GROUP BY ALL",
         "ridge_single_feature": f"WITH {SEGMENT}, s AS (SELECT origin, count(*) AS n, coalesce(nullif(stddev_pop(f2), 0), 1) AS sd, covar_pop(f2, y) AS c, var_pop(f2) AS v, avg(y) AS m FROM training GROUP BY origin) SELECT origin, n AS n_rows, round(n * c / sd / (n * v / (sd * sd) + 5), 6) AS beta, round(m, 6) AS intercept FROM s",
-        "model_scores": f"WITH {BASELINES}, s AS (SELECT model, {ERRORS} FROM models GROUP BY model) SELECT model, {_r(['rmse', 'mae', 'correlation', 'bias'])}, n FROM s",
+        "ridge_forecast": f"WITH {SEGMENT}, {RIDGE} SELECT series_id, origin, {_r({'actual': 10, 'ridge': 6, 'mean': 6, 'zero': 6})}, target_end, released_day FROM forecasts",
+        "model_scores": f"WITH {SEGMENT}, {RIDGE}, s AS (SELECT model, {ERRORS} FROM models GROUP BY model) SELECT model, {_r(['rmse', 'mae', 'correlation', 'bias'])}, n FROM s",
         "error_slices": f"WITH {SLICES} SELECT model, kind, slice, {_r(['rmse', 'mae', 'correlation', 'bias'])}, n, first_origin, last_origin FROM slices",
-        "slice_reconciliation": f"WITH {SLICES} SELECT DISTINCT model, kind, 0.0::DOUBLE AS rmse_gap, 0.0::DOUBLE AS bias_gap FROM slices WHERE kind <> 'pooled'",
+        "slice_reconciliation": f"""WITH {SLICES}, p AS (SELECT model, kind, sqrt(sum(n * rmse * rmse) / sum(n)) AS rmse_parts, sum(n * bias) / sum(n) AS bias_parts FROM slices WHERE kind <> 'pooled' GROUP BY ALL)
+            SELECT p.model, p.kind, round(abs(rmse_parts - rmse) + 0.0, 6) AS rmse_gap, round(abs(bias_parts - bias) + 0.0, 6) AS bias_gap FROM p JOIN slices s ON s.model = p.model AND s.kind = 'pooled'""",
         "bootstrap_indices": f"WITH {FOLDED} SELECT block, rep, slot, pos FROM positions",
         "bootstrap_draws": f"WITH {VARIANTS}, {FOLDED}, {DRAWS} SELECT block, rep, variant, {_r(['deviation', 'draw'])} FROM draws",
-        "paired_interval": f"WITH {VARIANTS}, {_positions('(0, 81, 0)', '20')}, {DRAWS}, p AS (SELECT rep, max(draw) FILTER (variant = 'year') - max(draw) FILTER (variant = 'recent') AS d FROM draws GROUP BY rep) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM p",
+        "paired_interval": f"WITH {VARIANTS}, {_positions([81], [20], single=True)}, {DRAWS}, p AS (SELECT rep, max(draw) FILTER (variant = 'year') - max(draw) FILTER (variant = 'recent') AS d FROM draws GROUP BY rep) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM p",
         "compare_variants": f"WITH {COMPARED} SELECT variant, reference, block_dates, {_r(['delta', 'conditional_low', 'conditional_high', 'simultaneous_low', 'simultaneous_high'])} FROM compared",
-        "evidence_checks": f"""WITH {COMPARED} SELECT reference, block_dates, "check", passed FROM (SELECT reference, block_dates, isfinite(delta) AND isfinite(conditional_low) AND isfinite(conditional_high) AS finite, true AS delta_adds_up, conditional_low <= conditional_high AS bounds_ordered, conditional_low < 0 AND conditional_high > 0 AS straddles_zero FROM compared)
+        "evidence_checks": f"""WITH {COMPARED} SELECT reference, block_dates, "check", passed FROM (SELECT reference, block_dates, isfinite(delta) AND isfinite(conditional_low) AND isfinite(conditional_high) AS finite, abs(candidate - control - delta) <= 1e-12 AS delta_adds_up, conditional_low <= conditional_high AS bounds_ordered, conditional_low < 0 AND conditional_high > 0 AS straddles_zero FROM compared)
             UNPIVOT (passed FOR "check" IN (finite, delta_adds_up, bounds_ordered, straddles_zero))""",
-        "synthetic_panel": """WITH RECURSIVE lcg(i, s) AS (SELECT 0::BIGINT, 2026::BIGINT UNION ALL SELECT i + 1, (s * 1664525 + 1013904223) % 4294967296 FROM lcg WHERE i < 4326),
-            u AS (SELECT i - 1 AS i, s / 4294967296.0::DOUBLE AS u FROM lcg WHERE i > 0),
-            first AS (SELECT (i // 721)::INT AS j, (u - 0.5) * 0.5 AS v FROM u WHERE i % 721 = 0),
-            noise AS (SELECT (i // 721)::INT AS j, ((i % 721 - 1) // 3)::INT AS t, (sum(u) - 1.5) * 0.22 AS e FROM u WHERE i % 721 > 0 GROUP BY ALL),
-            drive AS (SELECT j, t, 0.15 * sin(t / 8.0::DOUBLE + j * 0.47::DOUBLE) + 0.08 * cos(t / 19.0::DOUBLE - j * 0.33::DOUBLE) + e + CASE WHEN t >= 150 THEN CASE WHEN j % 2 = 0 THEN 0.22 ELSE -0.18 END ELSE 0 END AS x FROM noise),
-            walk(j, t, v) AS (SELECT j, -1, v::DOUBLE FROM first UNION ALL SELECT walk.j, drive.t, (0.78 * walk.v + drive.x)::DOUBLE FROM walk JOIN drive ON drive.j = walk.j AND drive.t = walk.t + 1)
-            SELECT chr(65 + j) AS series_id, j AS series_pos, t, round(v, 9) AS value FROM walk WHERE t >= 0""",
+        "synthetic_panel": f"{_synthetic('shift')} SELECT series_id, series_pos, t, round(value, 9) AS value FROM obs",
+        "synthetic_forecast": f"{_synthetic('steady')}, {ROLLING}, {RIDGE} SELECT series_id, origin, {_r(['actual', 'ridge', 'mean', 'zero'])}, target_end, released_day FROM forecasts WHERE origin <= 219",
+        "synthetic_scores": f"{_synthetic('steady')}, {ROLLING}, {RIDGE}, s AS (SELECT model, {ERRORS} FROM models WHERE origin <= 219 GROUP BY model) SELECT model, {_r(['rmse', 'mae', 'correlation', 'bias'])}, n FROM s",
         "outcome_histogram": "SELECT o_orderstatus AS outcome, count(*) AS n FROM orders GROUP BY 1",
         "membership_check": "SELECT o_orderpriority AS name, count(*) AS n, 'not allowed' AS reason FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1 UNION ALL SELECT name, 0, 'required' FROM (VALUES ('1-URGENT'), ('9-NEVER')) v(name) WHERE name NOT IN (SELECT o_orderpriority FROM orders)",
         "replay_diff": f"WITH {CELLS}, {daily} SELECT date_id, CASE WHEN date_id > 80 THEN 'missing' ELSE 'differs' END AS reason, CASE WHEN date_id <= 80 THEN 'rho' END AS field FROM daily WHERE date_id > 80 OR date_id % 10 = 0",
@@ -149,10 +208,11 @@ def oracle_sql() -> dict[str, str]:
         "label_stream_replay": f"WITH {EVENTS} SELECT released_day, count(*) AS n, round(sum(value), 6) AS total FROM labels_ GROUP BY released_day",
         "available_keys": f"WITH {EVENTS} SELECT string_agg(instrument || ':' || observed_day, ',' ORDER BY released_day, instrument, observed_day) AS key_list FROM labels_ WHERE released_day <= 15",
         "release_check_count": f"WITH {SEGMENT}, r AS (SELECT origin, max(released_day) AS m FROM training GROUP BY origin) SELECT count(*) FILTER (m <= origin) AS in_time, count(*) AS fits FROM r",
-        "origin_lookup": f"WITH {SEGMENT} SELECT origin, count(*) AS n_rows, min(t) AS first_origin, max(t) AS last_origin, max(released_day) AS max_release, count(DISTINCT t) AS eligible_origins FROM training WHERE origin = 219 GROUP BY origin",
+        "origin_lookup": f"WITH {SEGMENT} SELECT origin, count(*) AS n_rows, min(t) AS first_origin, max(t) AS last_origin, max(released_day) AS max_release, count(DISTINCT t) AS eligible_origins FROM training WHERE origin = (SELECT max(origin) FROM origins) GROUP BY origin",
         "series_extent": f"WITH {SEGMENT} SELECT series_id, min(t) AS first_t, max(t) AS last_t, round(min(value), 10) AS low, round(max(value), 10) AS high FROM obs GROUP BY series_id",
         "fold_offsets": f"WITH {FOLDED}, s AS (SELECT DISTINCT block, rep, fold, length, fold_offset, blk FROM starts) SELECT block, fold, length, fold_offset, count(*) AS n_blocks FROM s GROUP BY ALL",
-        "manifest_diff": "SELECT * FROM (VALUES ('7', 'missing'), ('5', 'changed'), ('-1', 'unexpected')) v(path, reason) WHERE path = '-1' OR path IN (SELECT p_partkey::VARCHAR FROM part)",
+        "manifest_diff": """WITH e AS (SELECT p_partkey::VARCHAR AS path, sha256(coalesce(p_name, '')) AS e FROM part), a AS (SELECT p_partkey::VARCHAR AS path, sha256(CASE WHEN p_partkey = 5 THEN 'other' ELSE coalesce(p_name, '') END) AS a FROM part WHERE p_partkey <> 7 UNION ALL SELECT '-1', sha256('new'))
+            SELECT path, CASE WHEN a IS NULL THEN 'missing' WHEN e IS NULL THEN 'unexpected' ELSE 'changed' END AS reason FROM e FULL JOIN a USING (path) WHERE e IS DISTINCT FROM a""",
         "markup_totals": "SELECT count(*) AS n_files, sum(strlen(html))::BIGINT AS total_bytes, count(DISTINCT page_id) AS n_distinct FROM pages",
     }
     return sql

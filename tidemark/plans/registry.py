@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from ..validate import alignment_violations, duplicate_keys, label_violations, m
 
 AS_OF = 15
 LEDGER_ORIGIN, LEDGER_HORIZON, LEDGER_DELAY, LEDGER_WINDOW = 120, 5, 3, 80
+#: The synthetic workload's, of 240 days; on a table the last origin is the last one with a whole target.
 CONFIG = rolling.RollingConfig(horizon=5, delay=3, window=80, alpha=5.0, start=80, end=219)
-FOLDS, BLOCKS, REPETITIONS, SEED = [41, 40], [4, 10], 60, 42
+FOLDS, BLOCKS, PAIRED_BLOCK, REPETITIONS, SEED = [41, 40], [4, 10], 20, 500, 42
 #: Cells of brand_month made of fewer line items than this count as missing in the sentinel query.
 FEW_ITEMS = 20
 
@@ -23,9 +25,9 @@ FEW_ITEMS = 20
 EXACT = 10
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of a sum doesn't show; negative zero becomes zero."""
-    return df.select(*(F.round(F.col(c) + 0.0, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def _rounded(df: DataFrame, digits: int = 6, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded, so that the order of a sum doesn't show, the ``exact`` ones at ``EXACT`` digits; negative zero becomes zero."""
+    return df.select(*(F.round(F.col(c) + 0.0, EXACT if c in exact else digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +145,14 @@ def evaluate_summary(spark, sf_dir):
     )
 
 
+def checked_evaluation(spark, sf_dir):
+    """Truth and forecast as two tables, matched and checked before they are scored; a row for each horizon beside the score."""
+    cells = _cells(spark, sf_dir)
+    side = lambda c: cells.select("date_id", "target", "target_pos", F.col(c).alias("value"))
+    found = metrics.evaluated(side("truth"), side("prediction"), panels.horizons(spark, sf_dir))
+    return _rounded(found.select("score", "positive_fraction", "dates", F.posexplode("horizons").alias("place", "h")).select("score", "positive_fraction", "dates", "place", "h.lag", F.col("h.score").alias("lag_score"), F.col("h.mean_correlation").alias("lag_mean"), F.col("h.eligible_dates").alias("eligible_dates")))
+
+
 def horizon_metrics(spark, sf_dir):
     cells = _cells(spark, sf_dir).where(F.col("date_id") + F.col("target_pos") > 8)
     return _rounded(metrics.horizon_metrics(cells.drop("lag"), panels.horizons(spark, sf_dir)))
@@ -157,8 +167,14 @@ def forward_target(spark, sf_dir):
     return _rounded(found.withColumn("released_day", F.col("t") + CONFIG.horizon + CONFIG.delay), EXACT)
 
 
+def _weeks(spark, sf_dir) -> tuple[DataFrame, rolling.RollingConfig]:
+    """Weekly values, and origins up to the last week whose target the table holds."""
+    obs = panels.segment_week(spark, sf_dir)
+    return obs, replace(CONFIG, end=obs.agg(F.max("t")).first()[0] + 1 - CONFIG.horizon)
+
+
 def _training(spark, sf_dir):
-    return rolling.training_rows(panels.segment_week(spark, sf_dir), CONFIG)
+    return rolling.training_rows(*_weeks(spark, sf_dir))
 
 
 def training_rows_range_join(spark, sf_dir):
@@ -166,13 +182,14 @@ def training_rows_range_join(spark, sf_dir):
 
 
 def fit_feature_stats(spark, sf_dir):
-    picked = ["f0", "f2", "f4", "f6"]
-    return _rounded(_training(spark, sf_dir).groupBy("origin").agg(*(F.avg(f).alias(f"mean_{f}") for f in picked), *(F.coalesce(F.nullif(F.stddev_pop(f), F.lit(0.0)), F.lit(1.0)).alias(f"scale_{f}") for f in picked)))
+    """Every fit's feature means, scales and coefficients."""
+    found = rolling.fits(*_weeks(spark, sf_dir))
+    each = found.select("origin", "intercept", F.posexplode(F.arrays_zip("feature_mean", "feature_scale", "coefficients")).alias("feature", "v"))
+    return _rounded(each.select("origin", "intercept", "feature", F.col("v.feature_mean").alias("mean"), F.col("v.feature_scale").alias("scale"), F.col("v.coefficients").alias("coefficient")))
 
 
 def fit_gram_moments(spark, sf_dir):
-    n = F.count("*")
-    return _rounded(_training(spark, sf_dir).groupBy("origin").agg((n * F.covar_pop("f0", "f1")).alias("g01"), (n * F.covar_pop("f1", "f2")).alias("g12"), (n * F.var_pop("f3")).alias("g33"), (n * F.covar_pop("f0", "y")).alias("r0"), (n * F.covar_pop("f6", "y")).alias("r6")))
+    return _rounded(rolling.normal_equations(_training(spark, sf_dir), CONFIG.alpha))
 
 
 def fit_receipts(spark, sf_dir):
@@ -187,28 +204,24 @@ def ridge_single_feature(spark, sf_dir):
     return _rounded(rolling.single_feature_ridge(_training(spark, sf_dir), "f2", CONFIG.alpha))
 
 
-def ridge_forecast(spark, sf_dir):
-    return _rounded(rolling.forecasts(panels.segment_week(spark, sf_dir), CONFIG))
+def _forecasts(spark, sf_dir):
+    return rolling.forecasts(*_weeks(spark, sf_dir))
 
 
-def _baseline_rows(spark, sf_dir):
-    """Forecasts of the two baselines, without the fitted model: what SQL can repeat."""
-    obs = panels.segment_week(spark, sf_dir)
-    actual = features.with_targets(obs, CONFIG.horizon).select("series_id", F.col("t").alias("origin"), F.col("y").alias("actual"))
-    means = rolling.baseline_means(rolling.training_rows(obs, CONFIG))
-    return rolling.by_model(means.join(actual, ["series_id", "origin"]).withColumn("zero", F.lit(0.0)), ["mean", "zero"])
+def ridge_forecast(spark, sf_dir):
+    return _rounded(_forecasts(spark, sf_dir), exact=("actual",))
 
 
 def model_scores(spark, sf_dir):
-    return _rounded(rolling.scores(_baseline_rows(spark, sf_dir), ["model"]))
+    return _rounded(rolling.scores(rolling.by_model(_forecasts(spark, sf_dir)), ["model"]))
 
 
 def error_slices(spark, sf_dir):
-    return _rounded(diagnostics.slices(_baseline_rows(spark, sf_dir)))
+    return _rounded(diagnostics.slices(rolling.by_model(_forecasts(spark, sf_dir))))
 
 
 def slice_reconciliation(spark, sf_dir):
-    return _rounded(diagnostics.reconciliation(diagnostics.slices(_baseline_rows(spark, sf_dir))))
+    return _rounded(diagnostics.reconciliation(diagnostics.slices(rolling.by_model(_forecasts(spark, sf_dir)))))
 
 
 def _variants(spark, sf_dir):
@@ -220,7 +233,7 @@ def _variants(spark, sf_dir):
 
 
 def _starts(spark, blocks):
-    return bootstrap.arithmetic_starts(spark, FOLDS, blocks, REPETITIONS, SEED)
+    return bootstrap.fold_starts(spark, FOLDS, blocks, REPETITIONS, SEED)
 
 
 def bootstrap_indices(spark, sf_dir):
@@ -232,12 +245,12 @@ def bootstrap_draws(spark, sf_dir):
 
 
 def paired_interval(spark, sf_dir):
-    starts = bootstrap.arithmetic_starts(spark, [sum(FOLDS)], [20], REPETITIONS, SEED)
+    starts = bootstrap.single_starts(spark, sum(FOLDS), PAIRED_BLOCK, REPETITIONS, SEED)
     return _rounded(bootstrap.paired_interval(_variants(spark, sf_dir), starts, "year", "recent"))
 
 
 def compare_variants(spark, sf_dir):
-    return _rounded(bootstrap.compare(_variants(spark, sf_dir), _starts(spark, BLOCKS), [("year", "half"), ("year", "recent")], check=False))
+    return _rounded(bootstrap.compare(_variants(spark, sf_dir), _starts(spark, BLOCKS), [("year", "half"), ("year", "recent")]))
 
 
 def synthetic_panel(spark, sf_dir):
@@ -257,8 +270,9 @@ def release_check_count(spark, sf_dir):
 
 def origin_lookup(spark, sf_dir):
     """The receipt of the origin nearest to a request outside the evaluated range."""
-    wanted = spark.range(1).select(scalars.clamp(F.lit(1000.4), CONFIG.start, CONFIG.end).alias("wanted"))
-    return rolling.receipts(_training(spark, sf_dir)).join(F.broadcast(wanted), F.col("origin") == F.col("wanted")).drop("wanted")
+    obs, config = _weeks(spark, sf_dir)
+    wanted = spark.range(1).select(scalars.clamp(F.lit(1000.4), config.start, config.end).alias("wanted"))
+    return rolling.receipts(rolling.training_rows(obs, config)).join(F.broadcast(wanted), F.col("origin") == F.col("wanted")).drop("wanted")
 
 
 def series_extent(spark, sf_dir):
@@ -306,8 +320,12 @@ def membership_check(spark, sf_dir):
 
 
 def evidence_checks(spark, sf_dir):
-    rows = bootstrap.compare(_variants(spark, sf_dir), _starts(spark, BLOCKS), [("year", "half"), ("year", "recent")], check=False)
-    rows = rows.select("reference", "block_dates", F.col("delta").alias("candidate"), F.lit(0.0).alias("control"), "delta", F.col("conditional_low").alias("low"), F.col("conditional_high").alias("high"))
+    """A comparison's recorded difference against the two scores it is of, and its bounds."""
+    daily = _variants(spark, sf_dir)
+    rows = bootstrap.compare(daily, _starts(spark, BLOCKS), [("year", "half"), ("year", "recent")])
+    seen = lambda of, name: bootstrap.observed(daily).select(F.col("variant").alias(of), F.col("observed").alias(name))
+    rows = rows.join(seen("variant", "candidate"), "variant").join(seen("reference", "control"), "reference")
+    rows = rows.select("reference", "block_dates", "candidate", "control", "delta", F.col("conditional_low").alias("low"), F.col("conditional_high").alias("high"))
     return evidence.comparison_checks(rows, ["reference", "block_dates"])
 
 
@@ -334,12 +352,12 @@ def html_asset_refs(spark, sf_dir):
 
 def synthetic_forecast(spark, sf_dir):
     """The default workload on generated series: 140 fits, 840 forecasts of three models."""
-    return _rounded(rolling.evaluated(synthetic.observations(spark), rolling.RollingConfig(), 240), 9)
+    return _rounded(rolling.evaluated(synthetic.observations(spark), CONFIG, 240))
 
 
 def synthetic_scores(spark, sf_dir):
-    rows = rolling.forecasts(synthetic.observations(spark), rolling.RollingConfig())
-    return _rounded(rolling.scores(rolling.by_model(rows), ["model"]), 9)
+    rows = rolling.forecasts(synthetic.observations(spark), CONFIG)
+    return _rounded(rolling.scores(rolling.by_model(rows), ["model"]))
 
 
 def label_stream_replay(spark, sf_dir):
@@ -366,7 +384,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         label_valid_rows, label_violation_rows, label_duplicate_keys, snapshot_available, snapshot_counts_mean, snapshots_all_days, guarded_read,
         eligibility_ledger, boundary_topk, eligible_ratio, sentinel_nullif, sentinel_rank_corr, sentinel_errors, alignment_check, average_rank,
-        corr_ratio_score, evaluate_summary, horizon_metrics, trailing_features, forward_target, training_rows_range_join, fit_feature_stats,
+        corr_ratio_score, evaluate_summary, checked_evaluation, horizon_metrics, trailing_features, forward_target, training_rows_range_join, fit_feature_stats,
         fit_gram_moments, fit_receipts, baseline_mean_forecast, ridge_single_feature, ridge_forecast, model_scores, error_slices, slice_reconciliation,
         bootstrap_indices, bootstrap_draws, paired_interval, compare_variants, synthetic_panel, synthetic_panel_document, synthetic_forecast, synthetic_scores,
         outcome_histogram, membership_check, evidence_checks, replay_diff, row_fingerprint, text_pattern_scan, html_asset_refs, label_stream_replay,
