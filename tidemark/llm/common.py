@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,25 @@ def shared_path(spark: SparkSession, label: str) -> str:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    for paths in _collecting:
+        paths.append(path)
     return path
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """Collects the paths that are given out meanwhile, for a caller who knows when to remove what is there."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.remove(paths)
+
+
 def written(df: DataFrame, label: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: a lineage cut that outlives executors."""
     path = path or shared_path(df.sparkSession, label)
