@@ -1,11 +1,14 @@
+import html
 import json
 import time
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators import evidence, provenance, rolling, scan
+from tidemark.functions import scalars
+from tidemark.operators import evidence, provenance, review, rolling, scan
 from tidemark.sources import files
 from tidemark.sources.journal import Journal, spark_progress
 from tidemark.validate import ValidationError, require_equal_rows
@@ -144,14 +147,67 @@ def test_patterns(spark, text, flag):
 
 
 def test_references(spark):
-    html = '<a href="/x#top"></a><img src="https://host/y"><style>a{background:url(z.png)}</style>'
-    rows = spark.createDataFrame([(1, html)], "id int, html string")
+    markup = '<a href="/x#top"></a><img src="https://host/y"><style>a{background:url(z.png)}</style>'
+    rows = spark.createDataFrame([(1, markup)], "id int, html string")
     got = {(r.kind, r.host, r.path, r.fragment, r.local) for r in scan.reference_parts(scan.references(rows, "id", "html")).collect()}
     assert got == {("attribute", "", "/x", "top", True), ("attribute", "host", "/y", "", False), ("style", "", "z.png", "", True)}
     svg = spark.createDataFrame([(1, "<svg><script>x</script></svg>"), (2, '<svg><use href="//h/x"/></svg>'), (3, '<svg><use href="#a"/></svg>')], "id int, svg string")
     assert {(r.id, r.reason) for r in scan.svg_violations(svg, "id", "svg").collect()} == {(1, "script"), (2, "remote reference")}
 
 
+def test_attributes(spark):
+    markup = """<A HREF="/x?a=1&amp;b=2" data-k='q"r' disabled><img/src=y.png ><br/><p class = big id></p>text < b > <>"""
+    rows = spark.createDataFrame([(1, markup), (2, None), (3, "")], "id int, html string")
+    got = {(r.id, r.tag, r.attribute, r.value) for r in scan.attributes(rows, "id", "html").collect()}
+    assert got == {(1, "a", "href", "/x?a=1&b=2"), (1, "a", "data-k", 'q"r'), (1, "a", "disabled", None), (1, "img", "src", "y.png"), (1, "p", "class", "big"), (1, "p", "id", None)}
+    long = spark.createDataFrame([(1, "<a " + "x" * 200_000), (2, "<a b='" + "<a b='" * 30_000)], "id int, html string")
+    assert scan.attributes(long, "id", "html").count() < 10
+
+
+def test_quoting(spark):
+    texts = ["a b/ü~*é+-_.!", "100%", "%zz", "", None, "<&>\"'", "%41+%42"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", scalars.url_quote(F.col("t")).alias("q"), scalars.url_unquote(scalars.url_quote(F.col("t"))).alias("b"), scalars.url_unquote(F.col("t")).alias("u"), scalars.html_escape(F.col("t")).alias("e"), scalars.html_unescape(scalars.html_escape(F.col("t"))).alias("h")
+    )
+    for r in rows.collect():
+        assert r.b == r.t and r.h == r.t
+        if r.t is not None:
+            assert r.q == urllib.parse.quote(r.t, safe="/") and r.e == html.escape(r.t)
+    assert {r.t: r.u for r in rows.collect()}["%41+%42"] == "A+B" and {r.t: r.u for r in rows.collect()}["%zz"] == "%zz"
+    filled = spark.range(1).select(scalars.with_placeholders(F.array(F.lit("--out={folder}"), F.lit("x")), {"folder": F.lit("/o")}).alias("a")).first().a
+    assert filled == ["--out=/o", "x"]
+
+
+def test_review(spark):
+    commands = spark.createDataFrame([(0, "check-data", "python", "a.py", ["x"]), (1, "demo", "node", "b.mjs", None)], review.COMMAND)
+    cards = spark.createDataFrame([("Data science", "a.py", "t.py", "e.md")], review.CARD)
+    paths = spark.createDataFrame([("a.py",), ("b.mjs",), ("t.py",), ("e.md",)], "path string")
+    checked = lambda c, k, p: {(r.part, r.name, r.reason) for r in review.project_violations(c, k, p, ["python", "node"], ["Data science"]).collect()}
+    assert checked(commands, cards, paths) == set()
+    assert checked(commands.limit(0), cards, paths) == {("command", None, "empty")}
+    broken = spark.createDataFrame([(0, "A", "python", "a.py", []), (1, "demo", "perl", "b.mjs", []), (2, "demo", "node", "../x", [None])], review.COMMAND)
+    assert checked(broken, spark.createDataFrame([("?", "a.py", "t.py", None)], review.CARD), paths) >= {("command", "A", "unsafe id"), ("command", "demo", "unsupported runtime"), ("command", "demo", "invalid argument"), ("command", "demo", "repeated"), ("command", "../x", "no such file"), ("card", "?", "unknown audience")}
+    good = [(0, "check-data", "a.py", ["x"], "check-data.log", "passed", 0), (1, "demo", "b.mjs", [], "demo.log", "passed", 0)]
+    covered = lambda rows: {(r.place, r.reason) for r in review.coverage_violations(commands, spark.createDataFrame(rows, review.CHECK)).collect()}
+    assert covered(good) == set()
+    assert covered(good[:1]) == {(1, "not run")} and covered([*good, (2, "more", "c", [], "more.log", "passed", 0)]) == {(2, "not configured")}
+    assert covered([good[0], (1, "demo", "b.mjs", ["y"], "demo.log", "passed", 0)]) == {(1, "another call")}
+    assert covered([good[0], (1, "demo", "b.mjs", [], "demo.log", "passed", 1)]) == {(1, "not passed")}
+    manifest = spark.createDataFrame([("receipt.json", "1"), ("check-data.log", "2"), ("demo.log", "3")], "path string, sha256 string")
+    checks = spark.createDataFrame(good, review.CHECK)
+    assert review.bundle_violations(manifest, manifest, checks).isEmpty()
+    other = manifest.where("path <> 'demo.log'")
+    assert {(r.path, r.reason) for r in review.bundle_violations(other, manifest, checks).collect()} == {("demo.log", "unexpected"), ("demo.log", "not in the manifest")}
+    assert review.source_paths(commands, cards, paths).count() == 4
+
+
+def test_required_assets(spark, tmp_path):
+    (tmp_path / "index.html").write_text("x")
+    found = files.binary_files(spark, str(tmp_path))
+    assert files.asset_violations(found, ("index.html",)).isEmpty()
+    assert [(r.path, r.reason) for r in files.asset_violations(found, ("index.html", "app.js")).collect()] == [("app.js", "required")]
+
+
 def test_journal(spark, tmp_path):
     at = tmp_path / "journal"
     with Journal(at, beat=0.05, progress=spark_progress(spark)) as journal:

@@ -78,3 +78,40 @@ def one_hot(position: Column, k: int) -> Column:
 
 def letter(index: Column) -> Column:
     return F.char(index + 65)
+
+
+def url_quote(text: Column) -> Column:
+    """Percent-encoded UTF-8 of all but letters, digits, ``_.-~`` and ``/``."""
+    form = F.url_encode(text)  # the form encoding differs in these four
+    for was, now in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        form = F.replace(form, F.lit(was), F.lit(now))
+    return form
+
+
+def url_unquote(text: Column) -> Column:
+    """Percent-encodings undone; a text with malformed ones stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def html_escape(text: Column) -> Column:
+    for was, now in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(was), F.lit(now))
+    return text
+
+
+def html_unescape(text: Column) -> Column:
+    """The escapes of ``html_escape`` undone, also the decimal form of the apostrophe's."""
+    for was, now in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(was), F.lit(now))
+    return text
+
+
+def with_placeholders(arguments: Column, values: dict[str, Column]) -> Column:
+    """An array of texts in which each ``{name}`` is replaced by the name's value."""
+
+    def filled(text: Column) -> Column:
+        for name, value in values.items():
+            text = F.replace(text, F.lit("{" + name + "}"), value)
+        return text
+
+    return F.transform(arguments, filled)

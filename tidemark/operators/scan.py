@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import html_unescape, url_unquote
+
 #: Credentials, operational locators, runtime network access, imports and style references.
 CREDENTIAL = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"
 LOCATOR = r"(?i)s3://|arn:aws(?:-[a-z]+)?:|/(?:home|workspace|mnt)/"
@@ -15,27 +19,57 @@ STYLE_URL = r"""(?i)url\(\s*["']?([^\s)"']+)["']?\s*\)"""
 ASSIGNMENT = r"""(?i)(?:password|secret|token|key)\s*[:=]\s*["'][^"']{8,}["']"""
 
 
+#: A tag with its attributes, and an attribute; possessive, so that no text makes them go back.
+TAG = r"""<[A-Za-z][A-Za-z0-9:-]*+(?:[\s/]++(?:[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+)?+)*+>"""
+ATTRIBUTE = r"""[\s/]([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+"""
+#: Texts without any of these can't match the pattern: a plain search is much faster.
+_MARKS = {
+    CREDENTIAL: (False, ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "PRIVATE KEY-----"]),
+    LOCATOR: (True, ["s3://", "arn:aws", "/home/", "/workspace/", "/mnt/"]),
+    NETWORK: (False, ["fetch", "XMLHttpRequest", "WebSocket", "EventSource", "importScripts", "sendBeacon", "import"]),
+    ASSIGNMENT: (True, ["password", "secret", "token", "key"]),
+}
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    any_case, marks = _MARKS[pattern]
+    searched = F.lower(text) if any_case else text
+    return reduce(lambda a, b: a | b, (F.contains(searched, F.lit(m)) for m in marks)) & text.rlike(pattern)
+
+
 def pattern_flags(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, credential, locator, network, assignment) of the texts that match any."""
     flags = {"credential": CREDENTIAL, "locator": LOCATOR, "network": NETWORK, "assignment": ASSIGNMENT}
-    found = rows.select(key, *(F.col(text).rlike(p).alias(n) for n, p in flags.items()))
-    return found.where(" or ".join(flags))
+    return rows.select(key, *(_matches(F.col(text), p).alias(n) for n, p in flags.items())).where(" or ".join(flags))
+
+
+def attributes(rows: DataFrame, key: str, markup: str) -> DataFrame:
+    """(key, tag, attribute, value) of all tags, a row for each attribute, names in lower case, values unescaped; null for an attribute without one."""
+    tags = rows.select(key, F.explode(F.regexp_extract_all(markup, F.lit(TAG), F.lit(0))).alias("tag"))
+    each = tags.select(key, F.lower(F.regexp_extract("tag", r"^<([^\s/>]+)", 1)).alias("tag"), F.explode(F.regexp_extract_all("tag", F.lit(ATTRIBUTE), F.lit(0))).alias("a"))
+    name, value = F.regexp_extract("a", ATTRIBUTE, 1), F.regexp_extract("a", ATTRIBUTE, 2)
+    bare = F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return each.select(key, "tag", F.lower(name).alias("attribute"), F.when(F.contains("a", F.lit("=")), html_unescape(bare)).alias("value"))
 
 
 def references(rows: DataFrame, key: str, markup: str) -> DataFrame:
-    """(key, kind, reference): href and src attributes, style urls and imports, in a row each."""
-    pick = lambda kind, pattern: rows.select(key, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))).alias("reference"))
+    """(key, kind, reference): href and src attributes, style urls and imports, in a row each, from one scan."""
     attribute = r"""(?i)\s(?:href|src)\s*=\s*["']([^"']*)["']"""
-    return pick("attribute", attribute).unionAll(pick("style", STYLE_URL)).unionAll(pick("import", IMPORT))
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(markup, F.lit(pattern), F.lit(1)), lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("reference")))
+
+    every = F.concat(found("attribute", attribute), found("style", STYLE_URL), found("import", IMPORT))
+    return rows.select(key, F.explode(every).alias("r")).select(key, "r.kind", "r.reference")
 
 
 def reference_parts(references: DataFrame) -> DataFrame:
-    """References with scheme, host, path and fragment, and whether they stay on their own site."""
+    """References with scheme, host, path (also decoded) and fragment, and whether they stay on their own site."""
     ref = F.col("reference")
     scheme = F.regexp_extract(ref, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     host = F.regexp_extract(ref, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
     path = F.regexp_extract(F.regexp_replace(ref, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?", ""), r"^[^?#]*", 0)
-    return references.select("*", scheme.alias("scheme"), host.alias("host"), path.alias("path"), F.regexp_extract(ref, r"#(.*)$", 1).alias("fragment"), ((scheme == "") & (host == "")).alias("local"))
+    return references.select("*", scheme.alias("scheme"), host.alias("host"), path.alias("path"), url_unquote(path).alias("decoded_path"), F.regexp_extract(ref, r"#(.*)$", 1).alias("fragment"), ((scheme == "") & (host == "")).alias("local"))
 
 
 def svg_violations(rows: DataFrame, key: str, markup: str) -> DataFrame:

@@ -123,6 +123,9 @@ parts AS (SELECT *, regexp_extract(reference, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)
   regexp_extract(regexp_replace(reference, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?', ''), '^[^?#]*') AS path, regexp_extract(reference, '#(.*)$', 1) AS fragment FROM refs)"""
 
 
+COMMANDS = "commands AS (SELECT n_nationkey::INT AS place, lower(replace(n_name, ' ', '-')) AS id, 'run/' || n_regionkey || '.py' AS entry FROM nation)"
+
+
 def _synthetic(scenario: str) -> str:
     """The generated panel of 240 days: one stream of numbers over six series in turn."""
     noise, shift = {"steady": (0.22, "0"), "shift": (0.22, "CASE WHEN t >= 150 THEN CASE WHEN j % 2 = 0 THEN 0.22 ELSE -0.18 END ELSE 0 END"), "noisy": (0.7, "0")}[scenario]
@@ -204,7 +207,20 @@ def oracle_sql() -> dict[str, str]:
         "text_pattern_scan": r"""WITH f AS (SELECT doc_id, regexp_matches(text, '(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') AS credential,
             regexp_matches(text, '(?i)s3://|arn:aws(?:-[a-z]+)?:|/(?:home|workspace|mnt)/') AS locator, regexp_matches(text, '\b(?:fetch|XMLHttpRequest|WebSocket|EventSource|importScripts)\s*\(|\bsendBeacon\s*\(|\bimport\s*\(') AS network,
             regexp_matches(text, '(?i)(?:password|secret|token|key)\s*[:=]\s*["''][^"'']{8,}["'']') AS assignment FROM documents) SELECT * FROM f WHERE credential OR locator OR network OR assignment""",
-        "html_asset_refs": f"WITH {REFS} SELECT page_id, kind, reference, scheme, host, path, fragment, scheme = '' AND host = '' AS local, count(*) AS n FROM parts GROUP BY ALL",
+        "html_asset_refs": f"WITH {REFS} SELECT page_id, kind, reference, scheme, host, path, url_decode(path) AS decoded_path, fragment, scheme = '' AND host = '' AS local, count(*) AS n FROM parts GROUP BY ALL",
+        "html_attributes": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[A-Za-z][A-Za-z0-9:-]*(?:[\s/]+(?:[^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+))?)?)*>')) AS tag FROM pages),
+            a AS (SELECT page_id, lower(regexp_extract(tag, '^<([^\s/>]+)', 1)) AS tag, unnest(regexp_extract_all(tag, '[\s/][^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+))?')) AS a FROM t),
+            s AS (SELECT page_id, tag, lower(regexp_extract(a, '[\s/]([^\s"''<>/=]+)', 1)) AS attribute, CASE WHEN contains(a, '=') THEN regexp_replace(regexp_extract(a, '(?s)=\s*(.*)$', 1), '(?s)^["''](.*)["'']$', '\1') END AS raw FROM a)
+            SELECT page_id, tag, attribute, replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&') AS value, count(*) AS n FROM s GROUP BY ALL""",
+        "quoted_urls": """SELECT page_id, replace(url_encode(url), '%2F', '/') AS quoted, url AS back, replace(replace(replace(replace(replace('<a title=' || chr(39) || url || chr(39) || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped FROM pages WHERE url IS NOT NULL""",
+        "review_coverage": f"""WITH {COMMANDS}, k AS (SELECT CASE WHEN place = 4 THEN 99 ELSE place END AS place, id, place % 7 = 6 AS other, place % 11 = 5 AS failed FROM commands WHERE place <> 3)
+            SELECT place, coalesce(c.id, k.id) AS id, CASE WHEN k.id IS NULL THEN 'not run' WHEN c.id IS NULL THEN 'not configured' WHEN other THEN 'another call' WHEN failed THEN 'not passed' END AS reason FROM commands c FULL JOIN k USING (place) WHERE k.id IS NULL OR c.id IS NULL OR other OR failed""",
+        "review_project": f"""WITH {COMMANDS}, p AS (SELECT place, CASE WHEN place % 9 = 2 THEN upper(id) WHEN place = 8 THEN 'kenya' ELSE id END AS id, CASE WHEN place % 10 = 7 THEN 'perl' ELSE 'python' END AS runtime, entry FROM commands),
+            linked AS (SELECT DISTINCT 'command' AS part, entry AS name FROM p UNION SELECT DISTINCT 'card', unnest(['run/0.py', 'run/1.py', 'run/' || r_regionkey || '.py']) FROM region)
+            SELECT 'command' AS part, id AS name, CASE WHEN NOT regexp_full_match(id, '[a-z][a-z0-9-]*') THEN 'unsafe id' ELSE 'unsupported runtime' END AS reason FROM p WHERE NOT regexp_full_match(id, '[a-z][a-z0-9-]*') OR runtime = 'perl'
+            UNION ALL SELECT 'command', id, 'repeated' FROM p GROUP BY id HAVING count(*) > 1
+            UNION ALL SELECT 'card', r_name, 'unknown audience' FROM region WHERE r_name NOT IN ('AFRICA', 'AMERICA', 'ASIA')
+            UNION ALL SELECT part, name, 'no such file' FROM linked WHERE name NOT IN ('run/0.py', 'run/1.py', 'run/2.py')""",
         "label_stream_replay": f"WITH {EVENTS} SELECT released_day, count(*) AS n, round(sum(value), 6) AS total FROM labels_ GROUP BY released_day",
         "available_keys": f"WITH {EVENTS} SELECT string_agg(instrument || ':' || observed_day, ',' ORDER BY released_day, instrument, observed_day) AS key_list FROM labels_ WHERE released_day <= 15",
         "release_check_count": f"WITH {SEGMENT}, r AS (SELECT origin, max(released_day) AS m FROM training GROUP BY origin) SELECT count(*) FILTER (m <= origin) AS in_time, count(*) AS fits FROM r",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import availability, bootstrap, diagnostics, evidence, features, metrics, provenance, rolling, scan
+from ..operators import availability, bootstrap, diagnostics, evidence, features, metrics, provenance, review, rolling, scan
 from ..sources import panels, synthetic
 from ..validate import alignment_violations, duplicate_keys, label_violations, missing_from, outside, panel_violations
 
@@ -347,7 +347,51 @@ def text_pattern_scan(spark, sf_dir):
 
 def html_asset_refs(spark, sf_dir):
     found = scan.reference_parts(scan.references(panels.table(spark, sf_dir, "pages"), "page_id", "html"))
-    return found.groupBy("page_id", "kind", "reference", "scheme", "host", "path", "fragment", "local").agg(F.count("*").alias("n"))
+    return found.groupBy("page_id", "kind", "reference", "scheme", "host", "path", "decoded_path", "fragment", "local").agg(F.count("*").alias("n"))
+
+
+def html_attributes(spark, sf_dir):
+    found = scan.attributes(panels.table(spark, sf_dir, "pages"), "page_id", "html")
+    return found.groupBy("page_id", "tag", "attribute", "value").agg(F.count("*").alias("n"))
+
+
+def quoted_urls(spark, sf_dir):
+    """URLs percent-encoded and back, and inside the text of a link."""
+    pages = panels.table(spark, sf_dir, "pages").where("url is not null")
+    quoted = scalars.url_quote(F.col("url"))
+    return pages.select("page_id", quoted.alias("quoted"), scalars.url_unquote(quoted).alias("back"), scalars.html_escape(F.concat(F.lit("<a title='"), "url", F.lit("'>"))).alias("escaped"))
+
+
+def _commands(spark, sf_dir):
+    """Nations as the commands of a review, their names as ids."""
+    n = panels.table(spark, sf_dir, "nation")
+    args = scalars.with_placeholders(F.array(F.lit("--out={folder}/{id}")), {"folder": F.lit("/out"), "id": F.col("n_name")})
+    entry = F.concat(F.lit("run/"), F.col("n_regionkey").cast("string"), F.lit(".py"))
+    return n.select(F.col("n_nationkey").cast("int").alias("place"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))).alias("id"), F.lit("python").alias("runtime"), entry.alias("entry"), args.alias("args"))
+
+
+def review_coverage(spark, sf_dir):
+    """Receipts of all commands but one, of another one besides, and with some calls changed or failed."""
+    place, ran = F.col("place"), _commands(spark, sf_dir).where("place <> 3")
+    checks = ran.select(
+        F.when(place == 4, 99).otherwise(place).alias("place"),
+        "id",
+        "entry",
+        F.when(place % 7 == 6, F.array(F.lit("other"))).otherwise(F.col("args")).alias("args"),
+        F.concat("id", F.lit(".log")).alias("log"),
+        F.when(place % 11 == 5, "failed").otherwise("passed").alias("status"),
+        F.lit(0).alias("returncode"),
+    )
+    return review.coverage_violations(_commands(spark, sf_dir), checks)
+
+
+def review_project(spark, sf_dir):
+    """The same commands, some malformed, with regions as cards, against the files of three entries."""
+    place = F.col("place")
+    commands = _commands(spark, sf_dir).select("place", F.when(place % 9 == 2, F.upper("id")).when(place == 8, F.lit("kenya")).otherwise(F.col("id")).alias("id"), F.when(place % 10 == 7, "perl").otherwise("python").alias("runtime"), "entry", "args")
+    cards = panels.table(spark, sf_dir, "region").select(F.col("r_name").alias("audience"), F.lit("run/0.py").alias("implementation"), F.lit("run/1.py").alias("tests"), F.concat(F.lit("run/"), F.col("r_regionkey").cast("string"), F.lit(".py")).alias("evidence"))
+    files = spark.createDataFrame([("run/0.py",), ("run/1.py",), ("run/2.py",)], "path string")
+    return review.project_violations(commands, cards, files, ["python", "node"], ["AFRICA", "AMERICA", "ASIA"])
 
 
 def synthetic_forecast(spark, sf_dir):
@@ -387,7 +431,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         corr_ratio_score, evaluate_summary, checked_evaluation, horizon_metrics, trailing_features, forward_target, training_rows_range_join, fit_feature_stats,
         fit_gram_moments, fit_receipts, baseline_mean_forecast, ridge_single_feature, ridge_forecast, model_scores, error_slices, slice_reconciliation,
         bootstrap_indices, bootstrap_draws, paired_interval, compare_variants, synthetic_panel, synthetic_panel_document, synthetic_forecast, synthetic_scores,
-        outcome_histogram, membership_check, evidence_checks, replay_diff, row_fingerprint, text_pattern_scan, html_asset_refs, label_stream_replay,
+        outcome_histogram, membership_check, evidence_checks, replay_diff, row_fingerprint, text_pattern_scan, html_asset_refs, html_attributes, quoted_urls, review_coverage, review_project, label_stream_replay,
         available_keys, release_check_count, origin_lookup, series_extent, fold_offsets, manifest_diff, markup_totals, export_document,
     ]
     return {"daily_rank_corr": flagship} | {f.__name__: f for f in found}
