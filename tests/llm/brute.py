@@ -166,3 +166,53 @@ def lines_removed(rows: list[tuple], min_sites: int, min_words: int) -> list[str
         left = "\n".join(x for x in (text or "").split("\n") if x.strip(white) not in shared)
         out.append(left if WORD.search(left) else text)
     return out
+
+
+def fingerprint_filters(text: str | None) -> list[tuple[int, set[int]]]:
+    """The chain of filters of a text, each as its number of features and its set bits, by definition and byte by byte."""
+    raw = (text or "").encode()
+    mask = (1 << 64) - 1
+
+    def rank(window: bytes) -> int | None:
+        counts = collections.Counter(window)
+        used = sum(round(c * math.log2(c) * (1 << 20)) for c in counts.values()) / (32 * float(1 << 20))
+        level = round((5 - used) / 5 * 1000)  # thousandths of the greatest entropy
+        return None if level < 120 else 1000 - abs(level - 710)
+
+    def mix(h: int) -> int:
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    def bits(feature: bytes) -> set[int]:
+        h, padded = len(feature), feature.ljust(32, b"\0")
+        for i in range(0, 32, 8):
+            h = mix(((h + 0x9E3779B97F4A7C15) & mask) ^ int.from_bytes(padded[i : i + 8], "little"))
+        return {h >> 11 * i & 2047 for i in range(5)}
+
+    ranks = [rank(raw[i : i + 32]) for i in range(len(raw) - 31)]
+    order = lambda i: (ranks[i] is None, ranks[i] or 0, i)
+    votes = collections.Counter(min(range(i, i + 32), key=order) for i in range(len(ranks) - 31))
+    chosen = {i for i, v in votes.items() if v >= 8 and ranks[i] is not None}
+    if ranks:
+        chosen.add(min(range(len(ranks)), key=order))
+    features = [raw[i : i + 32] for i in sorted(chosen)] if ranks else [raw] if raw else []
+    return [(len(part), set().union(*map(bits, part))) for part in (features[i : i + 160] for i in range(0, len(features), 160))]
+
+
+def likeness(a: list[tuple[int, set[int]]], b: list[tuple[int, set[int]]]) -> float:
+    """Each filter of the shorter chain with its best partner: bits in common beyond chance, of the most there could be."""
+    if not a or not b:
+        return float(len(a) == len(b))
+    if (len(a), sum(n for n, _ in a)) > (len(b), sum(n for n, _ in b)) and (len(a) > len(b) or len(a) == len(b)):
+        a, b = b, a
+    if [f for _, f in a] == [f for _, f in b]:
+        return 1.0
+    total = 0.0
+    for n, f in a:
+        best = 0.0
+        for _, g in b:
+            chance = len(f) * len(g) / 2048
+            best = max(best, (len(f & g) - chance) / max(min(len(f), len(g)) - chance, 1))
+        total += n * min(1.0, best)
+    return total / sum(n for n, _ in a)

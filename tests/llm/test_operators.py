@@ -283,9 +283,22 @@ def test_lines_of_a_very_long_text(spark):
 def test_odd_rows_everywhere(spark, odd_docs, no_docs, labels):
     texts = odd_docs.select("doc_id", "text").collect()
     n = len(texts)
-    assert bpe.digests(bpe.encode(odd_docs, ["doc_id"]), ["doc_id"]).count() == n
+    import hashlib
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.VOCABULARY), special_tokens={})
+    encoded = sorted(((r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe.digests(bpe.encode(odd_docs, ["doc_id"]), ["doc_id"]).collect()), key=str)
+    assert encoded == sorted(((r.doc_id, len(library.encode_ordinary(r.text or "")), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in texts), key=str)
+    # In the order of ids, null first, and of texts among equal ids; rows of an id repeat its next text.
     prints = fingerprint.fingerprint_and_edit(odd_docs).collect()
-    assert len(prints) == n
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in texts))
+    want = []
+    for i, (known, d, t) in enumerate(rows):
+        after = rows[(i + 1) % n][2]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((d if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in prints), key=str) == sorted(want, key=str)
+    blank = {r.doc_id: r for r in prints}
+    assert blank[0].fingerprint == blank[1].fingerprint == "sd1::" and blank[0].near_edited == 1.0 and blank[1].near_next == 0.0
     assert fingerprint.fingerprint(odd_docs, ["doc_id"]).count() == n
     pieces = packing.pack(odd_docs, with_ids=True)
     assert pieces.where("offset = 0").count() == pieces.select("sequence_id").distinct().count()

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tests.llm import brute
 from tests.test_oracle import TABLES, rows
-from tidemark.llm import bpe, oracle, packing, queries
+from tidemark.llm import bpe, fingerprint, oracle, packing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,6 +65,26 @@ def test_fingerprints_tell_edits_from_neighbours(spark, docs):
         assert same.setdefault(t, got[d].fingerprint) == got[d].fingerprint
 
 
+def test_fingerprints_by_definition(spark, docs):
+    """Votes, Bloom chains and likeness against plain Python, for all documents up to 15,000 characters."""
+    got = by_id(spark, "op3_fingerprint")
+    texts = list(docs.values())
+    checked = 0
+    for (d, t), after in zip(docs.items(), texts[1:] + texts[:1], strict=True):
+        if len(t) > 15_000 or len(after) > 15_000:
+            continue
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, changed, following = map(brute.fingerprint_filters, (t, edited, after))
+        for printed, chain in ((got[d].fingerprint, own), (got[d].edited_fingerprint, changed)):
+            filters, counts = fingerprint.parsed(printed)
+            assert counts.tolist() == [n for n, _ in chain]
+            assert [set(np.flatnonzero(np.unpackbits(f)).tolist()) for f in filters] == [f for _, f in chain]
+        assert got[d].near_edited == pytest.approx(brute.likeness(own, changed), abs=1e-12)
+        assert got[d].near_next == pytest.approx(brute.likeness(own, following), abs=1e-12)
+        checked += 1
+    assert checked > 0.8 * len(docs)
+
+
 def test_packing(spark, docs):
     library = Tokenizer.from_file(packing.VOCABULARY)
     pieces = queries.queries()["op4_packing"](spark, SF).toPandas()
