@@ -71,3 +71,20 @@ def test_demonstration(spark):
     shown = A.demonstration(authored_labels(spark), 5, "metal_alpha", 2)
     assert (shown["available"], shown["unreleased"], shown["mean_value"]) == (2, 2, 0.05)
     assert shown["keys"] == [["metal_alpha", 1], ["metal_beta", 1]] and "day 6" in shown["rejected"]
+
+
+def test_guarded_targets_fail_early_and_on_strangers(spark):
+    targets = spark.createDataFrame([("A", 40, 1.5), ("A", 41, 2.0)], "series_id string, t int, y double")
+    wanted = lambda *rows: spark.createDataFrame(list(rows), "series_id string, origin int, as_of int")
+    assert A.guarded_targets(targets, wanted(("A", 40, 48)), 5, 3).first().target == 1.5
+    for row, why in ((("A", 40, 47), "released on day 48"), (("B", 40, 99), "no such series"), (("A", 42, 99), "no such series")):
+        with pytest.raises(Exception, match=why):
+            A.guarded_targets(targets, wanted(row), 5, 3).collect()
+
+
+def test_key_places_follow_the_snapshot(spark):
+    rows = [(f"i{k % 7}", k, 3 + k % 5, 1.0) for k in range(1, 60)]
+    labels = spark.createDataFrame(rows, "instrument string, observed_day long, released_day long, value double").repartition(5)
+    got = [(r.instrument, r.observed_day) for r in A.available_keys(labels, 6).orderBy("place").collect()]
+    assert got == [(i, o) for i, o, *_ in sorted((r for r in rows if r[2] <= 6), key=lambda r: (r[2], r[0], r[1]))]
+    assert [r.place for r in A.available_keys(labels, 6).orderBy("place").collect()] == list(range(len(got)))

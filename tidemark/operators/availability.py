@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..validate import duplicate_keys, label_violations, require, whole_number
+from ..validate import ValidationError, duplicate_keys, label_violations, require, whole_number
 
 
 class UnreleasedLabelError(LookupError):
@@ -107,19 +107,47 @@ def eligible_share(ledger: DataFrame) -> DataFrame:
 
 
 def available_keys(labels: DataFrame, as_of: int) -> DataFrame:
-    """One row: the keys of the available labels in the order of the snapshot."""
-    found = available(labels, as_of).select("released_day", "instrument", "observed_day")
-    ordered = F.array_sort(F.collect_list(F.struct("released_day", "instrument", "observed_day")))
-    return found.agg(F.transform(ordered, lambda k: F.struct(k["instrument"].alias("instrument"), k["observed_day"].alias("observed_day"))).alias("keys"))
+    """(place, instrument, observed_day) of the available labels, placed from 0 in the order of the snapshot.
+
+    A place is what earlier release days hold, from a table with a row for each day, and the place within
+    the day: no sort of all labels in one task.
+    """
+    whole_number(as_of, 1, "as_of")
+    out = labels.where(F.col("released_day") <= as_of)
+    days = out.groupBy("released_day").agg(F.count("*").alias("n"))
+    before = Window.orderBy("released_day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    first = days.select(F.col("released_day").alias("day"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("released_day").orderBy("instrument", "observed_day")) - 1
+    return out.withColumn("within", within).join(first, F.col("released_day") == F.col("day")).select((F.col("first") + F.col("within")).alias("place"), "instrument", "observed_day")
+
+
+#: A demonstration shows its labels one by one; more of them fail.
+MOST_SHOWN = 10_000
 
 
 def demonstration(labels: DataFrame, as_of: int, instrument: str, observed_day: int) -> dict:
-    """What a snapshot shows: counts, mean, keys, and why one label can't be read yet."""
+    """What a snapshot of a few labels shows: counts, mean, keys, and why one label can't be read yet."""
     counted = counts(checked_labels(labels), as_of).first()
+    if counted["available"] > MOST_SHOWN:
+        raise ValidationError(f"more than {MOST_SHOWN} labels to show")
     try:
         read_label(labels, instrument, observed_day, as_of)
         reason = None
     except UnreleasedLabelError as e:
         reason = str(e)
-    keys = [[k["instrument"], k["observed_day"]] for k in available_keys(labels, as_of).first()["keys"]]
+    keys = [[k["instrument"], k["observed_day"]] for k in available_keys(labels, as_of).orderBy("place").collect()]
     return {"as_of": as_of, "available": counted["available"], "unreleased": counted["unreleased"], "mean_value": counted["mean_value"], "keys": keys, "rejected": reason}
+
+
+def guarded_targets(targets: DataFrame, wanted: DataFrame, horizon: int, delay: int) -> DataFrame:
+    """(series_id, origin, as_of, target) for each wanted (series_id, origin, as_of), as a plan.
+
+    The plan fails when it runs if a wanted series or target doesn't exist, or if the target wasn't released by its ``as_of``.
+    """
+    known = targets.select("series_id", F.col("t").alias("origin"), "y")
+    read = (
+        F.when(F.col("y").isNull(), F.raise_error(F.lit("no such series or target")).cast("double"))
+        .when(F.col("origin") + horizon + delay > F.col("as_of"), F.raise_error(F.format_string("target of %s at %s is released on day %s", "series_id", "origin", F.col("origin") + horizon + delay)).cast("double"))
+        .otherwise(F.col("y"))
+    )
+    return wanted.join(known, ["series_id", "origin"], "left").select("series_id", "origin", "as_of", read.alias("target"))

@@ -222,7 +222,12 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'card', r_name, 'unknown audience' FROM region WHERE r_name NOT IN ('AFRICA', 'AMERICA', 'ASIA')
             UNION ALL SELECT part, name, 'no such file' FROM linked WHERE name NOT IN ('run/0.py', 'run/1.py', 'run/2.py')""",
         "label_stream_replay": f"WITH {EVENTS} SELECT released_day, count(*) AS n, round(sum(value), 6) AS total FROM labels_ GROUP BY released_day",
-        "available_keys": f"WITH {EVENTS} SELECT string_agg(instrument || ':' || observed_day, ',' ORDER BY released_day, instrument, observed_day) AS key_list FROM labels_ WHERE released_day <= 15",
+        "available_keys": f"WITH {EVENTS} SELECT (row_number() OVER (ORDER BY released_day, instrument, observed_day) - 1)::BIGINT AS place, instrument, observed_day FROM labels_ WHERE released_day <= 15",
+        "guarded_targets": f"WITH {SEGMENT} SELECT series_id, t AS origin, t + 8 AS as_of, round(y, 10) AS target FROM targets WHERE t % 3 = 0",
+        "export_lines": f"""{_synthetic('steady')}, {ROLLING}, {RIDGE}
+            SELECT '0-head' AS part, '' AS series_id, 0 AS place, 'SYNTHETIC_ONLY' AS scope, 5.0::DOUBLE AS horizon, 3.0::DOUBLE AS delay, 'ridge' AS model, 120.0::DOUBLE AS forecast_origin, NULL::DOUBLE AS value, NULL::DOUBLE AS actual, NULL::DOUBLE AS ridge, NULL::DOUBLE AS mean, NULL::DOUBLE AS target_end, NULL::DOUBLE AS released_day
+            UNION ALL SELECT '1-observation', series_id, t, NULL, NULL, NULL, NULL, NULL, round(value, 6), NULL, NULL, NULL, NULL, NULL FROM obs
+            UNION ALL SELECT '2-forecast', series_id, origin, NULL, NULL, NULL, NULL, NULL, NULL, round(actual, 6), round(ridge, 6), round(mean, 6), target_end::DOUBLE, released_day::DOUBLE FROM forecasts WHERE origin <= 219""",
         "release_check_count": f"WITH {SEGMENT}, r AS (SELECT origin, max(released_day) AS m FROM training GROUP BY origin) SELECT count(*) FILTER (m <= origin) AS in_time, count(*) AS fits FROM r",
         "origin_lookup": f"WITH {SEGMENT} SELECT origin, count(*) AS n_rows, min(t) AS first_origin, max(t) AS last_origin, max(released_day) AS max_release, count(DISTINCT t) AS eligible_origins FROM training WHERE origin = (SELECT max(origin) FROM origins) GROUP BY origin",
         "series_extent": f"WITH {SEGMENT} SELECT series_id, min(t) AS first_t, max(t) AS last_t, round(min(value), 10) AS low, round(max(value), 10) AS high FROM obs GROUP BY series_id",

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import availability, bootstrap, diagnostics, evidence, features, metrics, provenance, review, rolling, scan
+from ..schemas import LABEL
+from ..session import shared_path
 from ..sources import panels, synthetic
+from ..streaming import labels as streams
 from ..validate import alignment_violations, duplicate_keys, label_violations, missing_from, outside, panel_violations
 
 AS_OF = 15
@@ -81,8 +84,15 @@ def guarded_read(spark, sf_dir):
 
 
 def available_keys(spark, sf_dir):
-    keys = availability.available_keys(panels.event_labels(spark, sf_dir), AS_OF)
-    return keys.select(F.array_join(F.transform("keys", lambda k: F.concat_ws(":", k["instrument"], k["observed_day"].cast("string"))), ",").alias("key_list"))
+    return availability.available_keys(panels.event_labels(spark, sf_dir), AS_OF)
+
+
+def guarded_targets(spark, sf_dir):
+    """Every released target of each series, read on the day of its release."""
+    obs, config = _weeks(spark, sf_dir)
+    targets = features.with_targets(obs, config.horizon)
+    wanted = targets.where(F.col("t") % 3 == 0).select("series_id", F.col("t").alias("origin"), (F.col("t") + config.horizon + config.delay).alias("as_of"))
+    return _rounded(availability.guarded_targets(targets, wanted, config.horizon, config.delay), EXACT)
 
 
 def _ledger(spark, sf_dir):
@@ -299,10 +309,13 @@ def markup_totals(spark, sf_dir):
     return pages.agg(F.count("*").alias("n_files"), F.sum(F.octet_length("html")).cast("long").alias("total_bytes"), F.count_distinct("page_id").alias("n_distinct"))
 
 
-def export_document(spark, sf_dir):
+def export_lines(spark, sf_dir):
+    """The synthetic result as JSON lines, parsed again."""
     obs = synthetic.observations(spark)
-    rows = rolling.forecasts(obs, CONFIG)
-    return provenance.export_document(obs, rows, {"horizon": CONFIG.horizon, "delay": CONFIG.delay}, {"series_id": "A", "model": "ridge", "forecast_origin": 120})
+    lines = provenance.export_lines(obs, rolling.forecasts(obs, CONFIG), {"horizon": CONFIG.horizon, "delay": CONFIG.delay}, {"model": "ridge", "forecast_origin": 120})
+    kinds = "scope string, config struct<horizon double, delay double>, review struct<model string, forecast_origin double>, value double, actual double, ridge double, mean double, target_end double, released_day double"
+    read = lines.select("part", "series_id", "place", F.from_json("line", kinds).alias("x"))
+    return _rounded(read.select("part", "series_id", "place", "x.scope", "x.config.horizon", "x.config.delay", "x.review.model", "x.review.forecast_origin", "x.value", "x.actual", "x.ridge", "x.mean", "x.target_end", "x.released_day"))
 
 
 def outcome_histogram(spark, sf_dir):
@@ -406,19 +419,7 @@ def synthetic_scores(spark, sf_dir):
 
 def label_stream_replay(spark, sf_dir):
     """Labels replayed through a stream of micro-batches, then counted by release day."""
-    import tempfile
-
-    from ..schemas import LABEL
-    from ..streaming import labels as streams
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.gettempdir() + "/checkpoints"
-    import uuid
-
-    base = f"{shared.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     panels.event_labels(spark, sf_dir).repartition(4, "released_day").write.parquet(f"{base}/labels")
     streams.replay_to_table(streams.label_stream(spark, f"{base}/labels", LABEL), f"{base}/out", f"{base}/state")
     return _rounded(spark.read.schema(LABEL).parquet(f"{base}/out").groupBy("released_day").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
@@ -432,6 +433,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fit_gram_moments, fit_receipts, baseline_mean_forecast, ridge_single_feature, ridge_forecast, model_scores, error_slices, slice_reconciliation,
         bootstrap_indices, bootstrap_draws, paired_interval, compare_variants, synthetic_panel, synthetic_panel_document, synthetic_forecast, synthetic_scores,
         outcome_histogram, membership_check, evidence_checks, replay_diff, row_fingerprint, text_pattern_scan, html_asset_refs, html_attributes, quoted_urls, review_coverage, review_project, label_stream_replay,
-        available_keys, release_check_count, origin_lookup, series_extent, fold_offsets, manifest_diff, markup_totals, export_document,
+        available_keys, release_check_count, origin_lookup, series_extent, fold_offsets, manifest_diff, markup_totals, export_lines, guarded_targets,
     ]
     return {"daily_rank_corr": flagship} | {f.__name__: f for f in found}

@@ -10,7 +10,7 @@ LABEL = T.StructType([_f("instrument", T.StringType(), False), _f("observed_day"
 CELL = T.StructType([_f("date_id", T.LongType(), False), _f("target", T.StringType(), False), _f("target_pos", T.IntegerType(), False), _f("value", T.DoubleType(), True)])
 OBSERVATION = T.StructType([_f("series_id", T.StringType(), False), _f("series_pos", T.IntegerType(), False), _f("t", T.IntegerType(), False), _f("value", T.DoubleType(), False)])
 DAILY = T.StructType([_f("variant", T.StringType(), False), _f("pos", T.LongType(), False), _f("rho", T.DoubleType(), True)])
-SERIES = T.StructType([_f("id", T.StringType()), _f("name", T.StringType()), _f("color", T.StringType()), _f("values", T.ArrayType(T.DoubleType()))])
+SERIES = T.StructType([_f("id", T.StringType()), _f("name", T.StringType()), _f("values", T.ArrayType(T.DoubleType()))])
 PANEL = T.StructType([_f("schema", T.StringType()), _f("scope", T.StringType()), _f("seed", T.LongType()), _f("scenario", T.StringType()), _f("days", T.IntegerType()), _f("series", T.ArrayType(SERIES)), _f("description", T.StringType())])
 LEDGER = T.StructType([_f("project", T.StringType()), _f("status", T.StringType()), _f("families", T.ArrayType(T.StructType([_f("family", T.StringType()), _f("outcome", T.StringType()), _f("capability", T.StringType())])))])
 NOTEBOOK = T.StructType(

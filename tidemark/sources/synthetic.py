@@ -16,7 +16,6 @@ from ..validate import ValidationError, whole_number
 MULTIPLIER, INCREMENT, MODULUS = 1664525, 1013904223, 1 << 32
 SERIES = 6
 NAMES = ["Alloy A", "Energy B", "Grain C", "Metal D", "Fuel E", "Crop F"]
-COLORS = ["#68c8bd", "#e4be73", "#b2b5ec", "#eea78f", "#a9cc84", "#dfaccf"]
 PERSISTENCE = 0.78
 NOISE = {"steady": 0.22, "shift": 0.22, "noisy": 0.7}
 SHIFT_FROM, SHIFT_EVEN, SHIFT_ODD = 150, 0.22, -0.18
@@ -77,7 +76,6 @@ def panel(spark: SparkSession, seed: int = 2026, scenario: str = "steady", days:
         lambda s: F.struct(
             s["series_id"].alias("id"),
             F.get(F.array(*map(F.lit, NAMES)), s["series_pos"]).alias("name"),
-            F.get(F.array(*map(F.lit, COLORS)), s["series_pos"]).alias("color"),
             s["values"].alias("values"),
         ),
     )
