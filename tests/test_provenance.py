@@ -201,6 +201,23 @@ def test_review(spark):
     assert review.source_paths(commands, cards, paths).count() == 4
 
 
+def test_written_notebook_is_checked(spark, tmp_path):
+    schema = "place int, id string, cell_type string, execution_count int, source string, output_text string"
+    cells = spark.createDataFrame([(1, "b", "code", 1, "print(1)\nprint(2)", "1\n2\n"), (0, "a", "markdown", None, "# Title", None)], schema)
+    files.write_notebook(cells, tmp_path / "n.ipynb")
+    got = files.notebook_cells(spark, str(tmp_path / "n.ipynb")).orderBy("place").collect()
+    assert [(r.id, r.source, r.output_text) for r in got] == [("a", "# Title", ""), ("b", "print(1)\nprint(2)", "1\n2\n")]
+    for broken in ((0, "a", "code", None, "x", "1"), (0, "a", "code", 1, "x", None)):
+        with pytest.raises(ValidationError):
+            files.write_notebook(spark.createDataFrame([broken], schema), tmp_path / "m.ipynb")
+
+
+def test_recorded_figures(spark):
+    rows = spark.createDataFrame([("final", False, 247), ("draft", True, 3), (None, None, None)], "status string, leaked boolean, dates int").coalesce(1)
+    found = evidence.recorded_checks(rows, {"status": "final"}, ["leaked"], {"dates": 247}, ["status"]).collect()
+    assert {(r.status, r.passed) for r in found} == {("final", True), ("draft", False), (None, False)} and len(found) == 9
+
+
 def test_required_assets(spark, tmp_path):
     (tmp_path / "index.html").write_text("x")
     found = files.binary_files(spark, str(tmp_path))

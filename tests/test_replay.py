@@ -56,3 +56,19 @@ def test_receipt_shape(bundle):
     for change in ({"schema": "x"}, {"more": 1}, {"created_utc": "2026-01-01T00:00:00"}, {"python": "three"}, {"sources": {"a": "b"}}, {"verified": {"fits": True, "forecast_rows": 1}}):
         with pytest.raises(ValidationError):
             replay.checked_receipt(receipt | change)
+
+
+def test_bundle_of_a_given_export(spark, bundle, tmp_path):
+    made = replay.create(spark, tmp_path / "again", given=bundle / "export.json")
+    assert (made / "export.json").read_bytes() == (bundle / "export.json").read_bytes() and replay.check(spark, made) == {"fits": 5, "forecast_rows": 30}
+    export = json.loads((bundle / "export.json").read_text())
+    export["forecasts"][0][3] += 1e-6
+    (tmp_path / "changed.json").write_text(json.dumps(export))
+    with pytest.raises(ValidationError):
+        replay.create(spark, tmp_path / "bad", given=tmp_path / "changed.json")
+    (tmp_path / "short.json").write_text("{}")
+    with pytest.raises(ValidationError, match="fields"):
+        replay.create(spark, tmp_path / "bad", given=tmp_path / "short.json")
+    assert not (tmp_path / "bad").exists()
+    with pytest.raises(SystemExit):
+        replay.main(["--check", "x", "--input", "y"])

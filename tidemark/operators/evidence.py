@@ -34,6 +34,14 @@ def comparison_checks(rows: DataFrame, keys: list[str] | None = None) -> DataFra
     )
 
 
+def recorded_checks(rows: DataFrame, literals: dict[str, object], flags: list[str], populations: dict[str, int], keys: list[str] | None = None) -> DataFrame:
+    """(keys..., check, passed) of recorded figures: fields that must have a value, flags that must be false, and counts that must be as given."""
+    conditions = {f"{c} is {v!r}": F.col(c) == F.lit(v) for c, v in literals.items()}
+    conditions |= {f"{c} is false": ~F.col(c) for c in flags}
+    conditions |= {f"{c} counts {n}": F.col(c) == n for c, n in populations.items()}
+    return checks(rows, conditions, keys)
+
+
 def outcome_histogram(ledger: DataFrame, outcome: str = "outcome") -> DataFrame:
     return ledger.groupBy(F.col(outcome).alias("outcome")).agg(F.count("*").alias("n"))
 

@@ -1,7 +1,7 @@
 """Bundles of a result that can be checked by recomputing it.
 
-``python -m tidemark.replay --output FOLDER`` makes one, ``--check FOLDER`` verifies one without
-writing: the files are those of the manifest, the receipt is well formed, the code that computed the
+``python -m tidemark.replay --output FOLDER`` makes one, of a new result or of the export that ``--input
+FILE`` names; ``--check FOLDER`` verifies one without writing: the files are those of the manifest, the receipt is well formed, the code that computed the
 result is the code at hand, and the replay of the export equals the export.
 """
 
@@ -27,6 +27,7 @@ from .validate import ValidationError
 
 SCHEMA = "tidemark-bundle-v1"
 FILES = ["export.json", "receipt.json"]
+EXPORT_KEYS = {"seed", "scenario", "days", "config", "observations", "forecasts"}
 RECEIPT_KEYS = {"schema", "created_utc", "python", "spark", "sources", "verified"}
 
 
@@ -69,11 +70,13 @@ def _from_json(document: dict[str, Any]) -> dict[str, Any]:
     return document | {k: [tuple(r) for r in document[k]] for k in ("observations", "forecasts")}
 
 
-def create(spark: SparkSession, output: str | Path, seed: int = 2026, scenario: str = "steady", days: int = 240, config: RollingConfig | None = None) -> Path:
-    """Computes, replays and publishes; an existing folder is never written over."""
+def create(spark: SparkSession, output: str | Path, seed: int = 2026, scenario: str = "steady", days: int = 240, config: RollingConfig | None = None, given: str | Path | None = None) -> Path:
+    """Computes a result, or takes the ``given`` export, replays it and publishes; an existing folder is never written over."""
     if Path(output).exists():
         raise FileExistsError(output)
-    exported = _plain(provenance.export(spark, seed, scenario, days, config or RollingConfig()))
+    exported = read_json(Path(given)) if given else _plain(provenance.export(spark, seed, scenario, days, config or RollingConfig()))
+    if not isinstance(exported, dict) or set(exported) != EXPORT_KEYS:
+        raise ValidationError("the export's fields aren't those expected")
     verified = provenance.replay(spark, _from_json(exported))
 
     def stage(folder: Path) -> None:
@@ -109,15 +112,18 @@ def main(argv: list[str] | None = None) -> int:
     which = parser.add_mutually_exclusive_group(required=True)
     which.add_argument("--output", help="new folder for a bundle")
     which.add_argument("--check", help="folder of a bundle to verify")
+    parser.add_argument("--input", help="an export to replay and publish")
     options = parser.parse_args(argv)
+    if options.input and not options.output:
+        parser.error("--input goes with --output")
     spark = local_session()
     try:
         if options.output:
-            create(spark, options.output)
+            create(spark, options.output, given=options.input)
             print(json.dumps({"created": options.output}, sort_keys=True))
         else:
             print(json.dumps(check(spark, options.check), sort_keys=True))
-    except (ValidationError, FileExistsError) as e:
+    except (ValidationError, OSError, json.JSONDecodeError) as e:
         print(f"failed: {e}", file=sys.stderr)
         return 1
     return 0
