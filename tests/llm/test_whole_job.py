@@ -4,6 +4,8 @@ import itertools
 import random
 import string
 
+import pytest
+
 import corpus_pipeline
 from tests.llm import brute
 from tidemark.llm import secrets, simhash
@@ -158,16 +160,9 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd_docs, no_docs, labels, tmp_
         assert (pieces.count() > 0) == (name == "odd")
 
 
-def test_crowded_anchors_are_compared_in_full(spark, monkeypatch):
-    """Groups too large for all pairs: what their stars leave apart is compared across components."""
-    for name, value in (("CROWD", 3), ("NEXT", 1), ("HELD", 8)):
-        monkeypatch.setattr(simhash, name, value)
+@pytest.mark.parametrize("most, compared, held", [(0, 4096, 8), (1, 4096, 4), (3, 5, 8)])
+def test_crowds_are_compared_in_full(spark, most, compared, held):
+    """What the first pairs of a crowd leave apart is compared across components, in parts; also at anchors too large to compare at first."""
     texts = [*edited_copies(3, 4, 20), *edited_copies(4, 10, 2)]
-    sets = [shingles(t) for t in texts]
-    root = list(range(len(texts)))
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        if alike(sets[i], sets[j]):
-            low, high = sorted((root[i], root[j]))
-            root = [low if r == high else r for r in root]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.similar(frame).collect()} == dict(enumerate(root))
+    assert {r.doc_id: r.component_id for r in simhash.similar(frame, most=most, compared=compared, held=held).collect()} == dict(enumerate(brute.similar(texts)))

@@ -21,11 +21,12 @@ Near copies by similarity (``similar``) are texts with four fifths of their dist
 Fingerprints of such texts differ in up to 15 % of their bits, beyond what one short code can cover,
 so a wide fingerprint is read in ``LOOKS`` looks of two segments, each replicated to the anchors within the covering
 radius plus one bit: two texts of similarity 0.8 meet at an anchor of some look with a probability of
-0.99, of 0.85 with 0.9998 (measured on random words). Rows that meet are compared by a word, then by the
-whole wide fingerprint, and at last by their shingles, counted in full. At an anchor with many rows each is
-first compared with a few; what these links leave in different components is then compared in full,
-the commonest component's rows dealt over parts that each hold the others. A look has 2^24 anchors, and
-a text about ten of them: beyond some 10^8 distinct texts chance crowds them, and a third segment is due.
+0.986, of 0.85 with 0.999 (measured on random words). Rows that meet are compared by a word, then by the
+whole wide fingerprint, and at last by their shingles, counted in full. A row with many close partners at an
+anchor is in a crowd there, which is paired with one of them only; what the components of these pairs leave apart
+is then compared in full at the crowd's anchors, where the rows of the commonest component are dealt over parts
+that each hold the others, and links are verified on the spot. A look has 2^24 anchors, and a text about ten of them:
+beyond some 10^8 distinct texts chance fills them, and a third segment is due.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; the
 component is the smallest doc_id reachable, null ones left out unless there are no others; repeated
@@ -60,13 +61,13 @@ KEYS_AT_ONCE = 4_000_000
 #: Similarity search: words of a shingle, and the similarity as a fraction of whole numbers.
 SIMILAR_SHINGLE, PARTS, OF = 5, 4, 5
 #: Looks of two segments, the bits beyond the covering radius in each, and words of a wide fingerprint: those of all looks and one that is compared first.
-LOOKS, LOOK_THRESHOLD = 24, 1
+LOOKS, LOOK_THRESHOLD = 20, 1
 WORDS = -(-LOOKS * 2 * LENGTH // 64) + 1
 #: Differing bits of texts of similarity 0.8 are 15 % at most (an angle of acos(8/9)): four standard errors more, of one word and of all.
 CLOSE = 21
 LIKELY = int(WORDS * 64 * 0.1515 + 4 * (WORDS * 64 * 0.1515 * 0.8485) ** 0.5)
-#: Members of an anchor that are all compared, and how many following ones in larger groups; rows of an anchor held at once; nodes remembered.
-CROWD, NEXT, HELD, SEEN = 64, 4, 65_536, 1_000_000
+#: Close partners at an anchor beyond which a text is in a crowd; rows of an anchor that are all compared, and that are held at once; nodes that a task remembers; bits of a filter for candidates.
+CROWD, ALL, HELD, SEEN, FILTER = 3, 4_096, 65_536, 1_000_000, 1 << 23
 _WORD_FLIP = np.random.default_rng(SEED).integers(0, 1 << 63, WORDS, np.uint64)
 
 _WHITE = np.zeros(256, bool)
@@ -411,7 +412,7 @@ def _distinct_sets(hashes: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, n
 
 
 def text_table(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIMILAR_SHINGLE) -> DataFrame:
-    """``doc_id``, text hash ``t``, ``node`` (a hash of the words), and for a node's first row in a task its wide fingerprint and its set of shingles."""
+    """``doc_id``, text hash ``t``, ``node`` (a hash of the words), and for a node's first row in a task its wide fingerprint."""
     picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,46 +424,48 @@ def text_table(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
             if len(seen) > SEEN:
                 seen.clear()
             fresh = [n not in seen and not seen.add(n) for n in nodes.tolist()]
-            held = [(wide[i].tobytes(), sets[at[i] : at[i + 1]].tobytes()) if f else (None, None) for i, f in enumerate(fresh)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("t"), pa.array(nodes.view(np.int64)), pa.array([w for w, _ in held], pa.binary()), pa.array([s for _, s in held], pa.binary())],
-                names=["doc_id", "t", "node", "wide", "shingles"],
-            )
+            held = pa.array([wide[i].tobytes() if f else None for i, f in enumerate(fresh)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(nodes.view(np.int64)), held], names=["doc_id", "t", "node", "wide"])
 
-    return picked.mapInArrow(run, "doc_id long, t long, node long, wide binary, shingles binary")
+    return picked.mapInArrow(run, "doc_id long, t long, node long, wide binary")
 
 
 def _words(column: pa.Array) -> np.ndarray:
     return utf8(column)[0].view(np.uint64).reshape(-1, WORDS)
 
 
-def _partners(anchor: np.ndarray, node: np.ndarray, check: np.ndarray, crowded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices of close pairs of rows by anchor, and which rows stand in crowded groups.
+def _partners(anchor: np.ndarray, node: np.ndarray, check: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices (left, right) of close pairs of rows by anchor, and the rows that are in a crowd.
 
-    Rows of a group of up to ``CROWD`` are all compared; of a larger one, or of a part of one, each with the group's first row and
-    the ``NEXT`` after it.
+    All rows of an anchor are compared. A row with more than ``most`` close partners is in a crowd; of the pairs within a crowd only
+    one for each row is given.
     """
     n = len(anchor)
     edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     size = np.diff(np.append(edge, n))
-    large = np.repeat(size > CROWD, size) | crowded
     end = np.repeat(edge + size, size)
-    lead = np.repeat(edge, size)
-    rows = np.flatnonzero(large & (lead + NEXT < np.arange(n)))
-    left, right = [lead[rows]], [rows]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     alive, step = np.flatnonzero(np.arange(n) + 1 < end), 1
     while len(alive):
-        left.append(alive)
-        right.append(alive + step)
+        close = alive[np.bitwise_count(check[alive] ^ check[alive + step]) <= CLOSE]
+        left.append(close)
+        right.append(close + step)
         step += 1
-        alive = alive[(alive + step < end[alive]) & ((step <= NEXT) | ~large[alive])]
+        alive = alive[alive + step < end[alive]]
     a, b = np.concatenate(left), np.concatenate(right)
-    close = np.bitwise_count(check[a] ^ check[b]) <= CLOSE
-    return a[close], b[close], np.flatnonzero(large)
+    crowd = np.bincount(a, minlength=n) + np.bincount(b, minlength=n) > most
+    inside = crowd[a] & crowd[b]
+    first = np.full(n, n)  # each row's first partner in the crowd
+    np.minimum.at(first, b[inside], a[inside])
+    some = np.flatnonzero(first < n)
+    return np.concatenate([a[~inside], first[some]]), np.concatenate([b[~inside], some]), np.flatnonzero(crowd)
+
 
+def _met(nodes: DataFrame, most: int = CROWD, compared: int = ALL) -> DataFrame:
+    """Close pairs (a, b) of nodes that meet at an anchor, and rows (a, anchor) of those in a crowd there.
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """Close pairs (a, b) of nodes that meet at an anchor, and rows (a, anchor) of the members of crowded anchors."""
+    Of an anchor with more than ``compared`` rows all are in its crowd, each paired with the first.
+    """
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -473,44 +476,51 @@ def _met(nodes: DataFrame) -> DataFrame:
                     row, near = look_anchors(wide, look)
                     yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(node[row]), pa.array(wide[row, WORDS - 1].view(np.int64))], names=["anchor", "node", "check"])
 
+    def out(anchor: np.ndarray, node: np.ndarray, a: np.ndarray, b: np.ndarray, crowd: np.ndarray) -> pa.RecordBatch:
+        """Pairs of nodes, and rows of a crowd by their indices."""
+        columns = [
+            pa.concat_arrays([pa.array(np.minimum(a, b)), pa.array(node[crowd])]),
+            pa.concat_arrays([pa.array(np.maximum(a, b)), pa.nulls(len(crowd), pa.int64())]),
+            pa.concat_arrays([pa.nulls(len(a), pa.int32()), pa.array(anchor[crowd])]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "anchor"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        crowded = False  # the held rows go on with a crowded group, whose first row comes first
+        crowded = None  # (anchor, first node) of an anchor too large to compare, whose rows go by
 
-        def found(rows: list[np.ndarray], crowded: bool) -> pa.RecordBatch:
+        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
             anchor, node, check = rows
-            a, b, large = _partners(anchor, node, check.view(np.uint64), crowded)
-            none = pa.nulls(len(large), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(node[large])]),
-                    pa.concat_arrays([pa.array(np.maximum(node[a], node[b])), none]),
-                    pa.concat_arrays([pa.nulls(len(a), pa.int32()), pa.array(anchor[large])]),
-                ],
-                names=["a", "b", "anchor"],
-            )
+            a, b, crowd = _partners(anchor, node, check.view(np.uint64), most)
+            return out(anchor, node, node[a], node[b], crowd)
 
         for batch in batches:
             held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            if not len(held[0]):
-                continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut and crowded:  # the crowded group has ended
-                own = int(np.searchsorted(held[0], held[0][0], "right"))
-                yield found([h[:own] for h in held], True)
-                held, cut, crowded = [h[own:] for h in held], cut - own, False
-            if cut:
-                yield found([h[:cut] for h in held], False)
+            while len(held[0]):
+                anchor, node, _ = held
+                if crowded is None and anchor[0] == anchor[min(len(anchor) - 1, compared)] and len(anchor) > compared:
+                    crowded = anchor[0], node[0]
+                if crowded is None:
+                    # Whole anchors before the first large one; the last anchor may go on in the next batch.
+                    edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+                    large = edge[np.diff(np.append(edge, len(anchor))) > compared]
+                    cut = int(large[0]) if len(large) else int(edge[-1])
+                    if not cut:
+                        break
+                    yield found([h[:cut] for h in held])
+                else:
+                    cut = int(np.searchsorted(anchor, crowded[0], "right"))
+                    first = np.full(cut, crowded[1])
+                    other = node[:cut] != first
+                    yield out(anchor, node, first[other], node[:cut][other], np.arange(cut))
+                    if cut < len(anchor):
+                        crowded = None
                 held = [h[cut:] for h in held]
-            if len(held[0]) > HELD:
-                yield found(held, True)
-                held, crowded = [h[:1] for h in held], True
         if len(held[0]):
-            yield found(held, crowded)
+            yield found(held)
 
-    drawn = F.xxhash64("anchor", "node")  # another order, and another first row, at each anchor
     met = nodes.select("node", "wide").mapInArrow(replicate, "anchor int, node long, check long")
-    return met.repartition(shuffle_width(nodes.sparkSession), "anchor").sortWithinPartitions("anchor", drawn).mapInArrow(compare, "a long, b long, anchor int")
+    return met.repartition(shuffle_width(nodes.sparkSession), "anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a long, b long, anchor int")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -533,11 +543,48 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * shared >= PARTS * (len(a) + len(b) - shared)
 
 
-def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
+def _shingles(some: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, shingles) of some nodes, a written table: their texts alone are moved.
+
+    A filter of ``FILTER`` bits, a fixed size, tells rows that can't be wanted before the join; a text's first row in a task is enough.
+    """
+    wanted = written(nodes.select("node", "t").join(some.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left_semi"), "wanted")
+    bit = F.pmod("t", F.lit(FILTER)) + 1  # bits are numbered from 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bits = np.zeros(FILTER, bool)  # FILTER / 32,768 rows of 4 KB at most
+    for r in rows:
+        own = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        bits[(r["bucket"] - 1) * 32_768 :][: len(own)] |= own[: max(0, FILTER - (r["bucket"] - 1) * 32_768)].astype(bool)
+    packed = np.packbits(bits).tobytes()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool), set()
+        for batch in batches:
+            t = batch.column("h").to_numpy()
+            keep = known[t % FILTER]
+            for i in np.flatnonzero(keep).tolist():
+                if t[i] in seen:
+                    keep[i] = False
+                seen.add(t[i])
+            if len(seen) > SEEN:
+                seen.clear()
+            yield batch.filter(pa.array(keep))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            hashes, total, _ = shingle_hashes(*utf8(batch.column("text")), SIMILAR_SHINGLE)
+            own, at = _distinct_sets(hashes, total)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([own[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "shingles"])
+
+    texts = docs.select(F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(pick, "h long, text string")
+    found = texts.join(wanted, F.col("h") == F.col("t")).select("node", "text").mapInArrow(sets, "node long, shingles binary")
+    return written(found.dropDuplicates(["node"]), "shingles")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The pairs whose sets of shingles have the similarity."""
     pairs = written(pairs, "likely")
-    some = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
-    sets = written(table.where("shingles is not null").join(some, F.col("node") == F.col("m"), "left_semi").select("node", "shingles").dropDuplicates(["node"]), "shingles")
+    sets = _shingles(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -550,65 +597,83 @@ def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of rows of one anchor but of different labels.
+    """Links (a, b) that join what is apart among the rows (anchor, part, major, node, label, wide, shingles) of an anchor.
 
-    In each part of an anchor the rows outside its commonest label are held; the others come by.
+    In each part of an anchor the rows outside its commonest label are held; the others come by. Every row is compared with the held
+    ones of other components, and a likely pair verified on the spot; a link joins two components, so there are
+    fewer than rows and no pair leaves that isn't one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, node, label, wide = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64)
+        current, root = None, {}
+        node, label, wide, sets = [], [], np.zeros((0, WORDS), np.uint64), []
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
         for batch in batches:
-            key = batch.column("anchor").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy().astype(np.int64)
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
-            for s, e in zip(edge, [*edge[1:], len(key)], strict=True):
-                own = batch.slice(s, e - s)
-                if key[s] != current:
-                    current, node, label, wide = key[s], node[:0], label[:0], wide[:0]
-                major, first = own.column("major").to_numpy(zero_copy_only=False), not int(own.column("part")[0].as_py())
-                n, lab, w = own.column("node").to_numpy(), own.column("label").to_numpy(), _words(own.column("wide"))
-                left, right = [], []
-                for i in range(len(n)):  # a minor one against those before it, in one part only; a major one against all minor ones
-                    if major[i] or first:
-                        near = np.flatnonzero(label != lab[i])
-                        near = near[np.bitwise_count(wide[near] ^ w[i]).sum(1) <= LIKELY]
-                        left.append(np.minimum(node[near], n[i]))
-                        right.append(np.maximum(node[near], n[i]))
-                    if not major[i]:
-                        rest = slice(i, i + 1)
-                        node, label, wide = np.append(node, n[rest]), np.append(label, lab[rest]), np.concatenate([wide, w[rest]])
-                if left:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-    dealt = rows.repartition(shuffle_width(rows.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part", "major")
+            anchor, part = (batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "part"))
+            major, own_wide = batch.column("major").to_numpy(zero_copy_only=False), _words(batch.column("wide"))
+            body, at = utf8(batch.column("shingles"))
+            links: list[tuple[int, int]] = []
+            fresh: list[int] = []  # held rows of this batch that aren't in ``wide`` yet
+            for i, (n, g) in enumerate(zip(batch.column("node").to_pylist(), batch.column("label").to_pylist(), strict=True)):
+                if (anchor[i], part[i]) != current:
+                    current, root, node, label, sets, fresh = (anchor[i], part[i]), {}, [], [], [], []
+                    wide = wide[:0]
+                own = body[at[i] : at[i + 1]].view(np.uint64)
+                if major[i] or not part[i]:  # minor rows stand in every part, so they are compared in the first
+                    near = np.flatnonzero(np.bitwise_count(np.concatenate([wide, own_wide[fresh]]) ^ own_wide[i]).sum(1) <= LIKELY) if node else ()
+                    for k in near:
+                        if find(g) != find(label[k]) and alike(own, sets[k]):
+                            root[find(g)] = find(label[k])
+                            links.append((min(n, node[k]), max(n, node[k])))
+                if not major[i]:
+                    node.append(n)
+                    label.append(g)
+                    sets.append(own.copy())
+                    fresh.append(i)
+                if len(fresh) > 256:
+                    wide, fresh = np.concatenate([wide, own_wide[fresh]]), []
+            wide = np.concatenate([wide, own_wide[fresh]])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part", "major", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _crowds(met: DataFrame, nodes: DataFrame, rooted: DataFrame) -> DataFrame:
-    """Likely pairs of different components at crowded anchors, all of them."""
+def _crowds(met: DataFrame, nodes: DataFrame, rooted: DataFrame, docs: DataFrame, text: str, held: int = HELD) -> DataFrame:
+    """Links between different components in the crowds of anchors: all pairs of an anchor's crowd count, and none leaves its task unverified."""
     members = met.where("anchor is not null").select("anchor", F.col("a").alias("node")).distinct()
     members = members.join(rooted.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("anchor", "node", F.coalesce("root", "node").alias("label"))
     members = written(members, "crowds")
     sizes = members.groupBy("anchor", "label").agg(F.count("*").alias("n")).groupBy("anchor").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    sizes = written(sizes.select(F.col("anchor").alias("g"), F.col("most.label").alias("top"), F.ceil(F.col("most.n") / HELD).cast("int").alias("parts")), "sizes")
+    sizes = written(sizes.select(F.col("anchor").alias("g"), F.col("most.label").alias("top"), F.ceil(F.col("most.n") / held).cast("int").alias("parts")), "sizes")
     rows = members.join(sizes, F.col("anchor") == F.col("g")).withColumn("major", F.col("label") == F.col("top"))
     part = F.when(F.col("major"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.select("anchor", F.explode(part).alias("part"), "major", "node", "label")
-    return _across(rows.join(nodes.select(F.col("node").alias("w"), "wide"), F.col("node") == F.col("w")).select("anchor", "part", "major", "node", "label", "wide"))
+    rows = written(rows.select("anchor", F.explode(part).alias("part"), "major", "node", "label"), "rows")
+    some = rows.select("node").distinct()
+    sets = _shingles(some, nodes, docs, text)
+    known = nodes.select("node", "wide").join(sets, "node").select(F.col("node").alias("w"), "wide", "shingles")
+    return written(_across(rows.join(known, F.col("node") == F.col("w")).select("anchor", "part", "major", "node", "label", "wide", "shingles")), "across")
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = CROWD, compared: int = ALL, held: int = HELD) -> DataFrame:
     """``doc_id``, text hash ``t``, ``node``, ``root`` (a node that names the component) and ``component_id`` of every row.
 
     Components are of texts with at least ``PARTS`` / ``OF`` of their five-word shingles in common. Different
-    components have different roots, also where ids are null or stand for several texts.
+    components have different roots, also where ids are null or stand for several texts. The numbers set how
+    crowds are told, compared and dealt; they change the work, not which links count.
     """
     table = written(text_table(docs, key, text), "texts")
-    nodes = written(table.where("wide is not null").select("node", "wide").dropDuplicates(["node"]), "nodes")
-    met = written(_met(nodes), "met")
+    nodes = written(table.where("wide is not null").select("node", "t", "wide").dropDuplicates(["node"]), "nodes")
+    met = written(_met(nodes, most, compared), "met")
     pairs = met.where("anchor is null").select("a", "b").distinct()
-    linked = _verified(_likely(pairs, nodes), table)
+    linked = _verified(_likely(pairs, nodes), nodes, docs, text)
     rooted = _rooted(linked)
-    more = _verified(_crowds(met, nodes, rooted).join(pairs, ["a", "b"], "left_anti"), table)
+    more = _crowds(met, nodes, rooted, docs, text, held)
     if not more.isEmpty():
         rooted = _rooted(linked.unionAll(more))
     first = table.groupBy("node").agg(F.min("doc_id").alias("first"))
