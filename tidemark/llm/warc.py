@@ -11,7 +11,8 @@ responses.
 Only digests and keys are grouped, after pre-aggregation, so a payload that a third of all rows share
 moves as one row; the join back to it is by digest, a skewed key that adaptive execution splits.
 
-Defined results: a null payload is empty; a null URL is an empty target; null keys sort below all
+Defined results: a null payload is empty; a null URL is an empty target, and line ends in
+a URL, which a header line can't hold, are left out; null keys sort below all
 others and have an empty record id; rows repeated with the same key and payload are each a response if
 the key is the largest; empty tables give empty tables; other columns are ignored.
 """
