@@ -44,7 +44,7 @@ SHARD_TOKENS = 4_000_000
 #: Shards beyond this many share tasks, evenly.
 MOST_TASKS = 20_000
 #: Stretches that a worker keeps; beyond it the cache starts anew, which changes no result.
-CACHED = 1_500_000
+CACHED = 500_000
 PLAIN_PUNCTUATION = ".,;:!?*#%&$|"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
