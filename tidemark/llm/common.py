@@ -88,7 +88,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows whose ``column`` holds about ``limit`` bytes (one row at least)."""
     for batch in batches:
         _, at = utf8(batch.column(batch.schema.get_field_index(column)))

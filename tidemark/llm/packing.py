@@ -104,7 +104,7 @@ def token_table(docs: DataFrame, key: str, text: str, source: str, vocabulary: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _stretches(vocabulary)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             if len(known) > CACHED:
                 known.clear()
                 known.words.clear()

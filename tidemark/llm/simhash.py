@@ -272,7 +272,7 @@ def fingerprint_table(docs: DataFrame, key: str = "doc_id", text: str = "text")
     picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             found = fingerprints(*utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "print"])
 
@@ -417,7 +417,7 @@ def text_table(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             hashes, total, nodes = shingle_hashes(*utf8(batch.column("text")), size)
             sets, at = _distinct_sets(hashes, total)
             wide = wide_fingerprints(sets, at)
@@ -571,7 +571,7 @@ def _shingles(some: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
             yield batch.filter(pa.array(keep))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             hashes, total, _ = shingle_hashes(*utf8(batch.column("text")), SIMILAR_SHINGLE)
             own, at = _distinct_sets(hashes, total)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([own[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "shingles"])
