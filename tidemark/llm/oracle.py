@@ -58,5 +58,27 @@ FROM o
 """
 
 
+def _op12(rounds: int = 6) -> str:
+    """Lloyd's rounds as a chain of CTEs over whole numbers: an assignment and new entries a round."""
+    ctes = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)",
+        "pieces AS MATERIALIZED (SELECT row, part, v[part * (len(v) // 8) + 1 : (part + 1) * (len(v) // 8)] AS p FROM kept, range(8) r(part))",
+        "ranked AS (SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM kept)",
+        "book0 AS MATERIALIZED (SELECT part, entry, p AS e FROM ranked JOIN pieces USING (row) WHERE entry < 16)",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"near{i} AS MATERIALIZED (SELECT row, part, min({{d: list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(p, e)])::BIGINT, entry: entry}}) AS best FROM pieces JOIN book{i} USING (part) GROUP BY row, part)")
+        if i < rounds:
+            ctes.append(f"mean{i} AS (SELECT part, entry, list(m ORDER BY place) AS m FROM (SELECT part, best.entry AS entry, place, floor(sum(p[place]) / count(*)::DOUBLE)::BIGINT AS m FROM near{i} JOIN pieces USING (row, part), range(1, 1 + (SELECT max(len(p)) FROM pieces)) r(place) GROUP BY ALL) GROUP BY part, entry)")
+            ctes.append(f"book{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m, e) AS e FROM book{i} b LEFT JOIN mean{i} m ON m.part = b.part AND m.entry = b.entry)")
+    ctes.append(f"coded AS MATERIALIZED (SELECT row, string_agg('0' || substr('0123456789abcdef', best.entry::INT + 1, 1), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY row)")
+    return f"""WITH {', '.join(ctes)}
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256 FROM coded JOIN kept USING (row)"""
+
+
+OP12 = _op12()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op5_chat": OP5, "op8_lines": OP8, "op10_urls": OP10}
+    return {"op1_warc": OP1, "op5_chat": OP5, "op8_lines": OP8, "op10_urls": OP10, "op12_elkan": OP12}
