@@ -80,5 +80,33 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 OP12 = _op12()
 
 
+# CRC-32 from its definition: a table of 256 remainders, then a byte at a time.
+_CRC = """bits(i, k, v) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM bits WHERE k < 8),
+crcs AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce([ascii(x)::BIGINT FOR x IN string_split({text}, '')], lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+# A node is its first d turns as a list; its subtree are the nodes whose first members pass through it.
+OP13 = f"""
+WITH RECURSIVE {_CRC},
+own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc('conv_id::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own), crcs),
+rebuilt AS (SELECT c.conv_id, pos, role, text FROM convs c JOIN own o ON o.conv_id = base AND pos <= h UNION ALL SELECT c.conv_id, pos, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND pos > h),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d, role, text FROM rebuilt),
+paths AS MATERIALIZED (SELECT conv_id, d, text, list({{r: role, t: text}}) OVER (PARTITION BY conv_id ORDER BY d) AS p, d = count(*) OVER (PARTITION BY conv_id) AS is_end FROM placed
+  UNION ALL SELECT conv_id, 0, '', [], conv_id NOT IN (SELECT conv_id FROM placed) FROM convs),
+member AS MATERIALIZED (SELECT conv_id, d, min(conv_id) OVER (PARTITION BY d, p) AS node FROM paths),
+nodes AS MATERIALIZED (SELECT d AS depth, node, count(*) AS n, any_value(strlen(text)) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256 FROM paths JOIN member USING (conv_id, d) GROUP BY ALL),
+linked AS MATERIALIZED (SELECT n.*, m.node AS parent FROM nodes n LEFT JOIN member m ON m.conv_id = n.node AND m.d = n.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+full_ AS MATERIALIZED (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN kids USING (node, depth)),
+below AS (SELECT m.d AS depth, m.node, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n - 1) * f.bytes)::BIGINT AS saved_tokens FROM full_ f JOIN member m ON m.conv_id = f.node AND m.d <= f.depth GROUP BY ALL)
+SELECT node AS conv_id, depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ JOIN below USING (node, depth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op5_chat": OP5, "op8_lines": OP8, "op10_urls": OP10, "op12_elkan": OP12}
+    return {"op1_warc": OP1, "op5_chat": OP5, "op8_lines": OP8, "op10_urls": OP10, "op12_elkan": OP12, "op13_prefixes": OP13}

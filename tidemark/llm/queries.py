@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, elkan, fingerprint, lines, packing, quality, secrets, simhash, urls, warc
+from . import bpe, chat, elkan, fingerprint, lines, packing, prefixes, quality, secrets, simhash, urls, warc
+from .common import written
 
 #: The rules of the URL query.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -69,5 +70,10 @@ def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elkan.with_group_error(coded, "label").select("vec_id", "code", "error", "label_error", F.lit(elkan.codebooks_digest(books)).alias("codebooks_sha256"))
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefixes.numbered(_table(spark, sf_dir, "conversations")), "turns")
+    return prefixes.trie(prefixes.paths(prefixes.with_shared_heads(turns)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_fingerprint, op4_packing, op5_chat, op6_quality, op7_simhash, op8_lines, op9_secrets, op10_urls, op12_elkan)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_fingerprint, op4_packing, op5_chat, op6_quality, op7_simhash, op8_lines, op9_secrets, op10_urls, op12_elkan, op13_prefixes)}
