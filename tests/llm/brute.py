@@ -216,3 +216,48 @@ def likeness(a: list[tuple[int, set[int]]], b: list[tuple[int, set[int]]]) -> fl
             best = max(best, (len(f & g) - chance) / max(min(len(f), len(g)) - chance, 1))
         total += n * min(1.0, best)
     return total / sum(n for n, _ in a)
+
+
+def ppm_scores(docs, order):
+    """Of {id: text}: (held_out, n_tokens, n_known, train_tokens, base, log10 probability by PPM) by the definitions, a symbol at a time."""
+    import collections
+    import math
+    import re
+    import zlib
+
+    tokens = {d: re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))) for d, t in docs.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in docs}
+    counts = collections.Counter(w for d, ws in tokens.items() if not held[d] for w in [*ws, None])
+    total, distinct = sum(counts.values()), len(counts)
+    after = collections.defaultdict(collections.Counter)
+
+    def symbols(d):
+        text = [*b" ".join(tokens[d]), "end"]
+        padded = ["start"] * order + text
+        return [(tuple(padded[i : i + order]), s) for i, s in enumerate(text)]
+
+    for d in docs:
+        if not held[d]:
+            for context, s in symbols(d):
+                for k in range(order + 1):
+                    after[context[order - k :]][s] += 1
+
+    def probability(context, s):
+        p, gone = 1.0, set()
+        for k in range(order, -1, -1):
+            seen = {x: n for x, n in after[context[order - k :]].items() if x not in gone} if context[order - k :] in after else {}
+            if not seen:
+                continue
+            whole = sum(seen.values()) + len(seen)
+            if s in seen:
+                return math.log10(p) + math.log10(seen[s] / whole)
+            p *= len(seen) / whole
+            gone |= set(seen)
+        return math.log10(p) - math.log10(255 - len(gone))
+
+    out = {}
+    for d, ws in tokens.items():
+        every = [*ws, None]
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in every)
+        out[d] = (held[d], len(every), sum(counts[w] > 0 for w in every), total, base, sum(probability(c, s) for c, s in symbols(d)))
+    return out

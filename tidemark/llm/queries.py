@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, elkan, fingerprint, lines, packing, prefixes, quality, secrets, simhash, urls, warc
+from . import bpe, chat, elkan, fingerprint, lines, packing, ppm, prefixes, quality, secrets, simhash, urls, warc
 from .common import written
 
 #: The rules of the URL query.
@@ -65,6 +65,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules, ["page_id"])
 
 
+def op11_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return ppm.score(_table(spark, sf_dir, "documents"), held)
+
+
 def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = elkan.compress(_table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
     return elkan.with_group_error(coded, "label").select("vec_id", "code", "error", "label_error", F.lit(elkan.codebooks_digest(books)).alias("codebooks_sha256"))
@@ -76,4 +81,4 @@ def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_fingerprint, op4_packing, op5_chat, op6_quality, op7_simhash, op8_lines, op9_secrets, op10_urls, op12_elkan, op13_prefixes)}
+    return {f.__name__: f for f in (op1_warc, op2_bpe, op3_fingerprint, op4_packing, op5_chat, op6_quality, op7_simhash, op8_lines, op9_secrets, op10_urls, op11_ppm, op12_elkan, op13_prefixes)}
