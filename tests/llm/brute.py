@@ -248,9 +248,9 @@ def ppm_scores(docs, order):
             seen = {x: n for x, n in after[context[order - k :]].items() if x not in gone} if context[order - k :] in after else {}
             if not seen:
                 continue
-            whole = sum(seen.values()) + len(seen)
+            whole = 2 * sum(seen.values())
             if s in seen:
-                return math.log10(p) + math.log10(seen[s] / whole)
+                return math.log10(p) + math.log10((2 * seen[s] - 1) / whole)
             p *= len(seen) / whole
             gone |= set(seen)
         return math.log10(p) - math.log10(255 - len(gone))

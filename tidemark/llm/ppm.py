@@ -4,7 +4,7 @@ A text is read as its tokens: ASCII capitals in lower case, words joined by one
 or the end mark. The trie has a node for each context of up to ``ORDER`` bytes that occurs in the training texts
 (texts begin with start marks, so the longest context is always full), with a count for each symbol
 after it; dropping a context's first byte leads to the node one shorter. The probability of a symbol after a
-context of n symbols, q of them distinct, is count / (n + q) if it was seen there; otherwise the escape, q / (n + q), times the
+context of n symbols, q of them distinct, is (2 count - 1) / 2n if it was seen there; otherwise the escape (method D), q / 2n, times the
 probability one context shorter, from which all symbols of the longer context are excluded. A context without symbols
 that are left is passed for free. Below the empty context, what is left of the 255 symbols is equally likely.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, shuffle_width, slices, utf8, written
 
-ORDER = 4
+ORDER = 5
 BLOCK = 16 << 20
 #: Bytes that stand in no UTF-8 text.
 START, END = 0xFE, 0xFF
@@ -188,19 +188,20 @@ def trie(counted: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFram
 def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, value): the log10 probability of each gram's symbol after its context, from (gram, c); c is 0 for grams that were not learned."""
     levels, nodes = trie(counted, order)
-    log = lambda a, b: F.log10(a.cast("double") / b)
+    seen_as = lambda c, n: F.log10((2 * c - 1) / (2 * n))
+    escapes = lambda q, n: F.log10(q / (2 * n))
     node = lambda k: nodes[k].select(F.col("context").alias("at"), "n", "q", "x")
     n, q, x, c = (F.col(name) for name in "nqxc")
     longest = counted.join(_fits(node(order), order), F.shiftright("gram", 8) == F.col("at"), "left")
-    seen = longest.where("c > 0").select("gram", log(c, n + q).alias("value"))
+    seen = longest.where("c > 0").select("gram", seen_as(c, n).alias("value"))
     zero = F.lit(0).cast("long")
     # Grams that were not learned escape, context by context: value so far, excluded symbols and their count, whether done.
-    rows = longest.where("c = 0").select("gram", F.coalesce(log(q, n + q), F.lit(0.0)).alias("value"), F.coalesce(x, zero).alias("gone"), F.coalesce(q, zero).alias("gone_q"), F.lit(False).alias("done"))
+    rows = longest.where("c = 0").select("gram", F.coalesce(escapes(q, n), F.lit(0.0)).alias("value"), F.coalesce(x, zero).alias("gone"), F.coalesce(q, zero).alias("gone_q"), F.lit(False).alias("done"))
     for k in range(order - 1, -1, -1):
         own = levels[k].select(F.col("gram").alias("own"), "c")
         rows = rows.join(_fits(own, k + 1), _low(F.col("gram"), k) == F.col("own"), "left").join(_fits(node(k), k), F.shiftright(_low(F.col("gram"), k), 8) == F.col("at"), "left")
         left_n, left_q = n - F.col("gone"), q - F.col("gone_q")
-        step = F.when(F.col("done") | n.isNull() | (left_q == 0), 0.0).when(c.isNotNull(), log(c, left_n + left_q)).otherwise(log(left_q, left_n + left_q))
+        step = F.when(F.col("done") | n.isNull() | (left_q == 0), 0.0).when(c.isNotNull(), seen_as(c, left_n)).otherwise(escapes(left_q, left_n))
         rows = rows.select("gram", (F.col("value") + step).alias("value"), F.coalesce(x, zero).alias("gone"), F.coalesce(q, zero).alias("gone_q"), (F.col("done") | c.isNotNull()).alias("done"))
     rest = F.when(F.col("done"), 0.0).otherwise(-F.log10(F.lit(float(SYMBOLS)) - F.col("gone_q")))
     return seen.unionAll(rows.select("gram", (F.col("value") + rest).alias("value")))
