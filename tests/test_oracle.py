@@ -27,7 +27,7 @@ def rows(frame: pd.DataFrame) -> list[str]:
         if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
             return "null"
         if isinstance(v, float):
-            return f"{v + 0.0:.6f}"
+            return f"{v + 0.0:.6f}".removesuffix(".000000")  # whole numbers with nulls among them come as floats
         return str(v)
 
     frame = frame[sorted(frame.columns)]

@@ -234,6 +234,16 @@ def oracle_sql() -> dict[str, str]:
         "fold_offsets": f"WITH {FOLDED}, s AS (SELECT DISTINCT block, rep, fold, length, fold_offset, blk FROM starts) SELECT block, fold, length, fold_offset, count(*) AS n_blocks FROM s GROUP BY ALL",
         "manifest_diff": """WITH e AS (SELECT p_partkey::VARCHAR AS path, sha256(coalesce(p_name, '')) AS e FROM part), a AS (SELECT p_partkey::VARCHAR AS path, sha256(CASE WHEN p_partkey = 5 THEN 'other' ELSE coalesce(p_name, '') END) AS a FROM part WHERE p_partkey <> 7 UNION ALL SELECT '-1', sha256('new'))
             SELECT path, CASE WHEN a IS NULL THEN 'missing' WHEN e IS NULL THEN 'unexpected' ELSE 'changed' END AS reason FROM e FULL JOIN a USING (path) WHERE e IS DISTINCT FROM a""",
+        "long_date_ranks": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS quantity_rank, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS price_rank FROM lineitem",
+        "long_date_corr": """WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS b FROM lineitem)
+            SELECT l_returnflag, count(*) AS n_observed, round(corr(a, b), 9) AS rho FROM r GROUP BY l_returnflag""",
+        "long_series_labels": f"""WITH obs AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS t, l_quantity AS value FROM lineitem),
+            w AS (SELECT t, lag(value) OVER (ORDER BY t) AS f0, avg(value) OVER (ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS f1, avg(value) OVER (ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS f2, sin(t / 8.0::DOUBLE) AS f3, cos(t / 8.0::DOUBLE) AS f4,
+              avg(value) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS y, count(*) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS n FROM obs)
+            SELECT 'all' AS series_id, 0 AS series_pos, t, {_r(['f0', 'f1', 'f2', 'f3', 'f4', 'y'], 10)}, t + 8 AS released_day FROM w WHERE t >= 20 AND n = 5""",
+        "latest_labels": f"""WITH {EVENTS}, e AS (SELECT event_id, event_type || '_' || (user_id % 8)::VARCHAR AS instrument, (datediff('day', DATE '2024-01-01', ts::DATE) + 1)::BIGINT AS as_of FROM events),
+            m AS (SELECT event_id, max({{r: released_day, o: observed_day, v: l.value}}) AS b FROM e JOIN labels_ l ON l.instrument = e.instrument AND released_day <= as_of GROUP BY event_id)
+            SELECT event_id, instrument, as_of, b.o AS observed_day, b.r AS released_day, round(b.v, 6) AS value FROM e LEFT JOIN m USING (event_id)""",
         "markup_totals": "SELECT count(*) AS n_files, sum(strlen(html))::BIGINT AS total_bytes, count(DISTINCT page_id) AS n_distinct FROM pages",
     }
     return sql

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import availability, bootstrap, diagnostics, evidence, features, metrics, provenance, review, rolling, scan
+from ..operators import availability, bootstrap, diagnostics, evidence, features, metrics, ordered, provenance, review, rolling, scan
 from ..schemas import LABEL
 from ..session import shared_path
 from ..sources import panels, synthetic
@@ -144,6 +144,41 @@ def average_rank(spark, sf_dir):
     return rows.withColumn("avg_rank", scalars.average_rank(F.col("n_items"), ["date_id"]))
 
 
+#: Steps of a long series that a task takes at once in the queries; a series of a small table is then several blocks, too.
+STEPS = 5_000
+ITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def _one_date(spark, sf_dir):
+    """All line items as the cells of one date."""
+    return panels.table(spark, sf_dir, "lineitem").select(*ITEM, F.lit(0).cast("long").alias("date_id"), "l_returnflag", "l_quantity", "l_extendedprice")
+
+
+def long_date_ranks(spark, sf_dir):
+    """Ranks within one date that holds every line item; quantities tie by thousands."""
+    ranked = ordered.doubled_ranks(ordered.doubled_ranks(_one_date(spark, sf_dir), ["date_id"], "l_quantity", "q"), ["date_id"], "l_extendedprice", "p")
+    return ranked.select(*ITEM, (F.col("q") / 2).alias("quantity_rank"), (F.col("p") / 2).alias("price_rank"))
+
+
+def long_date_corr(spark, sf_dir):
+    """Rank correlations of quantity and price over three dates of all line items of a return flag."""
+    return _rounded(ordered.rank_correlations(_one_date(spark, sf_dir), ["l_returnflag"], "l_quantity", "l_extendedprice"), 9)
+
+
+def long_series_labels(spark, sf_dir):
+    """Features and targets of one series with a step for each line item."""
+    items = ordered.positions(panels.table(spark, sf_dir, "lineitem").select(*ITEM, "l_quantity"), [], ITEM, "t")
+    obs = items.select(F.lit("all").alias("series_id"), F.lit(0).alias("series_pos"), F.col("t").cast("long").alias("t"), F.col("l_quantity").alias("value"))
+    return _rounded(features.long_label_rows(obs, CONFIG.horizon, CONFIG.delay, STEPS, at="t").drop("f5", "f6", "f7", "f8", "f9"), EXACT)
+
+
+def latest_labels(spark, sf_dir):
+    """For every event the label of its instrument that was released last by then."""
+    rows = panels.event_rows(spark, sf_dir, ["event_id"]).select("event_id", F.col("instrument"), F.col("observed_day").alias("as_of"))
+    found = ordered.latest(panels.event_labels(spark, sf_dir), rows, ["instrument"], "released_day", "as_of", ["observed_day"], ["observed_day", "released_day", "value"])
+    return _rounded(found)
+
+
 def corr_ratio_score(spark, sf_dir):
     return _rounded(metrics.correlation_ratio(metrics.daily_rank_correlation(_cells(spark, sf_dir))))
 
@@ -434,5 +469,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bootstrap_indices, bootstrap_draws, paired_interval, compare_variants, synthetic_panel, synthetic_panel_document, synthetic_forecast, synthetic_scores,
         outcome_histogram, membership_check, evidence_checks, replay_diff, row_fingerprint, text_pattern_scan, html_asset_refs, html_attributes, quoted_urls, review_coverage, review_project, label_stream_replay,
         available_keys, release_check_count, origin_lookup, series_extent, fold_offsets, manifest_diff, markup_totals, export_lines, guarded_targets,
+        long_date_ranks, long_date_corr, long_series_labels, latest_labels,
     ]
     return {"daily_rank_corr": flagship} | {f.__name__: f for f in found}

@@ -1,12 +1,14 @@
-"""Session factory for local runs; on a cluster, pass the session that exists."""
+"""Session factory for local runs, and tables in the shared folder; on a cluster, pass the session that exists."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, app: str = "tidemark", **conf: str) -> SparkSession:
@@ -48,4 +50,37 @@ def shared_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    for paths in _collecting:
+        paths.append(path)
     return path
+
+
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """Collects the paths that are given out meanwhile, for a caller who knows when to remove what is there."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.remove(paths)
+
+
+def written(df: DataFrame, label: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: a lineage cut that outlives executors."""
+    path = path or shared_path(df.sparkSession, label)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(path: str, spark: SparkSession) -> None:
+    """Removes a table of the shared folder that no plan will read again."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -64,12 +64,13 @@ def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("instrument", "observed_day", "released_day").agg(F.avg("value").alias("value"))
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events behind the labels, a row each."""
-    events = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
+def event_rows(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    """The events behind the labels, a row each, with the columns ``keep`` of the table."""
+    events = table(spark, sf_dir, "events").select(*(keep or []), "ts", "user_id", "event_type", "value")
     group = F.pmod("user_id", F.lit(8))
     day = (F.datediff("ts", F.lit(EVENTS_EPOCH)) + 1).cast("long")
     return events.select(
+        *(keep or []),
         F.concat_ws("_", "event_type", group.cast("string")).alias("instrument"),
         day.alias("observed_day"),
         (day + 1 + F.pmod(day + group, F.lit(5))).alias("released_day"),
