@@ -70,7 +70,7 @@ def test_panel_document(spark):
 
 
 def test_receipt_at_120(obs):
-    r = rolling.fits(obs, CONFIG).where("origin = 120").first()
+    r = rolling.fits(rolling.labels_of(obs, CONFIG), CONFIG).where("origin = 120").first()
     assert (r.first_origin, r.last_origin, r.max_release, r.rows, r.eligible_origins) == (40, 112, 120, 438, 73)
 
 

@@ -50,17 +50,6 @@ def single_starts(spark: SparkSession, n: int, block: int, repetitions: int, see
     return spark.createDataFrame(rows, STARTS)
 
 
-def arithmetic_starts(spark: SparkSession, folds: Sequence[int], blocks: Sequence[int], repetitions: int, seed: int) -> DataFrame:
-    """Starts that any engine can compute. Not random enough for inference; for comparing engines."""
-    _checked(folds, blocks, repetitions)
-    offsets = np.concatenate([[0], np.cumsum(folds)]).tolist()
-    table = [(b, f, n, int(offsets[f])) for b in blocks for f, n in enumerate(folds)]
-    dims = spark.createDataFrame(table, "block int, fold int, length int, fold_offset int")
-    expanded = dims.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("blk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / F.col("block")).cast("int") - 1)))
-    start = F.pmod(F.col("rep").cast("long") * 7919 + F.col("blk") * 104729 + F.col("fold") * 1299709 + seed, F.col("length").cast("long"))
-    return expanded.select("block", "rep", "fold", "length", "fold_offset", "blk", start.alias("start"))
-
-
 def positions(starts: DataFrame) -> DataFrame:
     """(block, rep, slot, pos): the position that each slot of a resample takes; a fold's blocks are cut to its length."""
     step = F.explode(F.sequence(F.lit(0), F.col("block") - 1))

@@ -61,6 +61,7 @@ def label_rows(obs: DataFrame, horizon: int, delay: int) -> DataFrame:
 
 def long_label_rows(obs: DataFrame, horizon: int, delay: int, size: int = 100_000, at: str | None = None) -> DataFrame:
     """The same for series of any length: each is cut into blocks of ``size`` steps with the steps around them that frames reach, a task each."""
-    kept = ["series_id", "series_pos", "t", "value"] + [at] * (at is not None and at != "t")
+    place = [at] * (at is not None and at != "t")
+    kept = ["series_id", "series_pos", "t", "value", *place]
     made = row_windows(obs.select(*kept), ["series_id"], ["t"], lambda w: [*_feature_columns(w), *_target_columns(w, horizon)], WARM_UP, horizon - 1, size, at)
-    return _ready(made.drop("value"), horizon, delay)
+    return _ready(made.drop("value", *place), horizon, delay)

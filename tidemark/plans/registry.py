@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import availability, bootstrap, diagnostics, evidence, features, metrics, ordered, provenance, review, rolling, scan
 from ..schemas import LABEL
-from ..session import shared_path
+from ..session import shared_path, written
 from ..sources import panels, synthetic
 from ..streaming import labels as streams
 from ..validate import alignment_violations, duplicate_keys, label_violations, missing_from, outside, panel_violations
@@ -218,39 +218,43 @@ def _weeks(spark, sf_dir) -> tuple[DataFrame, rolling.RollingConfig]:
     return obs, replace(CONFIG, end=obs.agg(F.max("t")).first()[0] + 1 - CONFIG.horizon)
 
 
-def _training(spark, sf_dir):
-    return rolling.training_rows(*_weeks(spark, sf_dir))
+def _labelled(spark, sf_dir) -> tuple[DataFrame, rolling.RollingConfig]:
+    """The label rows behind all fits of the weekly values."""
+    obs, config = _weeks(spark, sf_dir)
+    return rolling.labels_of(obs, config), config
 
 
 def training_rows_range_join(spark, sf_dir):
-    return _rounded(_training(spark, sf_dir).groupBy("origin", "series_id").agg(F.count("*").alias("n_rows"), F.sum("t").alias("sum_t"), F.avg("y").alias("mean_y")))
+    return _rounded(rolling.training_rows(*_weeks(spark, sf_dir)).groupBy("origin", "series_id").agg(F.count("*").alias("n_rows"), F.sum("t").alias("sum_t"), F.avg("y").alias("mean_y")))
 
 
 def fit_feature_stats(spark, sf_dir):
     """Every fit's feature means, scales and coefficients."""
-    found = rolling.fits(*_weeks(spark, sf_dir))
+    found = rolling.fits(*_labelled(spark, sf_dir))
     each = found.select("origin", "intercept", F.posexplode(F.arrays_zip("feature_mean", "feature_scale", "coefficients")).alias("feature", "v"))
     return _rounded(each.select("origin", "intercept", "feature", F.col("v.feature_mean").alias("mean"), F.col("v.feature_scale").alias("scale"), F.col("v.coefficients").alias("coefficient")))
 
 
 def fit_gram_moments(spark, sf_dir):
-    return _rounded(rolling.normal_equations(_training(spark, sf_dir), CONFIG.alpha))
+    return _rounded(rolling.normal_equations(*_labelled(spark, sf_dir)))
 
 
 def fit_receipts(spark, sf_dir):
-    return rolling.receipts(_training(spark, sf_dir)).withColumn("released_in_time", F.col("max_release") <= F.col("origin"))
+    return rolling.receipts(*_labelled(spark, sf_dir)).withColumn("released_in_time", F.col("max_release") <= F.col("origin"))
 
 
 def baseline_mean_forecast(spark, sf_dir):
-    return _rounded(rolling.baseline_means(_training(spark, sf_dir)).select("origin", "series_id", F.col("mean").alias("mean_forecast")))
+    return _rounded(rolling.baseline_means(*_labelled(spark, sf_dir)).select("origin", "series_id", F.col("mean").alias("mean_forecast")))
 
 
 def ridge_single_feature(spark, sf_dir):
-    return _rounded(rolling.single_feature_ridge(_training(spark, sf_dir), "f2", CONFIG.alpha))
+    rows, config = _labelled(spark, sf_dir)
+    return _rounded(rolling.single_feature_ridge(rows, "f2", config))
 
 
 def _forecasts(spark, sf_dir):
-    return rolling.forecasts(*_weeks(spark, sf_dir))
+    """All forecasts as a table: scores and slices read it more than once."""
+    return written(rolling.forecasts(*_weeks(spark, sf_dir)), "forecasts")
 
 
 def ridge_forecast(spark, sf_dir):
@@ -269,12 +273,16 @@ def slice_reconciliation(spark, sf_dir):
     return _rounded(diagnostics.reconciliation(diagnostics.slices(rolling.by_model(_forecasts(spark, sf_dir)))))
 
 
+VARIANTS = {"year": 12, "half": 6, "recent": 3}
+
+
 def _variants(spark, sf_dir):
-    """Daily correlations of three forecasts of different windows, on the dates that all of them have."""
-    base = panels.brand_month(spark, sf_dir)
-    parts = [metrics.daily_rank_correlation(panels.trailing_forecast(base, oldest, 2)).withColumn("variant", F.lit(name)) for name, oldest in (("year", 12), ("half", 6), ("recent", 3))]
-    daily = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("date_id") > 2)
-    return bootstrap.positioned(daily)
+    """Daily correlations of three forecasts of different windows, on the dates that all of them have, as a table."""
+    base, months = panels.brand_month(spark, sf_dir), Window.partitionBy("target").orderBy("date_id")
+    means = base.select("date_id", "target", F.col("value").alias("truth"), *(F.avg("value").over(months.rangeBetween(-n, -2)).alias(v) for v, n in VARIANTS.items()))
+    cells = means.unpivot(["date_id", "target", "truth"], list(VARIANTS), "variant", "prediction").where("prediction is not null")
+    daily = metrics.daily_rank_correlation(cells, ["variant"]).where(F.col("date_id") > 2)
+    return written(bootstrap.positioned(daily), "variants")
 
 
 def _starts(spark, blocks):
@@ -309,15 +317,15 @@ def synthetic_panel_document(spark, sf_dir):
 
 def release_check_count(spark, sf_dir):
     """How many fits trained only on labels released by their origin."""
-    receipts = rolling.receipts(_training(spark, sf_dir))
+    receipts = rolling.receipts(*_labelled(spark, sf_dir))
     return receipts.agg(F.count_if(F.col("max_release") <= F.col("origin")).alias("in_time"), F.count("*").alias("fits"))
 
 
 def origin_lookup(spark, sf_dir):
     """The receipt of the origin nearest to a request outside the evaluated range."""
-    obs, config = _weeks(spark, sf_dir)
+    rows, config = _labelled(spark, sf_dir)
     wanted = spark.range(1).select(scalars.clamp(F.lit(1000.4), config.start, config.end).alias("wanted"))
-    return rolling.receipts(rolling.training_rows(obs, config)).join(F.broadcast(wanted), F.col("origin") == F.col("wanted")).drop("wanted")
+    return rolling.receipts(rows, config).join(F.broadcast(wanted), F.col("origin") == F.col("wanted")).drop("wanted")
 
 
 def series_extent(spark, sf_dir):
