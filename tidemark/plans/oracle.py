@@ -203,6 +203,9 @@ def oracle_sql() -> dict[str, str]:
         "outcome_histogram": "SELECT o_orderstatus AS outcome, count(*) AS n FROM orders GROUP BY 1",
         "membership_check": "SELECT o_orderpriority AS name, count(*) AS n, 'not allowed' AS reason FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1 UNION ALL SELECT name, 0, 'required' FROM (VALUES ('1-URGENT'), ('9-NEVER')) v(name) WHERE name NOT IN (SELECT o_orderpriority FROM orders)",
         "replay_diff": f"WITH {CELLS}, {daily} SELECT date_id, CASE WHEN date_id > 80 THEN 'missing' ELSE 'differs' END AS reason, CASE WHEN date_id <= 80 THEN 'rho' END AS field FROM daily WHERE date_id > 80 OR date_id % 10 = 0",
+        "digest_tree_diff": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey = 7 THEN 'differs' ELSE 'missing' END AS reason, CASE WHEN l_orderkey = 7 THEN 'l_quantity' END AS field FROM lineitem WHERE l_orderkey IN (7, 33)
+            UNION ALL SELECT -l_orderkey, l_linenumber, l_partkey, l_suppkey, 'unexpected', NULL FROM lineitem WHERE l_orderkey = 1""",
+        "released_by_stream": f"WITH {EVENTS} SELECT CASE WHEN observed_day % 9 = 0 THEN 'late' ELSE 'released' END AS status, released_day, count(*) AS n, round(sum(value), 6) AS total FROM labels_ GROUP BY ALL",
         "row_fingerprint": "SELECT p_partkey, sha256(concat_ws('|', p_partkey::VARCHAR, p_name, p_brand, p_type, p_size::VARCHAR)) AS sha256 FROM part",
         "text_pattern_scan": r"""WITH f AS (SELECT doc_id, regexp_matches(text, '(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') AS credential,
             regexp_matches(text, '(?i)s3://|arn:aws(?:-[a-z]+)?:|/(?:home|workspace|mnt)/') AS locator, regexp_matches(text, '\b(?:fetch|XMLHttpRequest|WebSocket|EventSource|importScripts)\s*\(|\bsendBeacon\s*\(|\bimport\s*\(') AS network,

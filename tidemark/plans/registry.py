@@ -392,6 +392,16 @@ def replay_diff(spark, sf_dir):
     return provenance.differences(once, again, ["date_id"], ["n_observed", "rho"])
 
 
+def digest_tree_diff(spark, sf_dir):
+    """All line items against a copy with some quantities changed beyond and within the tolerance, some rows gone and one added: only their buckets are joined."""
+    items = panels.table(spark, sf_dir, "lineitem").select(*ITEM, "l_quantity", "l_extendedprice")
+    key = F.col("l_orderkey")
+    price = F.col("l_extendedprice")  # whole numbers have no tolerance
+    copy = items.where(key != 33).withColumns({"l_quantity": F.when(key == 7, F.col("l_quantity") + 0.5).otherwise(F.col("l_quantity")), "l_extendedprice": F.when((key == 69) & (price != F.floor(price)), price + 1e-9).otherwise(price)})
+    added = items.where(key == 1).withColumn("l_orderkey", -key)
+    return provenance.tree_differences(items, copy.unionByName(added), ITEM, ["l_quantity", "l_extendedprice"])
+
+
 def row_fingerprint(spark, sf_dir):
     parts = panels.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     return provenance.row_fingerprint(parts, ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]).select("p_partkey", "sha256")
@@ -468,6 +478,24 @@ def label_stream_replay(spark, sf_dir):
     return _rounded(spark.read.schema(LABEL).parquet(f"{base}/out").groupBy("released_day").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
 
 
+def released_by_stream(spark, sf_dir):
+    """Labels held in a stream's state until their release, with a stop and a restart in the middle; those of every ninth day arrive after it."""
+    base = shared_path(spark, "releases")
+    d = F.col("observed_day")
+    arrivals = panels.event_labels(spark, sf_dir).select("instrument", "observed_day", "released_day", "value", F.when(d % 9 == 0, d + 6).otherwise(d).alias("arrived_day"))
+    end = spark.range(1).select(F.lit("").alias("instrument"), F.lit(None).cast("long").alias("observed_day"), F.lit(None).cast("long").alias("released_day"), F.lit(None).cast("double").alias("value"), F.lit(10_000).cast("long").alias("arrived_day"))
+    rows = written(arrivals, "arrivals")
+    days = rows.agg(F.percentile_approx("arrived_day", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or []
+    bounds = [-1, *days, 1_000_000]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        part = rows.where((F.col("arrived_day") > low) & (F.col("arrived_day") <= high))
+        (part if high < 1_000_000 else part.unionByName(end)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if i in (1, len(bounds) - 2):  # the first two parts, then the others in a new query on the same checkpoint
+            streams.write_stream(streams.releases(streams.label_stream(spark, f"{base}/in", rows.schema)), f"{base}/out", f"{base}/state")
+    out = spark.read.parquet(f"{base}/out")
+    return _rounded(out.groupBy("status", "released_day").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         label_valid_rows, label_violation_rows, label_duplicate_keys, snapshot_available, snapshot_counts_mean, snapshots_all_days, guarded_read,
@@ -477,6 +505,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bootstrap_indices, bootstrap_draws, paired_interval, compare_variants, synthetic_panel, synthetic_panel_document, synthetic_forecast, synthetic_scores,
         outcome_histogram, membership_check, evidence_checks, replay_diff, row_fingerprint, text_pattern_scan, html_asset_refs, html_attributes, quoted_urls, review_coverage, review_project, label_stream_replay,
         available_keys, release_check_count, origin_lookup, series_extent, fold_offsets, manifest_diff, markup_totals, export_lines, guarded_targets,
-        long_date_ranks, long_date_corr, long_series_labels, latest_labels,
+        long_date_ranks, long_date_corr, long_series_labels, latest_labels, digest_tree_diff, released_by_stream,
     ]
     return {"daily_rank_corr": flagship} | {f.__name__: f for f in found}
