@@ -13,7 +13,7 @@ ones. The symbols of a context also occur after the shorter one, so what is to b
 
 Texts are cut to blocks of about ``BLOCK`` bytes, each with the grams and words that stand in it. These requests are what is shuffled: a
 gram moves once a block, not once an occurrence, so no key has more rows than there are blocks. Grams are counted
-over all blocks, each distinct gram is given its code length once, and blocks receive the code lengths they asked for.
+over all blocks, each distinct gram is given its code length once, and blocks receive the code lengths they asked for, packed.
 Then a task scores a block's texts with its own part of the trie; no task and not the driver holds the trie.
 
 Defined results: a null or empty text is the end mark alone; a null id is held out like an id of checksum 0 (the caller's
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import shared_path, shuffle_width, slices, utf8, written
 
 ORDER = 5
-BLOCK = 16 << 20
+BLOCK = 32 << 20
+#: Answers that a task packs at once.
+PACKED = 1 << 18
 #: Bytes that stand in no UTF-8 text.
 START, END = 0xFE, 0xFF
 SYMBOLS = 255  # all bytes but START
@@ -97,6 +100,10 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+#: Entries that a block gathers before it sums them up, and rows that a task gives out at once.
+GATHERED, GIVEN = 1 << 20, 1 << 15
+
+
 class _Block:
     """The grams and words of the texts of a block so far, with their counts in training texts."""
 
@@ -117,11 +124,19 @@ class _Block:
         for part, times in ((~held, 1), (held, 0)):
             counted = pc.value_counts(found.filter(pa.array(part[row])))
             self.words.append(pa.table({"word": counted.field("values"), "n": pa.array(counted.field("counts").to_numpy() * times)}))
+        if sum(len(k) for k, _ in self.grams) > GATHERED + 2 * len(self.grams[0][0]):
+            self._sum()
 
-    def requests(self) -> tuple[tuple[np.ndarray, np.ndarray], pa.Table]:
+    def _sum(self) -> None:
         keys, counts = (np.concatenate(x) for x in zip(*self.grams, strict=True))
-        ends = pa.table({"word": pa.array([b""], pa.binary()), "n": pa.array([self.trained], pa.int64())})
-        return _summed(keys, counts.astype(np.int64)), pa.concat_tables([*self.words, ends]).group_by("word").aggregate([("n", "sum")])
+        self.grams = [_summed(keys, counts.astype(np.int64))]
+        self.words = [pa.concat_tables(self.words).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+
+    def requests(self) -> tuple[tuple[np.ndarray, np.ndarray], pa.Table]:
+        """All grams with their counts, and all words, the end mark as the empty one."""
+        self.words.append(pa.table({"word": pa.array([b""], pa.binary()), "n": pa.array([self.trained], pa.int64())}))
+        self._sum()
+        return self.grams[0], self.words[0]
 
 
 def _cut(order: int, size: int):
@@ -136,9 +151,11 @@ def _cut(order: int, size: int):
 
         def asked() -> Iterator[pa.RecordBatch]:
             (keys, counts), table = block.requests()
-            yield rows("grams", len(keys), gram=pa.array(keys), n=pa.array(counts))
-            table = table.combine_chunks()
-            yield rows("words", len(table), word=table["word"].combine_chunks(), n=table["n_sum"].combine_chunks())
+            for i in range(0, len(keys), GIVEN):
+                part_keys = keys[i : i + GIVEN]
+                yield rows("grams", len(part_keys), gram=pa.array(part_keys), n=pa.array(counts[i : i + GIVEN]))
+            for some in table.combine_chunks().to_batches(GIVEN):
+                yield rows("words", some.num_rows, word=some.column("word"), n=some.column("n"))
 
         for whole in batches:
             for batch in slices([whole], "text"):
@@ -155,6 +172,7 @@ def _cut(order: int, size: int):
                     number, block = number + 1, _Block(order)
         if block.held or block.trained:
             yield from asked()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
@@ -207,23 +225,77 @@ def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
     return seen.unionAll(rows.select("gram", (F.col("value") + rest).alias("value")))
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """8-byte numbers, all first bytes first, then all second ones: neighbours are alike."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def pack(keys: np.ndarray | list[bytes], values: np.ndarray) -> bytes:
+    """Keys, grams or words, with their values (code lengths, counts), compressed; in any order of keys."""
+    if isinstance(keys, list):
+        head, body = _planes(values), b" ".join(keys)
+    else:
+        order = np.argsort(keys)
+        head, body = _planes(values[order]), _planes(np.diff(keys[order], prepend=0))
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(values)).tobytes() + head + body)
+
+
+def unpack(packed: bytes, of_words: bool) -> tuple[np.ndarray | list[bytes], np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    head, body = raw[8 : 8 + 8 * n], raw[8 + 8 * n :]
+    return (body.split(b" "), _numbers(head, np.int64)) if of_words else (np.cumsum(_numbers(body, np.int64)), _numbers(head, np.float64))
+
+
+def _packs(part: int):
+    """(block, key, value) as packs, a few for each block and task."""
+
+    def packs(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(tables)
+        blocks = table["block"].to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        keys = table["key"].take(pa.array(order)).to_pylist() if part else table["key"].to_numpy()[order]
+        values, blocks = table["value"].to_numpy()[order], blocks[order]
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        found = [pack(keys[a:b], values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(blocks[cuts[:-1]]), pa.array(np.full(len(found), part, np.int32)), pa.array(found, pa.binary())], names=["block", "part", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n >= PACKED:
+                yield packs(waiting)
+                waiting, n = [], 0
+        if n:
+            yield packs(waiting)
+
+    return run
+
+
 class _Known:
-    """A block's code lengths and word values."""
+    """A block's code lengths and word counts."""
 
     def __init__(self) -> None:
-        self.parts: dict[int, list[pa.RecordBatch]] = {0: [], 1: []}
+        self.packs: tuple[list[bytes], list[bytes]] = ([], [])
 
-    def ready(self) -> None:
-        column = lambda part, name: pa.concat_arrays([b.column(name) for b in self.parts[part]])
-        keys, values = column(0, "gram").to_numpy(zero_copy_only=False), column(0, "value").to_numpy(zero_copy_only=False)
+    def ready(self, total: int, distinct: int) -> None:
+        keys, values = (np.concatenate(x) for x in zip(*(unpack(p, False) for p in self.packs[0]), strict=True))
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
-        self.words, self.word_values, self.known = column(1, "word"), column(1, "value").to_numpy(zero_copy_only=False), column(1, "known").to_numpy(zero_copy_only=False).astype(bool)
+        found = [unpack(p, True) for p in self.packs[1]]
+        self.words, counts = pa.array([w for ws, _ in found for w in ws], pa.binary()), np.concatenate([c for _, c in found])
+        self.known, self.word_values = counts > 0, np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1)))
         self.end = pc.index(self.words, pa.scalar(b"", pa.binary())).as_py()
-        self.parts = {0: [], 1: []}
+        self.packs = ([], [])
 
 
-def _scored(order: int, trained: int):
+def _scored(order: int, total: int, distinct: int):
     names = ["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +309,10 @@ def _scored(order: int, trained: int):
                 if blocks[a] != block:
                     block, known, filled = blocks[a], _Known(), False
                 if parts[a] < 2:
-                    known.parts[int(parts[a])].append(batch.slice(a, b - a).select(["gram", "word", "value", "known"]))
+                    known.packs[int(parts[a])].extend(batch.column("packed").slice(a, b - a).to_pylist())
                     continue
                 if not filled:
-                    known.ready()
+                    known.ready(total, distinct)
                     filled = True
                 for docs in slices([batch.slice(a, b - a)], "text"):
                     n = docs.num_rows
@@ -253,7 +325,7 @@ def _scored(order: int, trained: int):
                     base = per_row(known.word_values[which]) + known.word_values[known.end]
                     n_known = per_row(known.known[which]).astype(np.int64) + int(known.known[known.end])
                     tokens = np.bincount(row, minlength=n).astype(np.int64) + 1
-                    yield pa.RecordBatch.from_arrays([docs.column("k"), docs.column("held"), pa.array(tokens), pa.array(n_known), pa.array(np.full(n, trained, np.int64)), pa.array(base), pa.array(score)], names=names)
+                    yield pa.RecordBatch.from_arrays([docs.column("k"), docs.column("held"), pa.array(tokens), pa.array(n_known), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score)], names=names)
 
     return run
 
@@ -273,13 +345,15 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     lengths = code_lengths(counted, order)
     counts = written(asked_words.groupBy("word").agg(F.sum("n").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    unigram = counts.select("word", F.log10((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1))).alias("value"), (F.col("c") > 0).alias("known"))
-
-    empty = {"gram": "long", "word": "binary", "value": "double", "known": "boolean", "k": k, "held": "boolean", "text": "binary"}
-    shaped = lambda rows, part: rows.select("block", F.lit(part).alias("part"), *((F.col(c) if c in rows.columns else F.lit(None).cast(t)).alias(c) for c, t in empty.items()))
-    parts = [asked_grams.select("block", "gram").join(lengths, "gram"), asked_words.select("block", "word").join(unigram, "word"), texts.select("block", "k", "held", "text")]
-    whole = shaped(parts[0], 0).unionAll(shaped(parts[1], 1)).unionAll(shaped(parts[2], 2))
+    answers = [
+        asked_grams.select("block", "gram").join(lengths, "gram").select("block", F.col("gram").alias("key"), "value"),
+        asked_words.select("block", "word").join(counts, "word").select("block", F.col("word").alias("key"), F.col("c").alias("value")),
+    ]
+    packs = [rows.mapInArrow(_packs(part), "block long, part int, packed binary") for part, rows in enumerate(answers)]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    asked = packs[0].unionAll(packs[1]).select("*", none(k, "k"), none("boolean", "held"), none("binary", "text"))
+    whole = asked.unionAll(texts.select("block", F.lit(2).alias("part"), none("binary", "packed"), "k", "held", "text"))
     width = shuffle_width(spark)
     dealt = whole.repartitionById(width, (F.col("block") % width).cast("int")).sortWithinPartitions("block", "part")
-    found = dealt.mapInArrow(_scored(order, total), f"k {k}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = dealt.mapInArrow(_scored(order, total, distinct), f"k {k}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return found.select("k.*", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
