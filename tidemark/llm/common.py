@@ -1,73 +1,15 @@
-"""What the operators share: the shared folder, tables kept there, and Arrow helpers."""
+"""What the operators share: tables in the shared folder, and Arrow helpers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
+from ..session import collecting, remove, shared_dir, shared_path, shuffle_width, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a folder of its own (tests); any other master must name
-    one, as a machine's own temporary folder is not seen by the other machines.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    for paths in _collecting:
-        paths.append(path)
-    return path
-
-
-_collecting: list[list[str]] = []
-
-
-@contextmanager
-def collecting() -> Iterator[list[str]]:
-    """Collects the paths that are given out meanwhile, for a caller who knows when to remove what is there."""
-    paths: list[str] = []
-    _collecting.append(paths)
-    try:
-        yield paths
-    finally:
-        _collecting.remove(paths)
-
-
-def written(df: DataFrame, label: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: a lineage cut that outlives executors."""
-    path = path or shared_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(path: str, spark: SparkSession) -> None:
-    """Removes a table of the shared folder that no plan will read again."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["collecting", "remove", "row_hash_order", "shared_dir", "shared_path", "shuffle_width", "slices", "strings", "utf8", "written"]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
