@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import shared_path, written
 
 CRLF = "\r\n"
 ARCHIVED_AT = "1970-01-01T00:00:00Z"
@@ -52,9 +52,9 @@ def _digested(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = 0) -> None:
     """Writes the tables ``path/payloads`` and ``path/records``."""
     rows = _digested(pages, key, url, html)
-    # A response for each digest; its payload comes from the row (or equal rows) with the largest key. Both joins
-    # and the duplicates' removal need the same two columns, so a payload is shuffled once.
-    owners = rows.select("key", "digest").groupBy("digest").agg(F.max("key").alias("owner"))
+    # A response for each digest; its payload comes from the row (or equal rows) with the largest key. The owners are
+    # a table, so that both joins are of two plain exchanges, of which adaptive execution splits a very common digest.
+    owners = written(rows.select("key", "digest").groupBy("digest").agg(F.max("key").alias("owner")), "owners")
     no_key = F.lit(-(1 << 63)).cast("long")
     winners = owners.select(F.col("digest").alias("w_digest"), F.coalesce("owner", no_key).alias("w_key"))
     stored = (
