@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash_order, shuffle_width
+from .common import row_hash_order, shuffle_width, written
 
 #: Keys per range looked at for the ranges' bounds.
 BOUND_KEYS = 10
@@ -139,11 +139,11 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, keys: list[str], default: str = "allow", unknown_host: str = "block") -> DataFrame:
     """``keys`` of every row with its host, path, rule (null if none fits) and verdict.
 
-    The join back is by URL over all rows; a very common URL makes a skewed key, which adaptive
-    execution splits.
+    The join back is by URL over all rows. What rules say of the distinct URLs is written first, so that this is a
+    join of two plain exchanges, of which adaptive execution splits a very common URL.
     """
     host, path = split_url(F.col("url"))
-    matched = match_rules(pages, rules).withColumnRenamed("url", "__url")
+    matched = written(match_rules(pages, rules), "matched").withColumnRenamed("url", "__url")
     rows = pages.select(*keys, F.col("url").alias("__page_url"), host.alias("host"), path.alias("path"))
     joined = rows.join(matched, F.col("__page_url") == F.col("__url"), "left")
     verdict = F.when(F.col("blocks"), "block").when(~F.col("blocks"), "allow").when(F.col("host") == "", unknown_host).otherwise(default)
