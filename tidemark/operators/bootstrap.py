@@ -1,24 +1,24 @@
 """Paired circular block bootstrap of correlation ratios.
 
-The starts of blocks are drawn on the driver (a few numbers for each repetition, so that they equal
-numpy's stream); everything that grows with dates and repetitions is a plan: starts are expanded to
-positions, joined with the daily values and aggregated. One set of positions serves all variants.
-Blocks wrap within their fold and never cross into another.
+The starts of blocks are numpy's own stream, made where they are used: a generator jumps ahead, so each task draws its
+stretch of the one sequence. Starts are expanded to positions, joined with the daily values and aggregated. One set of
+positions serves all variants. Blocks wrap within their fold and never cross into another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LEAST_DEVIATION, ratio
+from ..session import shuffle_width
 from ..validate import ValidationError, require, whole_number
 
-STARTS = "block int, rep int, fold int, length int, fold_offset int, blk int, start long"
-
 
 def _checked(folds: Sequence[int], blocks: Iterable[int], repetitions: int) -> None:
     whole_number(repetitions, 1, "repetitions")
@@ -28,26 +28,82 @@ def _checked(folds: Sequence[int], blocks: Iterable[int], repetitions: int) -> N
         raise ValidationError("folds need at least two dates each")
 
 
+#: Draws that a task makes at once, and so many that are looked through for rejected numbers on the driver.
+STRETCH = 1 << 16
+
+
+def raw_numbers(seed: int, start: int, count: int) -> np.ndarray:
+    """32-bit numbers ``start`` to ``start`` + ``count`` of the generator's stream; each of its 64-bit outputs gives two, the low half first."""
+    bits = np.random.PCG64(seed)
+    bits.advance(start // 2)
+    return bits.random_raw((start + count + 1) // 2 - start // 2).astype("<u8").view("<u4")[start % 2 :][:count]
+
+
+def bounded(raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below ``n`` and whether each is used: the high half of raw x n, refused where the low half is among the 2**32 % n that would favour some."""
+    product = raw.astype(np.uint64) * np.uint64(n)
+    return (product >> np.uint64(32)).astype(np.int64), (product & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % n)
+
+
+def _refused(spark: SparkSession, seed: int, start: int, count: int, n: int) -> list[int]:
+    """Places of the numbers from ``start`` on that are refused: about ``count`` x ``n`` / 2**32 of them."""
+
+    def places(a: int) -> np.ndarray:
+        return start + a + np.flatnonzero(~bounded(raw_numbers(seed, start + a, min(STRETCH, count - a)), n)[1])
+
+    if count <= STRETCH:
+        return places(0).tolist()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in f["id"]:
+                yield pd.DataFrame({"place": places(int(i) * STRETCH)})
+
+    return sorted(r.place for r in spark.range(-(-count // STRETCH)).mapInPandas(run, "place long").collect())
+
+
+def bounded_draws(spark: SparkSession, seed: int, start: int, count: int, n: int) -> tuple[DataFrame, int]:
+    """(draw, start): ``count`` numbers below ``n`` as numpy's ``integers`` draws them from place ``start`` of the stream on, and the place after them."""
+    refused, end, more = [], start, count
+    while more:
+        found = _refused(spark, seed, end, more, n)
+        refused, end, more = refused + found, end + more, len(found)
+    # Before draw j the numbers are refused whose place, less those refused before it, is at most j.
+    passed = np.array(refused, np.int64) - start - np.arange(len(refused))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in f["id"]:
+                draw = np.arange(int(i) * STRETCH, min(count, (int(i) + 1) * STRETCH))
+                place = start + draw + np.searchsorted(passed, draw, "right")
+                raw = raw_numbers(seed, int(place[0]), int(place[-1] - place[0]) + 1)
+                yield pd.DataFrame({"draw": draw, "start": bounded(raw[place - place[0]], n)[0]})
+
+    stretches = -(-count // STRETCH)
+    return spark.range(0, stretches, 1, max(1, min(stretches, shuffle_width(spark)))).mapInPandas(run, "draw long, start long"), end
+
+
 def fold_starts(spark: SparkSession, folds: Sequence[int], blocks: Sequence[int], repetitions: int, seed: int) -> DataFrame:
-    """Block starts for each fold: a matrix (repetitions, blocks of the fold) a fold, the generator seeded anew for each block size."""
+    """Block starts for each fold: a matrix (repetitions, blocks of the fold) a fold, the generator seeded anew for each block size.
+
+    Equal to numpy's ``default_rng(seed).integers`` called fold by fold, for any number of repetitions.
+    """
     _checked(folds, blocks, repetitions)
-    rows = []
+    parts = []
     for block in blocks:
-        rng = np.random.default_rng(seed)
-        offset = 0
+        at = offset = 0
         for fold, length in enumerate(folds):
-            starts = rng.integers(0, length, size=(repetitions, -(-length // block)))
-            rows += [(block, r, fold, length, offset, b, int(s)) for r, line in enumerate(starts) for b, s in enumerate(line)]
+            n = -(-length // block)
+            drawn, at = bounded_draws(spark, seed, at, repetitions * n, length)
+            fixed = [F.lit(v).cast("int").alias(c) for c, v in (("block", block), ("fold", fold), ("length", length), ("fold_offset", offset))]
+            parts.append(drawn.select(fixed[0], F.floor(F.col("draw") / n).cast("int").alias("rep"), *fixed[1:], (F.col("draw") % n).cast("int").alias("blk"), "start"))
             offset += length
-    return spark.createDataFrame(rows, STARTS)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def single_starts(spark: SparkSession, n: int, block: int, repetitions: int, seed: int) -> DataFrame:
-    """Block starts over one population, drawn one repetition after another."""
-    _checked([n], [block], repetitions)
-    rng = np.random.default_rng(seed)
-    rows = [(block, r, 0, n, 0, b, int(s)) for r in range(repetitions) for b, s in enumerate(rng.integers(0, n, size=-(-n // block)))]
-    return spark.createDataFrame(rows, STARTS)
+    """Block starts over one population, drawn one repetition after another, which is one fold's matrix."""
+    return fold_starts(spark, [n], [block], repetitions, seed)
 
 
 def positions(starts: DataFrame) -> DataFrame:

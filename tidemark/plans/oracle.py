@@ -211,10 +211,14 @@ def oracle_sql() -> dict[str, str]:
             regexp_matches(text, '(?i)s3://|arn:aws(?:-[a-z]+)?:|/(?:home|workspace|mnt)/') AS locator, regexp_matches(text, '\b(?:fetch|XMLHttpRequest|WebSocket|EventSource|importScripts)\s*\(|\bsendBeacon\s*\(|\bimport\s*\(') AS network,
             regexp_matches(text, '(?i)(?:password|secret|token|key)\s*[:=]\s*["''][^"'']{8,}["'']') AS assignment FROM documents) SELECT * FROM f WHERE credential OR locator OR network OR assignment""",
         "html_asset_refs": f"WITH {REFS} SELECT page_id, kind, reference, scheme, host, path, url_decode(path) AS decoded_path, fragment, scheme = '' AND host = '' AS local, count(*) AS n FROM parts GROUP BY ALL",
-        "html_attributes": r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[A-Za-z][A-Za-z0-9:-]*(?:[\s/]+(?:[^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+))?)?)*>')) AS tag FROM pages),
-            a AS (SELECT page_id, lower(regexp_extract(tag, '^<([^\s/>]+)', 1)) AS tag, unnest(regexp_extract_all(tag, '[\s/][^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''=<>`]+))?')) AS a FROM t),
-            s AS (SELECT page_id, tag, lower(regexp_extract(a, '[\s/]([^\s"''<>/=]+)', 1)) AS attribute, CASE WHEN contains(a, '=') THEN regexp_replace(regexp_extract(a, '(?s)=\s*(.*)$', 1), '(?s)^["''](.*)["'']$', '\1') END AS raw FROM a)
-            SELECT page_id, tag, attribute, replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&') AS value, count(*) AS n FROM s GROUP BY ALL""",
+        # Not the engine's way: comments and the texts of scripts and styles are cut out, then pieces between the opening brackets are read.
+        "html_attributes": r"""WITH c AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+            s AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)(<script[^>]*>).*?</script', '\1</script', 'g'), '(?is)(<style[^>]*>).*?</style', '\1</style', 'g') AS h FROM c),
+            p AS (SELECT page_id, unnest(string_split(h, '<')[2:]) AS piece FROM s),
+            t AS (SELECT page_id, lower(regexp_extract(piece, '^([A-Za-z][^\s/>]*)', 1)) AS tag, regexp_extract(piece, '^[A-Za-z][^\s/>]*([^>]*)>', 1) AS held FROM p WHERE regexp_matches(piece, '^[A-Za-z]')),
+            a AS (SELECT page_id, tag, unnest(regexp_extract_all(held, '[^\s/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"'']+))?')) AS pair FROM t),
+            v AS (SELECT page_id, tag, lower(trim(split_part(pair, '=', 1))) AS attribute, CASE WHEN contains(pair, '=') THEN trim(substr(pair, instr(pair, '=') + 1)) END AS raw FROM a)
+            SELECT page_id, tag, attribute, CASE WHEN left(raw, 1) IN ('"', chr(39)) THEN substr(raw, 2, length(raw) - 2) ELSE raw END AS value, count(*) AS n FROM v GROUP BY ALL""",
         "quoted_urls": """SELECT page_id, replace(url_encode(url), '%2F', '/') AS quoted, url AS back, replace(replace(replace(replace(replace('<a title=' || chr(39) || url || chr(39) || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped FROM pages WHERE url IS NOT NULL""",
         "review_coverage": f"""WITH {COMMANDS}, k AS (SELECT CASE WHEN place = 4 THEN 99 ELSE place END AS place, id, place % 7 = 6 AS other, place % 11 = 5 AS failed FROM commands WHERE place <> 3)
             SELECT place, coalesce(c.id, k.id) AS id, CASE WHEN k.id IS NULL THEN 'not run' WHEN c.id IS NULL THEN 'not configured' WHEN other THEN 'another call' WHEN failed THEN 'not passed' END AS reason FROM commands c FULL JOIN k USING (place) WHERE k.id IS NULL OR c.id IS NULL OR other OR failed""",
@@ -231,6 +235,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT '0-head' AS part, '' AS series_id, 0 AS place, 'SYNTHETIC_ONLY' AS scope, 5.0::DOUBLE AS horizon, 3.0::DOUBLE AS delay, 'ridge' AS model, 120.0::DOUBLE AS forecast_origin, NULL::DOUBLE AS value, NULL::DOUBLE AS actual, NULL::DOUBLE AS ridge, NULL::DOUBLE AS mean, NULL::DOUBLE AS target_end, NULL::DOUBLE AS released_day
             UNION ALL SELECT '1-observation', series_id, t, NULL, NULL, NULL, NULL, NULL, round(value, 6), NULL, NULL, NULL, NULL, NULL FROM obs
             UNION ALL SELECT '2-forecast', series_id, origin, NULL, NULL, NULL, NULL, NULL, NULL, round(actual, 6), round(ridge, 6), round(mean, 6), target_end::DOUBLE, released_day::DOUBLE FROM forecasts WHERE origin <= 219""",
+        "forecast_export": f"WITH {SEGMENT}, {RIDGE} SELECT row_number() OVER (ORDER BY origin, series_id) - 1 AS place, series_id, origin, {_r({'actual': 10, 'ridge': 6, 'mean': 6, 'zero': 6})}, target_end, released_day FROM forecasts",
+        "prefix_compare": f"""WITH a AS MATERIALIZED (WITH {SEGMENT}, {RIDGE} SELECT * FROM forecasts), b AS MATERIALIZED (WITH {SEGMENT.replace('coalesce(value, 0.0) AS value', 'coalesce(value, 0.0) + CASE WHEN t >= 200 THEN 5.0 ELSE 0.0 END AS value')}, {RIDGE} SELECT * FROM forecasts)
+            SELECT CASE WHEN origin <= 200 THEN 'before' ELSE 'after' END AS period, count(*) AS compared, {', '.join(f'count(*) FILTER (abs(a.{c} - b.{c}) > 1e-10 * (1 + abs(a.{c}))) AS {c}_differs' for c in ('actual', 'ridge', 'mean'))} FROM a JOIN b USING (series_id, origin) GROUP BY ALL""",
+        "published_months": "WITH m AS (SELECT strftime(o_orderdate, '%Y/%m') || '.txt' AS path, count(*) || ' ' || sum(o_custkey) AS content FROM orders GROUP BY 1) SELECT path, strlen(content) AS length, sha256(content) AS sha256 FROM m",
+        "order_elements": """WITH o AS (SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 1)
+            SELECT key, CASE WHEN key % 50 = 3 THEN 0 ELSE 3 + 2 * n END AS n_elements, CASE WHEN key % 50 <> 3 THEN 3 END AS depth, (key % 50 = 3)::BIGINT AS n_errors, CASE WHEN key % 50 = 3 THEN 0 ELSE n END AS n_inside FROM o""",
         "release_check_count": f"WITH {SEGMENT}, r AS (SELECT origin, max(released_day) AS m FROM training GROUP BY origin) SELECT count(*) FILTER (m <= origin) AS in_time, count(*) AS fits FROM r",
         "origin_lookup": f"WITH {SEGMENT} SELECT origin, count(*) AS n_rows, min(t) AS first_origin, max(t) AS last_origin, max(released_day) AS max_release, count(DISTINCT t) AS eligible_origins FROM training WHERE origin = (SELECT max(origin) FROM origins) GROUP BY origin",
         "series_extent": f"WITH {SEGMENT} SELECT series_id, min(t) AS first_t, max(t) AS last_t, round(min(value), 10) AS low, round(max(value), 10) AS high FROM obs GROUP BY series_id",

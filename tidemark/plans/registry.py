@@ -12,7 +12,7 @@ from ..functions import scalars
 from ..operators import availability, bootstrap, diagnostics, evidence, features, metrics, ordered, provenance, review, rolling, scan
 from ..schemas import LABEL
 from ..session import shared_path, written
-from ..sources import panels, synthetic
+from ..sources import panels, published, synthetic
 from ..streaming import labels as streams
 from ..validate import alignment_violations, duplicate_keys, label_violations, missing_from, outside, panel_violations
 
@@ -361,6 +361,54 @@ def export_lines(spark, sf_dir):
     return _rounded(read.select("part", "series_id", "place", "x.scope", "x.config.horizon", "x.config.delay", "x.review.model", "x.review.forecast_origin", "x.value", "x.actual", "x.ridge", "x.mean", "x.target_end", "x.released_day"))
 
 
+def forecast_export(spark, sf_dir):
+    """All forecasts of the weekly values as the lines of one document, written and read again by place."""
+    path = shared_path(spark, "export")
+    provenance.placed_lines(_forecasts(spark, sf_dir), ["origin", "series_id"]).write.parquet(path)
+    kinds = "series_id string, origin int, actual double, ridge double, mean double, zero double, target_end int, released_day int"
+    return _rounded(spark.read.parquet(path).select("place", F.from_json("line", kinds).alias("x")).select("place", "x.*"), exact=("actual",))
+
+
+#: The day from which the second run of the prefix comparison sees other values.
+CHANGED_FROM = 200
+
+
+def prefix_compare(spark, sf_dir):
+    """Two runs of all forecasts, of which the second has other values from a day on: which forecasts differ before and after it."""
+    obs, config = _weeks(spark, sf_dir)
+    once = written(rolling.forecasts(obs, config), "forecasts")
+    later = obs.withColumn("value", F.col("value") + F.when(F.col("t") >= CHANGED_FROM, 5.0).otherwise(0.0))
+    again = written(rolling.forecasts(later, config), "forecasts")
+    fields = ["actual", "ridge", "mean"]
+    found = provenance.tree_differences(once, again, ["series_id", "origin"], fields, leaves=256)
+    period = F.when(F.col("origin") <= CHANGED_FROM, "before").otherwise("after").alias("period")
+    differing = found.groupBy(period).agg(*(F.count_if(F.col("field") == f).alias(f"{f}_differs") for f in fields))
+    compared = once.groupBy(period).agg(F.count("*").alias("compared"))
+    return compared.join(differing, "period", "left").fillna(0)
+
+
+def published_months(spark, sf_dir):
+    """A file for each month of orders, published at once and read back."""
+    path = shared_path(spark, "published")
+    month = F.date_format("o_orderdate", "yyyy/MM")
+    rows = panels.table(spark, sf_dir, "orders").groupBy(F.concat(month, F.lit(".txt")).alias("name")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
+    published.publish_files(rows.select("name", F.encode(F.concat_ws(" ", "n", "keys"), "UTF-8").alias("content")), path)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"([0-9]+/[0-9]+\.txt)$", 1)
+    return provenance.file_digests(read.withColumn("path", name))
+
+
+def order_elements(spark, sf_dir):
+    """Orders as XML documents, of which some lack their end: elements, items inside the item list, depth, and what can't be read."""
+    items = panels.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    item = F.transform("items", lambda i: F.concat(F.lit("<i:item xmlns:i='urn:item' n='"), i["l_linenumber"].cast("string"), F.lit("'><part>"), i["l_partkey"].cast("string"), F.lit("</part></i:item>")))
+    document = F.concat(F.lit("<order><!-- <item/> <script/> --><items>"), F.array_join(item, ""), F.lit("</items><end/>"), F.when(F.col("l_orderkey") % 50 == 3, "").otherwise("</order>"))
+    found = written(scan.elements(items.select(F.col("l_orderkey").alias("key"), document.alias("document")), "key", "document"), "elements")
+    inside = scan.within(found.where("name = 'item' and namespace = 'urn:item'"), found.where("name = 'items'"), "key").groupBy("key").agg(F.count("*").alias("n_inside"))
+    counted = found.groupBy("key").agg(F.count("pre").alias("n_elements"), F.max("depth").alias("depth"), F.count("error").alias("n_errors"))
+    return counted.join(inside, "key", "left").fillna(0, ["n_inside"])
+
+
 def outcome_histogram(spark, sf_dir):
     return evidence.outcome_histogram(panels.table(spark, sf_dir, "orders"), "o_orderstatus")
 
@@ -506,5 +554,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         outcome_histogram, membership_check, evidence_checks, replay_diff, row_fingerprint, text_pattern_scan, html_asset_refs, html_attributes, quoted_urls, review_coverage, review_project, label_stream_replay,
         available_keys, release_check_count, origin_lookup, series_extent, fold_offsets, manifest_diff, markup_totals, export_lines, guarded_targets,
         long_date_ranks, long_date_corr, long_series_labels, latest_labels, digest_tree_diff, released_by_stream,
+        forecast_export, prefix_compare, published_months, order_elements,
     ]
     return {"daily_rank_corr": flagship} | {f.__name__: f for f in found}
