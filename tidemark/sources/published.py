@@ -50,6 +50,8 @@ class PublishedWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path = path.rstrip("/")
         self.run = uuid.uuid4().hex
+        files, _, stage = self._places()
+        files.create_dir(stage)  # on the driver: tasks don't make it, so one that goes on after an abort finds no place to write
 
     def _places(self) -> tuple[fs.FileSystem, str, str]:
         files, target = _opened(self.path)
@@ -58,10 +60,15 @@ class PublishedWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Staged:
         files, _, stage = self._places()
         folder, names = f"{stage}/{uuid.uuid4().hex}", []  # an attempt's own
+        made = {stage}
         for row in iterator:
-            at = f"{folder}/{safe(row.name)}"
-            files.create_dir(posixpath.dirname(at))
-            with files.open_output_stream(at) as out:
+            parts = safe(row.name).split("/")
+            for i in range(len(parts)):
+                above = "/".join([folder, *parts[:i]])
+                if above not in made:
+                    files.create_dir(above, recursive=False)
+                    made.add(above)
+            with files.open_output_stream(f"{folder}/{row.name}") as out:
                 out.write(bytes(row.content or b""))
             names.append(row.name)
         return Staged(folder, names)
