@@ -145,6 +145,6 @@ def judge(pages: DataFrame, rules: DataFrame, keys: list[str], default: str = "a
     host, path = split_url(F.col("url"))
     matched = written(match_rules(pages, rules), "matched").withColumnRenamed("url", "__url")
     rows = pages.select(*keys, F.col("url").alias("__page_url"), host.alias("host"), path.alias("path"))
-    joined = rows.join(matched, F.col("__page_url") == F.col("__url"), "left")
+    joined = rows.join(matched.hint("merge"), F.col("__page_url") == F.col("__url"), "left")
     verdict = F.when(F.col("blocks"), "block").when(~F.col("blocks"), "allow").when(F.col("host") == "", unknown_host).otherwise(default)
     return joined.select(*keys, "host", "path", "rule", verdict.alias("verdict"))
