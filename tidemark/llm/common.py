@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
 from ..session import collecting, remove, shared_dir, shared_path, shuffle_width, written
 
-__all__ = ["collecting", "remove", "row_hash_order", "shared_dir", "shared_path", "shuffle_width", "slices", "strings", "utf8", "written"]
+__all__ = ["collecting", "remove", "row_hash_order", "shared_dir", "shared_path", "shuffle_width", "slices", "strings", "tidy", "utf8", "written"]
+
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Kernel) -> Kernel:
+    """``run``, after which its worker gives back what it held: workers live on, and what they keep adds up over stages."""
+
+    @wraps(run)
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+    return to_the_end
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

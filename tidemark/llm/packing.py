@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shuffle_width, slices, utf8, written
+from .common import shuffle_width, slices, tidy, utf8, written
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -114,7 +114,7 @@ def token_table(docs: DataFrame, key: str, text: str, source: str, vocabulary: s
                 names=["doc_id", "source", "ids", "n_tokens"],
             )
 
-    return picked.mapInArrow(run, "doc_id long, source string, ids binary, n_tokens long")
+    return picked.mapInArrow(tidy(run), "doc_id long, source string, ids binary, n_tokens long")
 
 
 def round_robin(totals: np.ndarray, share: np.ndarray, deficit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -252,4 +252,4 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         if held_rows:
             yield from packed(held_rows)
 
-    return dealt.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return dealt.mapInArrow(tidy(run), PIECES + (", ids binary" if with_ids else ""))

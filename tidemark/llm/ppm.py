@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, shuffle_width, slices, utf8, written
+from .common import shared_path, shuffle_width, slices, tidy, utf8, written
 
 ORDER = 5
 BLOCK = 32 << 20
@@ -172,7 +172,6 @@ def _cut(order: int, size: int):
                     number, block = number + 1, _Block(order)
         if block.held or block.trained:
             yield from asked()
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return run
 
@@ -337,7 +336,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     k = rows.schema["k"].dataType.simpleString()
     schema = f"kind string, block long, k {k}, held boolean, text binary, gram long, word binary, n long"
     path = shared_path(spark, "blocks")
-    rows.mapInArrow(_cut(order, block), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    rows.mapInArrow(tidy(_cut(order, block)), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     table = spark.read.schema(schema).parquet(path)
     asked_grams, asked_words, texts = (table.where(F.col("kind") == kind) for kind in ("grams", "words", "docs"))
 
@@ -349,11 +348,11 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
         asked_grams.select("block", "gram").join(lengths, "gram").select("block", F.col("gram").alias("key"), "value"),
         asked_words.select("block", "word").join(counts, "word").select("block", F.col("word").alias("key"), F.col("c").alias("value")),
     ]
-    packs = [rows.mapInArrow(_packs(part), "block long, part int, packed binary") for part, rows in enumerate(answers)]
+    packs = [rows.mapInArrow(tidy(_packs(part)), "block long, part int, packed binary") for part, rows in enumerate(answers)]
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     asked = packs[0].unionAll(packs[1]).select("*", none(k, "k"), none("boolean", "held"), none("binary", "text"))
     whole = asked.unionAll(texts.select("block", F.lit(2).alias("part"), none("binary", "packed"), "k", "held", "text"))
     width = shuffle_width(spark)
     dealt = whole.repartitionById(width, (F.col("block") % width).cast("int")).sortWithinPartitions("block", "part")
-    found = dealt.mapInArrow(_scored(order, total, distinct), f"k {k}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = dealt.mapInArrow(tidy(_scored(order, total, distinct)), f"k {k}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return found.select("k.*", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, tidy, utf8
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -232,7 +232,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("__key"), *map(pa.array, counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = picked.schema["__key"].dataType.simpleString()
-    return picked.mapInArrow(run, f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return picked.mapInArrow(tidy(run), f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
@@ -259,4 +259,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
                 column = pa.array(values, pa.string())
             yield pa.RecordBatch.from_arrays([column if i == place else batch.column(i) for i in range(len(names))], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -21,11 +21,11 @@ Near copies by similarity (``similar``) are texts with four fifths of their dist
 Fingerprints of such texts differ in up to 15 % of their bits, beyond what one short code can cover,
 so a wide fingerprint is read in ``LOOKS`` looks of two segments, each replicated to the anchors within the covering
 radius plus one bit: two texts of similarity 0.8 meet at an anchor of some look with a probability of
-0.986, of 0.85 with 0.999 (measured on random words). Rows that meet are compared by a word, then by the
+0.994, of 0.85 with 0.9998 (from 0.19 and 0.3 a look, measured on random words). Rows that meet are compared by a word, then by the
 whole wide fingerprint, and at last by their shingles, counted in full. A row with many close partners at an
 anchor is in a crowd there, which is paired with one of them only; what the components of these pairs leave apart
-is then compared in full at the crowd's anchors, where the rows of the commonest component are dealt over parts
-that each hold the others, and links are verified on the spot. A look has 2^24 anchors, and a text about ten of them:
+is then compared in full at the crowd's anchors, dealt over parts that each hold a block of rows while another comes
+by, and links are verified on the spot. Texts are told apart by 16 bytes. A look has 2^24 anchors, and a text about ten of them:
 beyond some 10^8 distinct texts chance fills them, and a third segment is due.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; the
@@ -42,11 +42,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, shared_path, shuffle_width, slices, utf8, written
+from .common import remove, shared_path, shuffle_width, slices, tidy, utf8, written
 
 SEED = 42
 SHINGLE = 3
@@ -61,13 +62,13 @@ KEYS_AT_ONCE = 4_000_000
 #: Similarity search: words of a shingle, and the similarity as a fraction of whole numbers.
 SIMILAR_SHINGLE, PARTS, OF = 5, 4, 5
 #: Looks of two segments, the bits beyond the covering radius in each, and words of a wide fingerprint: those of all looks and one that is compared first.
-LOOKS, LOOK_THRESHOLD = 20, 1
+LOOKS, LOOK_THRESHOLD = 24, 1
 WORDS = -(-LOOKS * 2 * LENGTH // 64) + 1
 #: Differing bits of texts of similarity 0.8 are 15 % at most (an angle of acos(8/9)): four standard errors more, of one word and of all.
 CLOSE = 21
 LIKELY = int(WORDS * 64 * 0.1515 + 4 * (WORDS * 64 * 0.1515 * 0.8485) ** 0.5)
 #: Close partners at an anchor beyond which a text is in a crowd; rows of an anchor that are all compared, and that are held at once; nodes that a task remembers; bits of a filter for candidates.
-CROWD, ALL, HELD, SEEN, FILTER = 3, 4_096, 65_536, 1_000_000, 1 << 23
+CROWD, ALL, HELD, SEEN, FILTER = 3, 4_096, 16_384, 1_000_000, 1 << 23
 _WORD_FLIP = np.random.default_rng(SEED).integers(0, 1 << 63, WORDS, np.uint64)
 
 _WHITE = np.zeros(256, bool)
@@ -128,16 +129,16 @@ def majorities(hashes: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_hashes(body: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the shingles of a run of documents, those before each document (n+1), and a hash of each document's words."""
-    nodes = np.full(len(at) - 1, xxhash.xxh64_intdigest(b"", SEED), np.uint64)
+def shingle_hashes(body: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Hashes of the shingles of a run of documents, those before each document (n+1), and a digest of each document's words, 16 bytes."""
+    nodes = [xxhash.xxh3_128_digest(b"", SEED)] * (len(at) - 1)
     if not len(body):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), nodes
     lowered, start, end, total = shingle_spans(body, at, size)
     raw, digest = lowered.tobytes(), xxhash.xxh64_intdigest
     hashes = np.array([digest(raw[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
     for i in np.flatnonzero(np.diff(total)).tolist():
-        nodes[i] = digest(raw[start[total[i]] : end[total[i + 1] - 1]], SEED)
+        nodes[i] = xxhash.xxh3_128_digest(raw[start[total[i]] : end[total[i + 1] - 1]], SEED)
     return hashes, total, nodes
 
 
@@ -412,22 +413,22 @@ def _distinct_sets(hashes: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, n
 
 
 def text_table(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIMILAR_SHINGLE) -> DataFrame:
-    """``doc_id``, text hash ``t``, ``node`` (a hash of the words), and for a node's first row in a task its wide fingerprint."""
+    """``doc_id``, text hash ``t``, ``digest`` (of the words, 16 bytes), and for a digest's first row in a task its wide fingerprint."""
     picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in slices(batches, "text"):
-            hashes, total, nodes = shingle_hashes(*utf8(batch.column("text")), size)
+            hashes, total, digests = shingle_hashes(*utf8(batch.column("text")), size)
             sets, at = _distinct_sets(hashes, total)
             wide = wide_fingerprints(sets, at)
             if len(seen) > SEEN:
                 seen.clear()
-            fresh = [n not in seen and not seen.add(n) for n in nodes.tolist()]
+            fresh = [d not in seen and not seen.add(d) for d in digests]
             held = pa.array([wide[i].tobytes() if f else None for i, f in enumerate(fresh)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(nodes.view(np.int64)), held], names=["doc_id", "t", "node", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(digests, pa.binary()), held], names=["doc_id", "t", "digest", "wide"])
 
-    return picked.mapInArrow(run, "doc_id long, t long, node long, wide binary")
+    return picked.mapInArrow(tidy(run), "doc_id long, t long, digest binary, wide binary")
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -519,8 +520,8 @@ def _met(nodes: DataFrame, most: int = CROWD, compared: int = ALL) -> DataFrame:
         if len(held[0]):
             yield found(held)
 
-    met = nodes.select("node", "wide").mapInArrow(replicate, "anchor int, node long, check long")
-    return met.repartition(shuffle_width(nodes.sparkSession), "anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a long, b long, anchor int")
+    met = nodes.select("node", "wide").mapInArrow(tidy(replicate), "anchor int, node long, check long")
+    return met.repartition(shuffle_width(nodes.sparkSession), "anchor").sortWithinPartitions("anchor", "node").mapInArrow(tidy(compare), "a long, b long, anchor int")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -532,7 +533,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     wide = lambda of, name: nodes.select(F.col("node").alias(of), F.col("wide").alias(name))
-    return pairs.join(wide("a", "wa"), "a").join(wide("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    return pairs.join(wide("a", "wa"), "a").join(wide("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(tidy(run), "a long, b long")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -548,7 +549,7 @@ def _shingles(some: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
 
     A filter of ``FILTER`` bits, a fixed size, tells rows that can't be wanted before the join; a text's first row in a task is enough.
     """
-    wanted = written(nodes.select("node", "t").join(some.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left_semi"), "wanted")
+    wanted = written(nodes.select("node", "t", "digest").join(some.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left_semi"), "wanted")
     bit = F.pmod("t", F.lit(FILTER)) + 1  # bits are numbered from 1
     rows = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     bits = np.zeros(FILTER, bool)  # FILTER / 32,768 rows of 4 KB at most
@@ -572,12 +573,14 @@ def _shingles(some: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            hashes, total, _ = shingle_hashes(*utf8(batch.column("text")), SIMILAR_SHINGLE)
+            hashes, total, digests = shingle_hashes(*utf8(batch.column("text")), SIMILAR_SHINGLE)
             own, at = _distinct_sets(hashes, total)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([own[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "shingles"])
+            meant = pc.equal(batch.column("digest"), pa.array(digests, batch.schema.field("digest").type))  # another text may share ``t``
+            found = pa.RecordBatch.from_arrays([batch.column("node"), pa.array([own[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "shingles"])
+            yield found.filter(meant)
 
-    texts = docs.select(F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(pick, "h long, text string")
-    found = texts.join(wanted, F.col("h") == F.col("t")).select("node", "text").mapInArrow(sets, "node long, shingles binary")
+    texts = docs.select(F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidy(pick), "h long, text string")
+    found = texts.join(wanted, F.col("h") == F.col("t")).select("node", "digest", "text").mapInArrow(tidy(sets), "node long, shingles binary")
     return written(found.dropDuplicates(["node"]), "shingles")
 
 
@@ -593,13 +596,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda name, as_: sets.select(F.col("node").alias(name), F.col("shingles").alias(as_))
-    return written(pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "verified")
+    return written(pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long"), "verified")
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Links (a, b) that join what is apart among the rows (anchor, part, major, node, label, wide, shingles) of an anchor.
+    """Links (a, b) that join what is apart among the rows (anchor, part, role, node, label, wide, shingles) of an anchor.
 
-    In each part of an anchor the rows outside its commonest label are held; the others come by. Every row is compared with the held
+    In a part rows of role 0 are held, those of role 1 come by, and those of role 2 do both. Every row that comes by is compared with the held
     ones of other components, and a likely pair verified on the spot; a link joins two components, so there are
     fewer than rows and no pair leaves that isn't one.
     """
@@ -614,8 +617,8 @@ def _across(rows: DataFrame) -> DataFrame:
             return x
 
         for batch in batches:
-            anchor, part = (batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "part"))
-            major, own_wide = batch.column("major").to_numpy(zero_copy_only=False), _words(batch.column("wide"))
+            anchor, part, role = (batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "part", "role"))
+            own_wide = _words(batch.column("wide"))
             body, at = utf8(batch.column("shingles"))
             links: list[tuple[int, int]] = []
             fresh: list[int] = []  # held rows of this batch that aren't in ``wide`` yet
@@ -624,13 +627,13 @@ def _across(rows: DataFrame) -> DataFrame:
                     current, root, node, label, sets, fresh = (anchor[i], part[i]), {}, [], [], [], []
                     wide = wide[:0]
                 own = body[at[i] : at[i + 1]].view(np.uint64)
-                if major[i] or not part[i]:  # minor rows stand in every part, so they are compared in the first
+                if role[i]:
                     near = np.flatnonzero(np.bitwise_count(np.concatenate([wide, own_wide[fresh]]) ^ own_wide[i]).sum(1) <= LIKELY) if node else ()
                     for k in near:
                         if find(g) != find(label[k]) and alike(own, sets[k]):
                             root[find(g)] = find(label[k])
                             links.append((min(n, node[k]), max(n, node[k])))
-                if not major[i]:
+                if role[i] != 1:
                     node.append(n)
                     label.append(g)
                     sets.append(own.copy())
@@ -640,24 +643,45 @@ def _across(rows: DataFrame) -> DataFrame:
             wide = np.concatenate([wide, own_wide[fresh]])
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
-    dealt = rows.repartition(shuffle_width(rows.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part", "major", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part", "role", "node")
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def _dealt(rows: DataFrame, held: int) -> DataFrame:
+    """(anchor, part, role, node, label): the rows of each anchor's crowd, dealt so that any two of different components meet in a part.
+
+    Rows of the commonest component are cut into blocks of about ``held``, which come by; the others into blocks of ``held``, which are
+    held. Each block of the former meets each of the latter, and the latter meet each other, a part for each pair of blocks.
+    """
+    label_sizes = rows.groupBy("anchor", "label").agg(F.count("*").alias("n"))
+    sizes = label_sizes.groupBy("anchor").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / held).cast("int")
+    sizes = written(sizes.select(F.col("anchor").alias("g"), F.col("most.label").alias("top"), blocks(F.col("most.n")).alias("tops"), blocks(F.col("n") - F.col("most.n")).alias("others")), "sizes")
+    at = lambda part, role: F.struct(part.cast("long").alias("part"), F.lit(role).alias("role"))
+    tops, others = F.col("tops").cast("long"), F.col("others").cast("long")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("major"), tops).otherwise(others))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda a, b: tops * others + a * others + b
+    coming = F.transform(every(others), lambda k: at(own * others + k, 1))
+    holding = F.concat(
+        F.transform(every(tops), lambda p: at(p * others + own, 0)),
+        F.transform(F.filter(every(others), lambda k: k > own), lambda k: at(pair(own, k), 0)),
+        F.transform(F.filter(every(others), lambda k: k < own), lambda k: at(pair(k, own), 1)),
+        F.array(at(pair(own, own), 2)),
+    )
+    marked = rows.join(sizes, F.col("anchor") == F.col("g")).withColumn("major", F.col("label") == F.col("top"))
+    return marked.select("anchor", F.explode(F.when(F.col("major"), coming).otherwise(holding)).alias("p"), "node", "label").select("anchor", "p.part", "p.role", "node", "label")
 
 
 def _crowds(met: DataFrame, nodes: DataFrame, rooted: DataFrame, docs: DataFrame, text: str, held: int = HELD) -> DataFrame:
     """Links between different components in the crowds of anchors: all pairs of an anchor's crowd count, and none leaves its task unverified."""
     members = met.where("anchor is not null").select("anchor", F.col("a").alias("node")).distinct()
     members = members.join(rooted.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("anchor", "node", F.coalesce("root", "node").alias("label"))
-    members = written(members, "crowds")
-    sizes = members.groupBy("anchor", "label").agg(F.count("*").alias("n")).groupBy("anchor").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    sizes = written(sizes.select(F.col("anchor").alias("g"), F.col("most.label").alias("top"), F.ceil(F.col("most.n") / held).cast("int").alias("parts")), "sizes")
-    rows = members.join(sizes, F.col("anchor") == F.col("g")).withColumn("major", F.col("label") == F.col("top"))
-    part = F.when(F.col("major"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = written(rows.select("anchor", F.explode(part).alias("part"), "major", "node", "label"), "rows")
+    rows = written(_dealt(written(members, "crowds"), held), "rows")
     some = rows.select("node").distinct()
     sets = _shingles(some, nodes, docs, text)
     known = nodes.select("node", "wide").join(sets, "node").select(F.col("node").alias("w"), "wide", "shingles")
-    return written(_across(rows.join(known, F.col("node") == F.col("w")).select("anchor", "part", "major", "node", "label", "wide", "shingles")), "across")
+    return written(_across(rows.join(known, F.col("node") == F.col("w")).select("anchor", "part", "role", "node", "label", "wide", "shingles")), "across")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = CROWD, compared: int = ALL, held: int = HELD) -> DataFrame:
@@ -667,8 +691,11 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
     components have different roots, also where ids are null or stand for several texts. The numbers set how
     crowds are told, compared and dealt; they change the work, not which links count.
     """
-    table = written(text_table(docs, key, text), "texts")
-    nodes = written(table.where("wide is not null").select("node", "t", "wide").dropDuplicates(["node"]), "nodes")
+    texts = written(text_table(docs, key, text), "texts")
+    # Texts are told apart by 16 bytes; a node is a number for each, fixed by writing it.
+    distinct = texts.where("wide is not null").select("digest", "t", "wide").dropDuplicates(["digest"])
+    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    table = written(texts.select("doc_id", "t", "digest").join(nodes.select(F.col("digest").alias("d"), "node"), F.col("digest") == F.col("d")).select("doc_id", "t", "node"), "rows")
     met = written(_met(nodes, most, compared), "met")
     pairs = met.where("anchor is null").select("a", "b").distinct()
     linked = _verified(_likely(pairs, nodes), nodes, docs, text)
