@@ -14,7 +14,10 @@ reported as ``novel``, unless a base span overlaps it. An unknown word is as nov
 its length: runs made like words (letters in one case or in humps, at most four digits at the end of each
 part) must add ``NOVEL``, and either be the value of a sensitive word (after a colon or equals sign, on
 its line or the next) or have 16 characters and begin within ``REACH`` bytes after one on its line. The body
-of a PEM private key is ``novel`` line by line, whatever it adds. No span leaves its text or its line.
+of a PEM private key is ``novel`` line by line, whatever it adds. A value that is said or set right after a sensitive word (also ``pass``,
+``auth`` or ``key``, which alone open no paragraph) or on the line below it may hold any printable signs, if it mixes digits with
+letters of both cases, with letters and signs, or in turn with letters; it adds what a random string must. Of a value whose beginning a base
+span holds the rest is ``novel``. No span leaves its text or its line.
 Time is linear in the text, whatever its lines.
 
 Spans are in code points, end exclusive. Defined results: null and empty texts have none; texts of any
@@ -43,11 +46,22 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX, LEAST_NEAR = 12, 18, 16, 16
+#: Characters of a value that a base span leaves over, from which on they are a span of their own.
+REST = 3
 SENSITIVE = re.compile(rb"(?i)passphrase|passcode|password|passwd|pwd|credential|authorization|bearer|private[\x20_-]?key|access[\x20_-]?key|signing|secret|token|api[\x20_-]?key")
 #: Candidates; what leads from a word to its value; runs made like words.
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{12,}")
 LEADS = re.compile(rb"""["']?[\x20\t]*[:=][\x20\t]*[|>]?[+-]?[\x20\t\r]*\n?[\x20\t]*["']?""")
 _PART = rb"(?:(?:[A-Z]*+[a-z]{2,}+|As|At|By|Id|In|Is|No|Of|On|Or|To|Up)*+(?:[A-Z]{2,}+)?[0-9]{0,4}+|[A-Za-z]|[0-9]++)"
+#: A value said or set on a sensitive word's line, with the signs that passwords and tokens hold; ``pass``, ``auth`` and ``key`` are sensitive here only.
+SAID = re.compile(rb"""(?i)(?:passphrase|passcode|password|passwd|pwd|pass|credential|authorization|auth|bearer|key|signing|secret|token)s?(?:["']?[\x20\t]*[:=][\x20\t]*|\x20(?:is|was)\x20+|(?<=bearer)\x20+|[:=]?[\x20\t\r]*\n[\x20\t]*)["'`]?([\x21\x23-\x26\x28-\x5f\x61-\x7e]{12,})""")
+TRAILING = b"\"'`,;."
+#: What code, addresses and mail hold, but hardly a secret.
+NO_VALUE = re.compile(rb"://|^[/.~]|^www\.|[()\[\]{}<>|\\]|^[^@]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$")
+MIXED = [re.compile(p) for p in (rb"[a-z]", rb"[A-Z]", rb"[0-9]")]
+SIGNS = re.compile(rb"[!@#$%^&*?~]")
+TURNS = re.compile(rb"[A-Za-z][0-9]|[0-9][A-Za-z]")
+UUID = re.compile(rb"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 WORDLIKE = re.compile(rb"[+/_=-]*+(?:" + _PART + rb"[+/_=-]++)*+" + _PART)
 BLANK = re.compile(rb"\n[\x20\t\r]*(?=\n)")
 PEM = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -126,6 +140,13 @@ def _pem(raw: bytes, end: int, head: int) -> Iterator[tuple[int, int]]:
         at = stop + 1
 
 
+def mixed(value: bytes) -> bool:
+    """Whether a value is mixed as secrets are: digits with letters of both cases, with letters and signs, or in turn with letters; never made like words."""
+    lower, upper, digit = (bool(p.search(value)) for p in MIXED)
+    in_turn = len(value) >= LEAST_NEAR and len(TURNS.findall(value)) >= 3 and not UUID.fullmatch(value)
+    return digit and (lower and upper or (lower or upper) and (in_turn or bool(SIGNS.search(value)))) and not WORDLIKE.fullmatch(value)
+
+
 def find(raw: bytes, begin: Sequence[int] = (0,)) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) of all spans, in bytes, of texts that begin at ``begin`` and are joined by line ends. No span holds a line end."""
     body = np.frombuffer(raw, np.uint8)
@@ -135,7 +156,8 @@ def find(raw: bytes, begin: Sequence[int] = (0,)) -> list[tuple[int, int, int, i
     novel: dict[int, int] = {}
     words = [m.end() for m in SENSITIVE.finditer(raw)]
     heads = [m.span() for m in PEM.finditer(raw)]
-    if not words and not heads:
+    said = [(m.start(1), m.start(1) + len(m[1].rstrip(TRAILING))) for m in SAID.finditer(raw)]
+    if not words and not heads and not said:
         return sorted(base)
     covered = sorted((a, b) for a, _, b, _ in base)
     starts = [a for a, _ in covered]
@@ -154,6 +176,15 @@ def find(raw: bytes, begin: Sequence[int] = (0,)) -> list[tuple[int, int, int, i
         for a, b in _pem(raw, text_of(first)[1], head):
             if free(a, b):
                 novel[a] = max(b, novel.get(a, 0))
+    for a, b in said:
+        value = raw[a:b]
+        i = bisect_right(starts, a) - 1
+        covers = int(furthest[i]) if i >= 0 and furthest[i] > a else a  # a base span may hold the first part of a value
+        if b - a >= LEAST_VALUE and mixed(value) and not NO_VALUE.search(value) and b - covers >= min(REST, b - a) and free(covers, b):
+            low, high = text_of(a)
+            before, after = raw[max(low, a - CONTEXT) : a].replace(value, b""), raw[b : min(high, b + CONTEXT)].replace(value, b"")
+            if marginal_bytes(value, before, after) >= NOVEL_RUN * (b - a):
+                novel[covers] = max(b, novel.get(covers, 0))
     breaks = np.flatnonzero(body == 10)
     blanks = [m.start() for m in BLANK.finditer(raw)]
     taken = sorted(novel.items())
@@ -179,7 +210,7 @@ def find(raw: bytes, begin: Sequence[int] = (0,)) -> list[tuple[int, int, int, i
             like = WORDLIKE.fullmatch(raw, a, b)
             if like and not (a in values or near and b - a >= LEAST_NEAR):
                 continue
-            i = bisect_left(opens, b) - 1
+            i = bisect_left(opens, b) - 1  # the last span so far that begins before its end
             if (i >= 0 and reached[i] > a) or not free(a, b):
                 continue
             before, after = raw[max(text[0], a - CONTEXT) : a], raw[b : min(text[1], b + CONTEXT)]
