@@ -56,14 +56,38 @@ def test_tokens_by_stretch_equal_whole_texts():
         assert np.frombuffer(packing.tokenise(t, known), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def by_window(totals, share, deficit, lengths):
+    """What each window takes from each queue as a matrix."""
+    taken = np.zeros((len(lengths), len(totals)), np.int64)
+    window, queue, tokens = packing.round_robin(totals, share, deficit, lengths)
+    taken[window, queue] = tokens
+    assert (tokens > 0).all() and sorted(zip(window, queue, strict=True)) == list(zip(window, queue, strict=True))
+    return taken
+
+
 def test_round_robin_carries_deficits():
     totals, share = np.array([5000, 3000, 10, 0]), np.array([0.6, 0.3, 0.1, 0.0])
     lengths = packing.window_lengths(int(totals.sum()), 256)
-    taken = packing.round_robin(totals, share, np.zeros(4), lengths)
+    taken = by_window(totals, share, np.zeros(4), lengths)
     assert (taken.sum(0) == totals).all() and (taken.sum(1) == lengths).all()
     early = taken[:10].sum(0) / taken[:10].sum()
     assert early[2] < 0.01 and early[0] > 0.6 and early[1] > 0.3  # the third queue has run dry, and the others share its part
-    assert packing.round_robin(np.array([100, 100]), np.array([0.5, 0.5]), np.array([20.0, -20.0]), np.array([64]))[0].tolist() == [52, 12]
+    assert by_window(np.array([100, 100]), np.array([0.5, 0.5]), np.array([20.0, -20.0]), np.array([64]))[0].tolist() == [52, 12]
+
+
+def test_many_queues_take_no_more_than_tokens():
+    """100,000 sources of 40 tokens each: pieces tile documents and windows, and what is kept is no more than there are tokens."""
+    totals = np.full(100_000, 40)
+    lengths = packing.window_lengths(int(totals.sum()), 2048)[:60]
+    window, queue, tokens = packing.round_robin(totals, np.full(100_000, 1e-5), np.zeros(100_000), lengths)
+    assert len(tokens) <= lengths.sum() == tokens.sum()
+    doc_tokens = np.bincount(queue, tokens, 100_000).astype(np.int64)
+    doc_tokens = doc_tokens[doc_tokens > 0]
+    doc, start, length, at, offset = packing.cut_pieces(doc_tokens, window, queue, tokens)
+    assert (np.bincount(doc, length) == doc_tokens).all() and (np.bincount(at, length) == lengths).all()
+    order = np.lexsort((offset, at))
+    ends = offset[order] + length[order]
+    assert (offset[order] == np.where(np.diff(at[order], prepend=-1) != 0, 0, np.roll(ends, 1))).all()
 
 
 @pytest.mark.parametrize("tokens", [0, 1, 2047, 2048, 2049, 10_000])
@@ -185,6 +209,13 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_chats(frame.limit(0))).count() == 0
 
 
+def test_chat_ignores_clashing_columns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, None, None, "b\\<#"), (None, 2, "assistant", None), (2, 1, "assistant", "ü"), (2, 1, "assistant", "ü")], "conv_id long, turn long, role string, text string")
+    clashing = turns.selectExpr("*", "9 as part", "'x' as formatted", "8 as n_turns", "array(1) as loss_start", "array(2) as loss_end", "'y' as turns_sha256")
+    rows = lambda df: sorted(map(repr, chat.read_back(chat.format_chats(df)).collect()))
+    assert rows(clashing) == rows(turns) and len(rows(turns)) == 3
+
+
 def test_long_conversation_comes_in_parts(spark):
     frame = spark.range(60).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('<#é ', 100000) as text")
     formatted = chat.format_chats(frame)

@@ -117,11 +117,14 @@ def token_table(docs: DataFrame, key: str, text: str, source: str, vocabulary: s
     return picked.mapInArrow(tidy(run), "doc_id long, source string, ids binary, n_tokens long")
 
 
-def round_robin(totals: np.ndarray, share: np.ndarray, deficit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Tokens that each window takes from each queue, [window, queue]; ``deficit`` is carried in and updated."""
+def round_robin(totals: np.ndarray, share: np.ndarray, deficit: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, queue, tokens) of what each window takes, in that order; ``deficit`` is carried in and updated.
+
+    Only queues that a window takes from are kept: no more of them than its tokens, however many queues there are.
+    """
     left = totals.astype(np.int64).copy()
-    taken = np.zeros((len(lengths), len(totals)), np.int64)
-    for w, length in enumerate(lengths.tolist()):
+    taken: list[tuple[np.ndarray, np.ndarray]] = []
+    for length in lengths.tolist():
         deficit += share * length
         take = np.clip(np.floor(deficit), 0, left).astype(np.int64)
         missing = length - int(take.sum())
@@ -139,8 +142,11 @@ def round_robin(totals: np.ndarray, share: np.ndarray, deficit: np.ndarray, leng
             take[order] += extra
         left -= take
         deficit -= take
-        taken[w] = take
-    return taken
+        from_ = np.flatnonzero(take)
+        taken.append((from_, take[from_]))
+    sizes = [len(q) for q, _ in taken]
+    none = [np.zeros(0, np.int64)]
+    return np.repeat(np.arange(len(lengths)), sizes), np.concatenate(none + [q for q, _ in taken]), np.concatenate(none + [t for _, t in taken])
 
 
 def window_lengths(tokens: int, window: int) -> np.ndarray:
@@ -149,22 +155,23 @@ def window_lengths(tokens: int, window: int) -> np.ndarray:
     return np.array([window] * (tokens // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1], np.int64)
 
 
-def cut_pieces(doc_tokens: np.ndarray, queue_of: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cut_pieces(doc_tokens: np.ndarray, window: np.ndarray, queue: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of documents laid out queue by queue: document, its ids before the piece, length, window, offset in the window.
 
     Positions run over all queues, one after another; a queue's windows cut its stretch where their
     running sums end, its documents where they end.
     """
-    window_count, queues = taken.shape
     doc_end = np.cumsum(doc_tokens)
-    takes = taken.T.ravel()  # by queue, then window
+    before = np.cumsum(taken) - taken
+    in_window = before - before[np.searchsorted(window, window)]  # less what all earlier windows took
+    by_queue = np.lexsort((window, queue))
+    takes = taken[by_queue]
     take_end = np.cumsum(takes)
-    in_window = (np.cumsum(taken, 1) - taken).T.ravel()
-    cuts = np.union1d(doc_end, take_end[takes > 0])
+    cuts = np.union1d(doc_end, take_end)
     start = np.concatenate([[0], cuts[:-1]])
     doc = np.searchsorted(doc_end, start, "right")
     slot = np.searchsorted(take_end, start, "right")
-    return doc, start - (doc_end - doc_tokens)[doc], cuts - start, slot % window_count, start - (take_end - takes)[slot] + in_window[slot]
+    return doc, start - (doc_end - doc_tokens)[doc], cuts - start, window[by_queue][slot], start - (take_end - takes)[slot] + in_window[by_queue][slot]
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", window: int = WINDOW, mixture: dict[str, float] | None = None, vocabulary: str = VOCABULARY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -221,7 +228,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         counts = np.diff(at) // 2
         lengths = window_lengths(int(counts.sum()), window)
         taken = round_robin(np.bincount(queue, counts, len(share)).astype(np.int64), share, deficit, lengths)
-        doc, start, length, slot, offset = cut_pieces(counts, queue, taken)
+        doc, start, length, slot, offset = cut_pieces(counts, *taken)
         full = ids.astype("<u4")
         begin = (at[:-1] // 2)[doc] + start
         crc = [zlib.crc32(full[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
