@@ -439,7 +439,7 @@ def _partners(anchor: np.ndarray, node: np.ndarray, check: np.ndarray, most: int
     """Indices (left, right) of close pairs of rows by anchor, and the rows that are in a crowd.
 
     All rows of an anchor are compared. A row with more than ``most`` close partners is in a crowd; of the pairs within a crowd only
-    one for each row is given.
+    one for each row is given, and that in every second look: they join most of it, and what they leave apart is compared in full.
     """
     n = len(anchor)
     edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
@@ -458,7 +458,7 @@ def _partners(anchor: np.ndarray, node: np.ndarray, check: np.ndarray, most: int
     inside = crowd[a] & crowd[b]
     first = np.full(n, n)  # each row's first partner in the crowd
     np.minimum.at(first, b[inside], a[inside])
-    some = np.flatnonzero(first < n)
+    some = np.flatnonzero((first < n) & (anchor >> 2 * DIMENSION & 1 == 0))
     return np.concatenate([a[~inside], first[some]]), np.concatenate([b[~inside], some]), np.flatnonzero(crowd)
 
 
