@@ -1,17 +1,19 @@
 """Quality rules: a hashed n-gram log-likelihood ratio over two multinomials, and the base counts.
 
 The n-grams are whole words and pairs of neighbouring words, hashed to ``BUCKETS`` counters. The raw
-corpus is every document. The trusted target is the good, non-toxic labels: they are split in halves by
-the hash of their ids, at most ``TARGET_ROWS`` of each half (a bounded fit, by hash; the corpus counts
-cover every row). One half is counted; its multinomial is smoothed with ``PRIOR`` draws from the
+corpus is every document. The trusted target is every good, non-toxic label: they are split in halves by
+the hash of their ids. One half is counted, whole; its multinomial is smoothed with ``PRIOR`` draws from the
 corpus, so that an n-gram the target says nothing of has a ratio near zero. A document's score is the
 mean over its n-grams of log(target share / corpus share). The other half, which the target has not
-seen, sets the threshold: the score below which ``LOST`` of its documents lie. Every document
+seen, sets the threshold, whole: the score below which ``LOST`` of its documents lie. Every document
 below it is rejected.
 
 All of it is DataFrame expressions. Texts are read once, into a table of counts and buckets; the
-corpus is counted and documents are scored from that. The array of ratios, of fixed size, and the
-threshold are scalar subqueries; documents are neither shuffled nor joined to each other.
+corpus is counted and documents are scored from that. The array of ratios and a bit map of the good labels' ids,
+both of fixed size, are scalar subqueries. Rows that the map lets pass are joined with the ids themselves, so
+of all documents about the labelled ones alone are shuffled: with their buckets, two bytes each, where they are counted,
+and with their scores where they set the threshold. The threshold is read from running counts of distinct scores over range
+partitions. Nothing but the two arrays is gathered in a task, however many labels there are.
 
 Defined results: null and empty texts have no words, score zero and fail the base; without good labels in
 the first half all scores are zero, without any in the second nothing is rejected for its score; labels of ids
@@ -23,11 +25,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
+from ..operators import ordered
 from .common import written
 
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000
+#: Bits of the map of good labels' ids, 1 MB; as they fill, more rows reach the join that decides.
+SCREEN = 1 << 23
 PRIOR = 4096.0
 #: The share of the held labels' documents that the threshold gives up.
 LOST = 0.002
@@ -74,38 +79,81 @@ def measured(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     return written(table, "grams")
 
 
-def halves(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ids of the good labels that are counted, and of those that set the threshold; at most about ``TARGET_ROWS`` of each."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
-    part = F.xxhash64("good_id")
-    taken = good.where(F.pmod(F.shiftrightunsigned(part, 1), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * TARGET_ROWS / max(1, good.count()))))
-    return taken.where(part.bitwiseAND(F.lit(1)) == 0), taken.where(part.bitwiseAND(F.lit(1)) == 1)
+def good_ids(labels: DataFrame, kind: DataType) -> DataFrame:
+    """Ids of the good labels, each once, in the documents' type."""
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").try_cast(kind).alias("good_id"))
+    return good.where("good_id is not null").distinct()
 
 
-def ratio_table(table: DataFrame, target: DataFrame, key: str) -> DataFrame:
+def _half(key: Column) -> Column:
+    """0 for ids whose labels are counted, 1 for those that set the threshold."""
+    return F.xxhash64(key).bitwiseAND(F.lit(1))
+
+
+def _bit(key: Column) -> tuple[Column, Column]:
+    """The word of the map and the bit in it that an id has."""
+    at = F.pmod(F.xxhash64(key), F.lit(SCREEN))
+    return F.shiftright(at, 6).cast("int"), at.bitwiseAND(F.lit(63)).cast("int")
+
+
+def id_map(good: DataFrame) -> DataFrame:
+    """One row: the map as an array of SCREEN / 64 longs."""
+    word, bit = _bit(F.col("good_id"))
+    marks = good.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    every = good.sparkSession.range(SCREEN >> 6).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = marks.unionAll(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("map"))
+
+
+def _screened(table: DataFrame, key: str, bits: Column, half: int) -> DataFrame:
+    """Rows of ``table`` whose ids are in the half and may be in the map."""
+    own = F.col(f"k.`{key}`")
+    word, bit = _bit(own)
+    return table.where((_half(own) == half) & (F.getbit(F.get(bits, word), bit) == 1))
+
+
+def ratio_table(table: DataFrame, good: DataFrame, key: str, bits: Column) -> DataFrame:
     """One row: the log ratio of each bucket, an array of BUCKETS doubles."""
-    flagged = table.join(F.broadcast(target), F.col(f"k.{key}") == F.col("good_id"), "left").select("grams", F.col("good_id").isNotNull().cast("int").alias("good"))
-    counted = flagged.select("good", F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
-    every = table.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
-    whole = counted.unionAll(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    zero = F.lit(0).cast("long")
+    raw = table.select(F.explode("grams").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw")).withColumn("target", zero)
+    # Buckets move as two bytes each; an id is in ``good`` once, so that an inner join gives its rows once.
+    moved = _screened(table, key, bits, 0).select(F.col(f"k.`{key}`").alias("id"), F.transform("grams", lambda b: (b - BUCKETS // 2).cast("short")).alias("grams"))
+    counted = moved.join(good.where(_half(F.col("good_id")) == 0), F.col("id") == F.col("good_id"))
+    target = counted.select(F.explode("grams").alias("moved")).groupBy((F.col("moved").cast("int") + BUCKETS // 2).alias("bucket")).agg(F.count("*").alias("target"))
+    every = table.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), zero.alias("raw"), zero.alias("target"))
+    whole = raw.unionByName(target.withColumn("raw", zero)).unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     rows = whole.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("t"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
     corpus = lambda r: (r["raw"] + 1) / (F.col("n_raw") + BUCKETS)
     ratio = lambda r: F.log((r["target"] + PRIOR * corpus(r)) / (F.col("n_target") + PRIOR) / corpus(r))
     return rows.select(F.when(F.col("n_target") > 0, F.transform("t", ratio)).otherwise(F.transform("t", lambda r: F.lit(0.0))).alias("ratios"))
 
 
+def quantile(scores: DataFrame, share: float) -> float:
+    """The score that ``share`` of the column ``s`` lie below, exact and between two scores in proportion; minus infinity of none."""
+    table = ordered.stretches(scores.groupBy("s").agg(F.count("*").alias("n")), [], ["s"])
+    total = table.agg(F.sum("n")).first()[0]
+    if not total:
+        return float("-inf")
+    place = share * (total - 1)
+    low = int(place)
+    ends = ordered.running_sums(table, [], ["s"], {"upto": F.col("n")})
+    below, above = ends.agg(*(F.min(F.when(F.col("upto") > k, F.col("s"))) for k in (low, min(low + 1, total - 1)))).first()
+    return below + (place - low) * (above - below)
+
+
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (by default the key) with the base counts, ``score``, ``base_failed`` and ``kept``."""
     keep = keep or [key]
     table = measured(docs, keep if key in keep else [*keep, key], text)
-    counted, held = halves(labels)
-    ratios = written(ratio_table(table, counted, key), "ratios")
-    table = table.withColumn("ratios", ratios.scalar())
+    good = good_ids(labels, docs.schema[key].dataType)
+    bits = written(id_map(good), "map").scalar()
+    ratios = written(ratio_table(table, good, key, bits), "ratios")
     total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(F.col("ratios"), b))
     mean = F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    seen = table.join(F.broadcast(held), F.col(f"k.{key}") == F.col("good_id"), "left_semi").where(~failed)
-    least = written(seen.select(mean.alias("s")).agg(F.percentile("s", F.lit(LOST)).alias("least")), "threshold").scalar()
-    scored = table.select("k", *COUNTS, mean.alias("score"))
+    seen = _screened(table, key, bits, 1).where(~failed).withColumn("ratios", ratios.scalar()).select(F.col(f"k.`{key}`").alias("id"), mean.alias("s"))
+    held = seen.join(good.where(_half(F.col("good_id")) == 1), F.col("id") == F.col("good_id"))
+    least = quantile(held.select("s"), LOST)
+    scored = table.withColumn("ratios", ratios.scalar()).select("k", *COUNTS, mean.alias("score"))
     # The verdict in the same projection as the score: a filter on it then brings one more evaluation, not many.
-    return scored.select(*(F.col(f"k.`{c}`") for c in keep), *COUNTS, "score", failed.alias("base_failed"), (~failed & (F.col("score") >= F.coalesce(least, F.lit(float("-inf"))))).alias("kept"))
+    return scored.select(*(F.col(f"k.`{c}`") for c in keep), *COUNTS, "score", failed.alias("base_failed"), (~failed & (F.col("score") >= F.lit(least))).alias("kept"))
